@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import chat, decontaminate, language
 from .common import table
 
 
@@ -10,9 +10,17 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language(spark, sf_dir):
+    return language.identify_held_out(table(spark, sf_dir, "documents"))
+
+
+def op5_chat(spark, sf_dir):
+    return chat.conversation_report(table(spark, sf_dir, "conversations"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql():
-    return {"op2_decontaminate": decontaminate.ORACLE}
+    return {"op2_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE}
