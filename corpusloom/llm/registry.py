@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language
+from . import chat, decontaminate, language, ngram_join, packing, secrets, warc
 from .common import table
 
 
@@ -14,13 +14,29 @@ def op3_language(spark, sf_dir):
     return language.identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark, sf_dir):
     return chat.conversation_report(table(spark, sf_dir, "conversations"))
 
 
+def op6_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark, sf_dir):
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql():
-    return {"op2_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE}
+    return {"op2_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_ngram_join": ngram_join.ORACLE}
