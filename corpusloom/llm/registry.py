@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, ngram_join, packing, secrets, warc
+from . import chat, decontaminate, embedding_dedup, language, ngram_join, packing, secrets, warc
 from .common import table
 
 
@@ -34,9 +34,13 @@ def op8_secrets(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql():
-    return {"op2_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_ngram_join": ngram_join.ORACLE}
+    return {"op2_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE}
