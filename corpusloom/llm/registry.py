@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embedding_dedup, language, ngram_join, packing, secrets, warc
+from . import chat, decontaminate, embedding_dedup, language, ngram_join, packing, secrets, training_order, url_filter, warc
 from .common import table
 
 
+def op1_url_filter(spark, sf_dir):
+    return url_filter.page_report(table(spark, sf_dir, "pages"))
+
+
 def op2_decontaminate(spark, sf_dir):
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,9 +42,13 @@ def op9_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_training_order(spark, sf_dir):
+    return training_order.training_order(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql():
-    return {"op2_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE}
+    return {"op1_url_filter": url_filter.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE}
