@@ -5,11 +5,12 @@ fingerprints.  Documents with equal sets form a class; one member stands for it.
 A pair with Jaccard >= 0.8 shares a shingle among the first n - ceil(0.8 n) + 1
 of each set in any fixed order (the order puts shingles that a bounded sample
 finds frequent last; it never changes the result).  Classes that share such a
-key and have compatible sizes are chained into regions.  A region is cut by size
-into bands of bounded content, and each compatible pair of bands is one tile,
-compared in one task: parity bitmaps give a lower bound of the symmetric
-difference by bit counts, hence an upper bound of the overlap, and pairs that
-may reach the threshold are decided by exact intersection of the sorted arrays.
+key, have compatible sizes and pass the signature test form regions.  A region is
+cut by size into bands of bounded content, and each compatible pair of bands is
+one tile, compared in one task.  The signature is a hashed parity bitmap, its
+width following the set's size: differing bits bound the symmetric difference
+from below, hence the overlap from above; pairs that may reach the threshold are
+decided in the tiles by exact intersection of the sorted arrays.
 Pairs already connected in a tile are skipped, since only components are asked
 for; no link between components is lost.
 
@@ -39,6 +40,8 @@ NUM, DEN = 4, 5
 SAMPLE_DOCS, FREQUENT, FREQUENT_FROM = 4000, 50_000, 3
 #: Content of a band: shingles plus this many for each document.
 BAND_WEIGHT, ROW_WEIGHT = 1_000_000, 500
+#: Classes of one block of a key.
+KEY_BLOCK = 4096
 #: Classes up to which the table of those to compare is broadcast (16 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -176,35 +179,120 @@ def frequent_shingles(documents: DataFrame, id_col: str, text_col: str) -> np.nd
 def _describe(frequent: np.ndarray):
     def run(batches):
         for batch in arrow_batches(batches):
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, signs = [], [], [], []
             for own in arrow_shingle_sets(batch.column(1)):
                 sizes.append(len(own))
                 digests.append(_digest(own) if len(own) else None)
                 prefixes.append(prefix_of(own, frequent) if len(own) else own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(prefixes)], names=["id", "n", "digest", "prefix"])
+                signs.append(signature(own).tobytes() if len(own) else None)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(prefixes), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "prefix", "sign"])
 
     return run
 
 
-def _chain(batches):
-    """From rows (key, n, rep) in order: joins neighbours of one key whose sizes are compatible."""
-    forest, last = Forest(), None
+def _shared(batches):
+    """Of rows (key, n, rep) in order, those next to a row of the same key and a compatible size."""
+    held, linked_before = None, False
+
+    def rows(key, n, rep):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, n, rep)], names=["key", "n", "rep"])
+
     for batch in batches:
-        key, n, rep = (batch.column(i).to_numpy() for i in range(3))
-        if last is not None:
-            key, n, rep = (np.concatenate(([x], y)) for x, y in zip(last, (key, n, rep)))
-        last = key[-1], n[-1], rep[-1]
-        near = np.flatnonzero((key[1:] == key[:-1]) & (n[1:] * NUM <= n[:-1] * DEN))
-        if len(near):
-            # star around the first of each run, so that runs with the same members give the same edges
-            opens = np.concatenate(([True], near[1:] != near[:-1] + 1))
-            lead = rep[near[np.maximum.accumulate(np.where(opens, np.arange(len(near)), 0))]]
-            for a, b in zip(lead.tolist(), rep[near + 1].tolist()):
-                if a != b:
-                    forest.join(a, b)
+        if not batch.num_rows:
+            continue
+        now = [batch.column(i).to_numpy() for i in range(3)]
+        if held is not None:
+            now = [np.concatenate(([x], y)) for x, y in zip(held, now)]
+        key, n, rep = now
+        near = (key[1:] == key[:-1]) & (n[1:] * NUM <= n[:-1] * DEN)
+        keep = np.concatenate(([linked_before and held is not None], near))
+        keep[:-1] |= near
+        yield rows(key[:-1][keep[:-1]], n[:-1][keep[:-1]], rep[:-1][keep[:-1]])
+        held, linked_before = (key[-1], n[-1], rep[-1]), bool(near[-1]) if len(near) else linked_before
+    if held is not None and linked_before:
+        yield rows(*([x] for x in held))
+
+
+def signature_bits(n: int) -> int:
+    return 1 << min(14, max(8, (n - 1).bit_length()))
+
+
+def signature(own: np.ndarray) -> np.ndarray:
+    """Parity bitmap: bit h is the number of shingles that hash to h, modulo 2."""
+    bits = signature_bits(len(own))
+    odd = (np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def may_link(total, apart):
+    """Whether sets of ``total`` shingles together that differ in ``apart`` or more can reach the threshold."""
+    return (total - apart) // 2 * (NUM + DEN) >= NUM * total
+
+
+def _matrix(signs: list[np.ndarray], words: int) -> np.ndarray:
+    """The signatures of that width, and those of twice the width folded to it; others stay empty."""
+    out = np.zeros((len(signs), words), dtype=np.uint64)
+    for i, sign in enumerate(signs):
+        if len(sign) == words:
+            out[i] = sign
+        elif len(sign) == 2 * words:
+            out[i] = sign[:words] ^ sign[words:]
+    return out
+
+
+def spanning_pairs(sizes: np.ndarray, signs: list[np.ndarray], label: np.ndarray, side: np.ndarray | None, verify):
+    """Yields (i, j) that join members, sorted by size, which label does not join yet.
+
+    Pairs of compatible sizes that pass the signature test and verify(i, j) are joined; with side, only pairs of two sides.
+    """
+    m, matrices = len(sizes), {}
+    ends = np.searchsorted(sizes * NUM, sizes * DEN, side="right")  # one past the last with 4 n_j <= 5 n_i
+    for i in range(m - 1):
+        others = np.arange(i + 1, ends[i])
+        others = others[label[others] != label[i]]
+        if side is not None and len(others):
+            others = others[side[others] != side[i]]
+        if not len(others):
+            continue
+        words = len(signs[i])
+        if words not in matrices:
+            matrices[words] = _matrix(signs, words)
+        bits = matrices[words]
+        apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        for j in others[may_link(sizes[i] + sizes[others], apart)].tolist():
+            if label[j] != label[i] and verify(i, j):
+                label[label == label[j]] = label[i]
+                yield i, j
+
+
+def _regions(batches):
+    """Rows (key, low, high, side, n, rep, sign) in order: joins those of one tile of a key that may be linked."""
+    forest = Forest()
+
+    def flush(rows):
+        label = np.array([forest.root(r[2]) for r in rows])
+        if (label == label[0]).all():
+            return
+        side = np.array([r[0] for r in rows])
+        signs = [np.frombuffer(r[3], np.uint64) for r in rows]
+        sizes = np.array([r[1] for r in rows], dtype=np.int64)
+        for i, j in spanning_pairs(sizes, signs, label, side if (side != side[0]).any() else None, lambda i, j: True):
+            forest.join(rows[i][2], rows[j][2])
+
+    held, rows = None, []
+    for batch in batches:
+        for key, low, high, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            if (key, low, high) != held:
+                if len(rows) > 1:
+                    flush(rows)
+                held, rows = (key, low, high), []
+            rows.append(row)
         if len(forest.parent) > 1_000_000:
             yield edge_batch(*forest.stars())
             forest = Forest()
+    if len(rows) > 1:
+        flush(rows)
     yield edge_batch(*forest.stars())
 
 
@@ -225,15 +313,6 @@ def _arrays(digest_at: int):
     return run
 
 
-def _signatures(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """Parity bitmaps: bit h is the number of shingles that hash to h, modulo 2."""
-    out = np.zeros((len(sets), bits // 64), dtype=np.uint64)
-    for i, own in enumerate(sets):
-        odd = (np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-        out[i] = np.packbits(odd, bitorder="little").view(np.uint64)
-    return out
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """100 * intersection >= 80 * union, exactly."""
     if len(a) > len(b):
@@ -245,29 +324,12 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def compare_tile(reps, sizes: np.ndarray, side: np.ndarray, sets: list[np.ndarray]):
-    """Spanning links (i, j) of one tile.  side: band of each member; pairs of two bands are compared, or all if one band."""
+    """Spanning links of one tile.  side: band of each member; pairs of two bands are compared, or all if one band."""
     order = np.lexsort((reps, sizes))
-    reps, sizes, side, sets = reps[order], sizes[order], side[order], [sets[i] for i in order]
-    m, two = len(sets), len(np.unique(side)) > 1
-    bits = 64
-    while bits < min(8192, sizes.max()):
-        bits *= 2
-    signs = _signatures(sets, bits)
-    label = np.arange(m)
-    ends = np.searchsorted(sizes * NUM, sizes * DEN, side="right")  # the last with 4 n_j <= 5 n_i
-    for i in range(m):
-        others = np.arange(i + 1, ends[i])
-        others = others[label[others] != label[i]]
-        if two and len(others):
-            others = others[side[others] != side[i]]
-        if not len(others):
-            continue
-        total = sizes[i] + sizes[others]
-        apart = np.bitwise_count(signs[others] ^ signs[i]).sum(axis=1, dtype=np.int64)
-        for j in others[(total - apart) // 2 * (NUM + DEN) >= NUM * total].tolist():
-            if label[j] != label[i] and linked(sets[i], sets[j]):
-                label[label == label[j]] = label[i]
-                yield int(reps[i]), int(reps[j])
+    sets = [sets[i] for i in order]
+    side = side[order] if len(np.unique(side)) > 1 else None
+    for i, j in spanning_pairs(sizes[order], [signature(x) for x in sets], np.arange(len(sets)), side, lambda i, j: linked(sets[i], sets[j])):
+        yield int(reps[order[i]]), int(reps[order[j]])
 
 
 def _tiles(batches):
@@ -301,15 +363,25 @@ def ngram_components(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     kind = documents.schema[id_col].dataType
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     frequent = frequent_shingles(docs, "id", "text")
-    sets = materialize(docs.mapInArrow(_describe(frequent), "id long, n long, digest binary, prefix array<long>"), "jaccard-sets", "lz4")
-    classes = (
-        sets.where("n > 0 and id is not null")
-        .groupBy("digest")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    )
-    classes = materialize(classes, "jaccard-classes", "lz4")
-    entries = classes.select(F.explode("prefix").alias("key"), "n", "rep")
-    chained = entries.repartition(F.col("key")).sortWithinPartitions("key", "n", "rep").mapInArrow(_chain, "a long, b long")
+    sets = materialize(docs.mapInArrow(_describe(frequent), "id long, n long, digest binary, prefix array<long>, sign binary"), "jaccard-sets", "lz4")
+    full = sets.where("n > 0 and id is not null")
+    classes = materialize(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("k")), "jaccard-classes")
+    # copies: members of a class that do not stand for it
+    copies = full.select("id", "digest").join(classes.where("k > 1").select("digest", "rep"), "digest").where("id <> rep").select("id", "digest")
+    copies = materialize(copies, "jaccard-copies")
+    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    standing = full.join(F.broadcast(copies) if few else copies, ["id", "digest"], "left_anti")
+    entries = standing.select(F.explode("prefix").alias("key"), "n", F.col("id").alias("rep"))
+    shared = entries.repartition(F.col("key")).sortWithinPartitions("key", "n", "rep").mapInArrow(_shared, "key long, n long, rep long")
+    shared = materialize(shared, "jaccard-shared")
+    # a key of many classes is dealt into blocks; each pair of blocks is a tile of its own
+    hot = materialize(shared.groupBy("key").agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "jaccard-hot")
+    few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    dealt = shared.join(F.broadcast(hot) if few else hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("side", F.pmod(F.hash("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "n", "rep")
+    signed = dealt.join(standing.select(F.col("id").alias("rep"), "sign"), "rep").select("key", "low", "high", "side", "n", "rep", "sign")
+    chained = signed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "rep").mapInArrow(_regions, "a long, b long")
     regions = connected_components(chained)
     regions = regions.unionByName(regions.select(F.col("root").alias("node"), "root").distinct())
     members = classes.select("rep", "n", "digest").join(regions, F.col("rep") == F.col("node")).select("rep", "n", "digest", "root")
@@ -331,7 +403,7 @@ def ngram_components(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     dealt = arrays.select(F.explode("tiles.tiles").alias("tile"), F.col("tiles.band").alias("band"), "rep", "n", "grams")
     links = dealt.repartition(F.col("tile")).sortWithinPartitions("tile", "rep").mapInArrow(_tiles, "a long, b long")
     # a repeated id is one node: it joins the classes that it is in
-    ids = sets.where("n > 0 and id is not null").select("id", "digest").distinct()
+    ids = full.select("id", "digest").distinct()
     twice = ids.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
     same = ids.join(twice, "id").join(classes.select("digest", "rep"), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     roots = connected_components(links.unionByName(same))
