@@ -51,6 +51,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded_join(left: DataFrame, right: DataFrame, on, most_rows: int, how: str = "inner") -> DataFrame:
+    """Join with a written table: broadcast if it has at most most_rows rows, else by a shuffle, whose skewed partitions AQE splits."""
+    few = right.limit(most_rows + 1).count() <= most_rows
+    return left.join(F.broadcast(right) if few else right, on, how)
+
+
 def ascii_lower(col):
     """Lower-case A-Z only, as the contracts ask; other letters stay."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_join, materialize
 
 
 class Forest:
@@ -47,6 +47,8 @@ class Forest:
 
 #: Edges that a task holds before it hands on what it has contracted.
 HELD = 1_000_000
+#: Nodes up to which a table of minima is broadcast (16 bytes each).
+BROADCAST_NODES = 500_000
 
 
 def edge_batch(a, b) -> pa.RecordBatch:
@@ -67,20 +69,21 @@ def _contract(batches):
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) to (node, root): root is the least id of a node's component; lone nodes have no row."""
-    held = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long"), "cc")
+    held = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct(), "cc")
     seen = None
     while True:
         now = tuple(held.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if now == seen or now[0] == 0:
             return held.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
+        # the minima are written before they are joined: a node with many neighbours is then split or broadcast, not gathered
         # large star: each larger neighbour of u points to the least of u and its neighbours
         both = held.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(held.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
+        large = bounded_join(both, least, "u", BROADCAST_NODES).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "cc")
         # small star: each smaller neighbour of u, and u, point to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        small = bounded_join(large, least, "u", BROADCAST_NODES)
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         held = materialize(small.where("a <> b").distinct(), "cc")
