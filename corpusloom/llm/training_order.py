@@ -1,20 +1,22 @@
 """Training-order materialisation: token-id shards in the order of a keyed permutation.
 
-A Parquet source is tokenised (byte-level BPE; the vocabulary's path is a
+A Parquet source is tokenised once (byte-level BPE; the vocabulary's path is a
 parameter); each document's ids and an end mark are cut into sequences of
-``seq_len`` ids, the last padded.  Sequences are numbered in source order, and a
-keyed Feistel network with cycle-walking maps number to slot, a bijection of
-[0, n).  Slot ranges of ``shard_slots`` are shards: partition s holds the slots
-of shard s in order and writes them as fixed-stride binary records, so a reader
-finds slot k at byte (k % shard_slots) * stride of its shard and can resume
-anywhere.  A record is a header (flag, doc id, piece, number of ids), the ids,
-and a line feed, which is the text writer's separator; that writer commits a job
-atomically on any Hadoop file system.
-
-Two passes over the source: the first counts sequences of each run of
-consecutive rows of a file that a task reads (a row for each file split goes to
-the driver), the second numbers them from the runs' offsets.  A second pass that
-sees other runs than the first fails rather than mis-numbers.
+``seq_len`` ids, the last padded.  A text of b bytes has b tokens at most, so it
+is given ceil((b + 1) / seq_len) numbers, in source order, of which its sequences
+take the first.  A keyed Feistel network with cycle-walking permutes the numbers;
+a sequence's slot is the rank of its permuted number, so slots are dense and no
+token is counted before it is written.  Ranges of ``shard_width`` permuted numbers
+are shards: partition s holds shard s in order and writes it as fixed-stride
+binary records, and the manifest names each shard's first slot.  A reader finds
+slot k at byte (k - first) * stride of its shard and can resume anywhere.  A
+record is a header (flag, doc id, piece, number of ids), the ids, and a line feed,
+which is the text writer's separator; that writer commits a job atomically on any
+Hadoop file system.
+
+Before, a scan of text lengths sums the numbers of each run of consecutive rows
+of a file that a task reads (a row for each file split goes to the driver).  A
+write that sees other runs than that scan fails rather than mis-numbers.
 
 Defined results: null and empty texts give no sequence; a null document id is
 kept as null; repeated rows give sequences of their own; an empty table gives an
@@ -28,13 +30,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, shared_path
 
 SEQ_LEN = 256
-SHARD_SLOTS = 16_384
+#: Permuted numbers of a shard; two in five, about, are sequences of ordinary text.
+SHARD_WIDTH = 40_960
 KEY = 0x5EED_2024
 ROUNDS = 6
 #: Runs of rows (about one for each file split) whose offsets tasks are given.
@@ -82,25 +85,30 @@ class Feistel:
         return self._walk(slot, self.keys[::-1], True)
 
 
-_encoders: dict[str, object] = {}
+class Vocabulary:
+    """Byte-level BPE of a rank file."""
 
-
-def load_vocabulary(path: str):
-    """A function text -> array of ids, and the id that ends a document (the first free one); kept in a worker."""
-    if path not in _encoders:
+    def __init__(self, path: str):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        core = getattr(encoding, "_core_bpe", None)
-        if hasattr(core, "encode_to_tiktoken_buffer"):
-            none: set = set()
-            encode = lambda text: np.frombuffer(core.encode_to_tiktoken_buffer(text, none), np.uint32)
-        else:
-            encode = lambda text: np.array(encoding.encode_ordinary(text), np.uint32)
-        _encoders[path] = encode, max(ranks.values()) + 1
-    return _encoders[path]
+        self.end = max(ranks.values()) + 1
+        self.kind = np.dtype(id_type_of(self.end + 1))
+        self.encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(text), self.kind)
+
+
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def load_vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a file; a worker reads it once."""
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
 
 
 def record_dtype(seq_len: int, id_type: str) -> np.dtype:
@@ -112,134 +120,132 @@ def id_type_of(vocabulary_size: int) -> str:
     return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
 
 
-def _n_sequences(tokens: int, seq_len: int) -> int:
-    return -(-(tokens + 1) // seq_len) if tokens else 0
-
-
 def _read(spark: SparkSession, source: str, id_col: str, text_col: str) -> DataFrame:
     return spark.read.parquet(source).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def _count_runs(vocabulary: str, seq_len: int):
+def _numbers(size: int | None, seq_len: int) -> int:
+    """Numbers that a text of so many bytes is given."""
+    return -(-(size + 1) // seq_len) if size else 0
+
+
+def _sum_runs(seq_len: int):
     def run(batches):
-        encode, _ = load_vocabulary(vocabulary)
         held, out = None, []
         for batch in batches:
-            for text, file, row in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for size, file, row in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if held is None or held[0] != file or held[1] + held[2] != row:
                     held = [file, row, 0, 0]
                     out.append(held)
                 held[2] += 1
-                held[3] += _n_sequences(len(encode(text.as_py())), seq_len) if text.is_valid else 0
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), *(pa.array([r[i] for r in out], pa.int64()) for i in (1, 2, 3))], names=["file", "row", "n_rows", "n_sequences"])
+                held[3] += _numbers(size, seq_len)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), *(pa.array([r[i] for r in out], pa.int64()) for i in (1, 2, 3))], names=["file", "row", "n_rows", "numbers"])
 
     return run
 
 
 def _place(vocabulary: str, seq_len: int, offsets: dict, n: int, key: int):
     def run(batches):
-        encode, end = load_vocabulary(vocabulary)
-        kind = record_dtype(seq_len, id_type_of(end + 1))
+        words = load_vocabulary(vocabulary)
+        kind = record_dtype(seq_len, words.kind.str)
         feistel = Feistel(n, key)
+        size = kind.itemsize - 1  # the writer adds the line feed
         file_now, next_row, at, last = None, -1, 0, 0
 
         def check():
             if file_now is not None and at != last:
-                raise RuntimeError(f"{file_now}: rows were read in other runs than when they were counted")
+                raise RuntimeError(f"{file_now}: rows were read in other runs than when they were summed")
 
         for batch in arrow_batches(batches, 2 << 20):
             ids, texts, files, rows = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            start, blocks = at, []
-            pending = []
-
-            def hand_on(first, blocks):
-                records = np.concatenate(blocks)
-                slots = feistel.slot(np.arange(first, first + len(records)))
-                size = kind.itemsize - 1  # the writer adds the line feed
-                raw = records.view(np.uint8).reshape(len(records), kind.itemsize)[:, :size]
-                value = pa.Array.from_buffers(pa.binary(), len(records), [None, pa.py_buffer((np.arange(len(records) + 1, dtype=np.int32) * size)), pa.py_buffer(np.ascontiguousarray(raw))])
-                return pa.RecordBatch.from_arrays([pa.array(slots), value], names=["slot", "record"])
-
+            blocks, numbers = [], []
             for i in range(batch.num_rows):
                 if files[i] != file_now or rows[i] != next_row:
-                    if blocks:
-                        pending.append(hand_on(start, blocks))
                     check()
-                    file_now, blocks = files[i], []
-                    start = at = offsets[files[i], rows[i]][0]
-                    last = offsets[files[i], rows[i]][1]
+                    file_now = files[i]
+                    at, last = offsets[files[i], rows[i]]
                 next_row = rows[i] + 1
-                if not texts[i].is_valid:
-                    continue
-                tokens = encode(texts[i].as_py())
-                m = _n_sequences(len(tokens), seq_len)
-                if not m:
+                if not texts[i].is_valid or not (given := _numbers(texts[i].as_buffer().size, seq_len)):
                     continue
+                tokens = words.encode(texts[i].as_py())
+                m = -(-(len(tokens) + 1) // seq_len)
                 block = np.zeros(m, dtype=kind)
                 block["flag"], block["doc_id"], block["piece"] = ids[i] is None, ids[i] or 0, np.arange(m)
-                flat = np.full(m * seq_len, end, dtype=kind["tokens"].base)
+                flat = np.full(m * seq_len, words.end, dtype=words.kind)
                 flat[: len(tokens)] = tokens
                 block["tokens"] = flat.reshape(m, seq_len)
                 block["n_tokens"] = seq_len
                 block["n_tokens"][-1] = len(tokens) + 1 - (m - 1) * seq_len
                 blocks.append(block)
-                at += m
+                numbers.append(np.arange(at, at + m))
+                at += given
             if blocks:
-                pending.append(hand_on(start, blocks))
-            yield from pending
+                records = np.concatenate(blocks)
+                raw = np.ascontiguousarray(records.view(np.uint8).reshape(len(records), kind.itemsize)[:, :size])
+                ends = np.arange(len(records) + 1, dtype=np.int32) * size
+                value = pa.Array.from_buffers(pa.binary(), len(records), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(feistel.slot(np.concatenate(numbers))), value], names=["permuted", "record"])
         check()
 
     return run
 
 
-def write_training_order(spark: SparkSession, source: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> int:
-    """Writes the shards below path (shard=<number>/...); returns the number of sequences."""
+def write_training_order(spark: SparkSession, source: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, seq_len: int = SEQ_LEN, shard_width: int = SHARD_WIDTH, key: int = KEY) -> None:
+    """Writes the shards below path (shard=<number>/...) and their manifest (_manifest: shard, first_slot, n_slots)."""
     rows = _read(spark, source, id_col, text_col)
-    runs = rows.mapInArrow(_count_runs(vocabulary, seq_len), "file string, row long, n_rows long, n_sequences long").collect()
+    runs = rows.select(F.octet_length("text").cast("long"), "file", "row").mapInArrow(_sum_runs(seq_len), "file string, row long, n_rows long, numbers long").collect()
     if len(runs) > MOST_RUNS:
         raise ValueError(f"{len(runs)} runs of rows: raise spark.sql.files.maxPartitionBytes")
     offsets, n = {}, 0
     for r in sorted(runs):
-        offsets[r["file"], r["row"]] = n, n + r["n_sequences"]
-        n += r["n_sequences"]
-    shards = max(1, -(-n // shard_slots))
-    placed = rows.mapInArrow(_place(vocabulary, seq_len, offsets, n, key), "slot long, record binary")
-    placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int"))
-    placed = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+        offsets[r["file"], r["row"]] = n, n + r["numbers"]
+        n += r["numbers"]
+    placed = rows.mapInArrow(_place(vocabulary, seq_len, offsets, n, key), "permuted long, record binary")
+    placed = placed.withColumn("shard", F.floor(F.col("permuted") / shard_width).cast("int"))
+    placed = placed.repartitionById(max(1, -(-n // shard_width)), F.col("shard")).sortWithinPartitions("shard", "permuted")
     placed.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
-    return n
+    stride = record_dtype(seq_len, load_vocabulary(vocabulary).kind.str).itemsize
+    files = _shard_files(spark, path)
+    sizes = files.select("shard", (F.col("length") / stride).cast("long").alias("n_slots")) if files else spark.createDataFrame([], "shard int, n_slots long")
+    before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    sizes.select("shard", F.coalesce(F.sum("n_slots").over(before), F.lit(0)).alias("first_slot"), "n_slots").write.parquet(f"{path}/_manifest")
+
+
+def _shard_files(spark: SparkSession, path: str) -> DataFrame | None:
+    files = spark.read.format("binaryFile").load(path)
+    return files.withColumn("shard", F.col("shard").cast("int")) if "shard" in files.columns else None  # nothing was written
 
 
-def read_training_order(spark: SparkSession, path: str, *, vocabulary_size: int = 50_257, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def read_training_order(spark: SparkSession, path: str, *, vocabulary_size: int = 50_257, seq_len: int = SEQ_LEN) -> DataFrame:
     """One row per slot, read back from the shards: slot, shard, byte_offset, doc_id, piece, n_tokens, tokens_crc32."""
     kind = record_dtype(seq_len, id_type_of(vocabulary_size))
+    shape = "slot long, shard int, byte_offset long, doc_id long, piece long, n_tokens long, tokens_crc32 long"
 
     def run(batches):
         for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for shard, first, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = np.frombuffer(content.as_buffer(), dtype=kind)
                 if len(data) and (data["end"] != 10).any():
                     raise ValueError(f"shard {shard} is not of this stride")
                 at = np.arange(len(data), dtype=np.int64)
-                crc = [zlib.crc32(t.tobytes()) for t in data["tokens"]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(at + shard * shard_slots),
+                        pa.array(at + first),
                         pa.array(np.full(len(data), shard, np.int32)),
                         pa.array(at * kind.itemsize),
                         pa.array(data["doc_id"].astype(np.int64), mask=data["flag"] == 1),
                         pa.array(data["piece"].astype(np.int64)),
                         pa.array(data["n_tokens"].astype(np.int64)),
-                        pa.array(crc, pa.int64()),
+                        pa.array([zlib.crc32(t.tobytes()) for t in data["tokens"]], pa.int64()),
                     ],
                     names=["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "tokens_crc32"],
                 )
 
-    shape = "slot long, shard int, byte_offset long, doc_id long, piece long, n_tokens long, tokens_crc32 long"
-    files = spark.read.format("binaryFile").load(path)
-    if "shard" not in files.columns:  # nothing was written
+    files = _shard_files(spark, path)
+    if files is None:
         return spark.createDataFrame([], shape)
-    return files.select(F.col("shard").cast("int"), "content").mapInArrow(run, shape)
+    manifest = spark.read.parquet(f"{path}/_manifest").select("shard", "first_slot")
+    return files.join(F.broadcast(manifest), "shard").select("shard", "first_slot", "content").mapInArrow(run, shape)  # 20 bytes a shard
 
 
 def read_slots(data: bytes, first: int, count: int, *, seq_len: int = SEQ_LEN, vocabulary_size: int = 50_257) -> np.ndarray:
