@@ -12,7 +12,17 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Content of an Arrow batch between the JVM and a Python worker; an executor's workers hold a few at a time.
+ARROW_BATCH = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as rows may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -39,6 +49,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark, label)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

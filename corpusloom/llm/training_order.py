@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, shared_path
+from .common import arrow_batches, shared_path, small_batches
 
 SEQ_LEN = 256
 #: Permuted numbers of a shard; two in five, about, are sequences of ordinary text.
@@ -192,6 +192,7 @@ def _place(vocabulary: str, seq_len: int, offsets: dict, n: int, key: int):
 
 def write_training_order(spark: SparkSession, source: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, seq_len: int = SEQ_LEN, shard_width: int = SHARD_WIDTH, key: int = KEY) -> None:
     """Writes the shards below path (shard=<number>/...) and their manifest (_manifest: shard, first_slot, n_slots)."""
+    small_batches(spark)
     rows = _read(spark, source, id_col, text_col)
     runs = rows.select(F.octet_length("text").cast("long"), "file", "row").mapInArrow(_sum_runs(seq_len), "file string, row long, n_rows long, numbers long").collect()
     if len(runs) > MOST_RUNS:
