@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize
+
 WINDOW = 10
 #: Most benchmark text in one block of patterns held by an executor's worker.
 BLOCK_BYTES = 4 << 20
@@ -118,7 +120,7 @@ class Searcher:
 
 def merge_spans(spans) -> list[list[int]]:
     merged: list[list[int]] = []
-    for start, end in sorted(spans):
+    for start, end in sorted(map(tuple, spans)):
         if merged and start <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], end)
         else:
@@ -207,7 +209,7 @@ def find_contamination(
         if held is not None:
             state = state.mapInArrow(_searching(held, window, False), _STATE)
             if n % CHAIN == 0:
-                state = state.checkpoint()
+                state = materialize(state, "decontaminate")
         held = block
     state = state.mapInArrow(_searching(held, window, True), _STATE)
     return state.select(F.col("id").alias(id_col), "n_words", "spans", "items")
