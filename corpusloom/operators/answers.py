@@ -147,6 +147,9 @@ def presented(citations: DataFrame) -> DataFrame:
     )
 
 
+# The sentences and headings of the functions that follow, which answers are compared by.
+
+
 @dataclass
 class Answer:
     answer: str
@@ -192,23 +195,22 @@ def module_answer(summary: str, citations: list[dict]) -> str:
     return "\n".join([*said, "## 🛠 Developer Cheat Sheet", *(f"- Start with `{c['label']}` for safe edits in this area." for c in citations[:4])])
 
 
-def build_prompt(query: str, kind: str, documents: list[dict], citations: list[dict], context: list[dict], assistant: str = "a codebase assistant") -> str:
-    """The text given to a generator: context first, the question last."""
-    shape = {
-        "project_overview": "Return a professional architecture walkthrough with sections: Executive Summary, System Structure, Runtime Flow, Key Modules, Risks, and Next Steps.",
-        "file_list": "Return a concise grouped file list.",
-        "general": "Answer as a principal software engineer mentoring a teammate. Use sections: Direct Answer, Technical Breakdown, Evidence, Risks/Trade-offs, and Suggested Next Steps.",
-    }[kind]
-    said = [f"System: You are {assistant}. Use ONLY the indexed context below. Never invent files, symbols, behavior, or line numbers. Cite file paths with line numbers. If context is insufficient, say what is missing. {shape}", ""]
+_ASKED_FOR = {
+    "project_overview": "Describe the project: what it is for, its parts, how they work together, what is risky, and where to go on.",
+    "file_list": "List the files, grouped by folder.",
+    "general": "Answer the question first, then explain how the code does it, what shows that, and what to look out for.",
+}
+
+
+def build_prompt(query: str, kind: str, documents: list[dict], citations: list[dict], context: list[dict]) -> str:
+    """The text given to a generator: rules, context from the index, then the question."""
+    said = [f"Use only the context below; name files and lines; say what is missing rather than guess. {_ASKED_FOR[kind]}", ""]
     if kind == "project_overview":
-        said += ["### Indexed File Map", *(f"- {d['path']} ({d['kind']})" for d in documents[:80]), ""]
-    said.append("### Code Context")
+        said += ["Files:", *(f"- {d['path']} ({d['kind']})" for d in documents[:80]), ""]
     for i, c in enumerate(citations, 1):
-        span = f"{c['start_line']}-{c['end_line']}" if c["start_line"] is not None and c["end_line"] is not None else "unknown-lines"
-        said += [f"File {i} {c['path']}:{span}", "Content:", c["snippet"], ""]
-    if context:
-        said += ["### Related Symbols", *(f"- Symbol '{c['name']}' in '{c['path']}' (Relation: {c['relation']})" for c in context)]
-    return "\n".join([*said, "", f"Question: {query}", "", "Assistant:"])
+        said += [f"[{i}] {c['label']}", c["snippet"], ""]
+    said += [f"- {c['name']} in {c['path']} ({c['relation']})" for c in context]
+    return "\n".join([*said, "", f"Question: {query}", "Answer:"])
 
 
 def ask(chunks: DataFrame, embeddings: DataFrame, documents: DataFrame, symbols: DataFrame, edges: DataFrame, query: str, *, active_path: str | None = None, generate: Callable[[str], str] | None = None) -> Answer:

@@ -70,6 +70,7 @@ def render_pages(symbols: DataFrame) -> DataFrame:
     def titled(name: str, title: str) -> Column:
         return F.coalesce(F.concat(F.lit(f"### {title}\n"), F.try_element_at("s", F.lit(name)), F.lit("\n\n")), F.lit(""))
 
+    # fixed values: headings and sentences of a page
     page = F.concat(
         F.lit("# `"), F.col("path"), F.lit("`\n\n> Generated from local parser symbols ("), F.col("symbols").cast("string"), F.lit(" found). This page summarizes structure and likely responsibilities.\n\n"),
         F.lit("## Quick Summary\n\n- Role: **"), F.col("profile"), F.lit("**\n- Structure: "),

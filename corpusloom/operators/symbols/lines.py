@@ -75,10 +75,12 @@ def is_comment(line: Column, language: Column) -> Column:
     return out
 
 
-def symbol_of(line: Column, language: Column) -> Column:
-    """struct<name, kind> of a line without white space before it, or null."""
+def symbol_of(line: Column, language: Column | str) -> Column:
+    """struct<name, kind> of a line without white space before it, or null; of one language if it is given as a string."""
     out = F.lit(None).cast("struct<name:string,kind:string>")
     for name, rules in RULES.items():
+        if isinstance(language, str) and name != language:
+            continue
         found = F.lit(None).cast("struct<name:string,kind:string>")
         for pattern, kind in reversed(rules):
             text = F.regexp_extract(line, pattern, 1)
@@ -86,7 +88,7 @@ def symbol_of(line: Column, language: Column) -> Column:
             if name in ("json", "toml", "ini") and pattern in (RULES["json"][0][0], RULES["toml"][0][0]):
                 given = F.when(line.rlike(pattern), text)
             found = F.coalesce(F.when(given.isNotNull(), F.struct(given.alias("name"), F.lit(kind).alias("kind"))), found)
-        out = F.when(language == name, found).otherwise(out)
+        out = found if isinstance(language, str) else F.when(language == name, found).otherwise(out)
     return out
 
 
@@ -119,9 +121,17 @@ def _symbol(name: Column, kind: Column, line: Column, number: Column) -> Column:
 def line_symbols(files: DataFrame) -> DataFrame:
     """path, language, content to symbols; a file without any gives one named after it."""
     split = files.select("path", "language", lines("content").alias("lines"))
-    rows = split.select("path", "language", F.posexplode("lines").alias("number", "line"))
-    rows = rows.withColumn("text", trim_white_start("line")).where((F.col("text") != "") & ~is_comment(F.col("text"), F.col("language")))
-    rows = rows.select("path", "line", (F.col("number") + 1).alias("number"), symbol_of(F.col("text"), F.col("language")).alias("s"), import_of(F.col("text"), F.col("language")).alias("i"))
+    # rules are tried inside an array function: as plain columns their generated code would be too long to compile
+    tried = F.transform(
+        "lines",
+        lambda line, i: F.struct(
+            line.alias("line"),
+            (i + 1).alias("number"),
+            F.when((trim_white_start(line) != "") & ~is_comment(trim_white_start(line), F.col("language")), F.struct(symbol_of(trim_white_start(line), F.col("language")).alias("s"), import_of(trim_white_start(line), F.col("language")).alias("i"))).alias("found"),
+        ),
+    )
+    rows = split.select("path", F.explode(F.filter(tried, lambda x: x["found"]["s"].isNotNull() | x["found"]["i"].isNotNull())).alias("x"))
+    rows = rows.select("path", "x.line", "x.number", F.col("x.found.s").alias("s"), F.col("x.found.i").alias("i"))
     line, number = F.col("line"), F.col("number")
     both = F.filter(
         F.array(F.when(F.col("i").isNotNull(), _symbol(F.col("i"), F.lit("import"), line, number)), F.when(F.col("s").isNotNull(), _symbol(F.col("s.name"), F.col("s.kind"), line, number))),

@@ -124,7 +124,8 @@ class Engine:
         touched = todo.unionByName(actions.where("status = 'deleted'").select("path"))
         new_symbols = graph.graph_symbols(symbols).cache()
         new_files = scanned.join(todo, "path", "left_semi").select("path", "language", F.lit(now).alias("updated_at"))
-        for name, batch, key in (("graph_symbols", new_symbols, "path"), ("graph_contains", graph.contains(symbols), "file_path"), ("graph_files", new_files, "path")):
+        new_edges = new_symbols.select(F.col("path").alias("file_path"), F.col("id").alias("symbol_id"))
+        for name, batch, key in (("graph_symbols", new_symbols, "path"), ("graph_contains", new_edges, "file_path"), ("graph_files", new_files, "path")):
             self.write(name, graph.replace_files(self.table(name), batch, touched, key))
         live = scanned.withColumn("last_indexed_at", F.lit(None).cast("string")).withColumn("status", F.lit("unchanged"))
         indexed = actions.where("not (skipped and status = 'unchanged')").select("path")

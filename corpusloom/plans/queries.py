@@ -33,7 +33,7 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 def document_files(spark, sf_dir: str) -> DataFrame:
     """documents as files: path, content, updated_at."""
     path = F.concat(F.lit("docs/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.col("text").alias("content"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", path.alias("path"), F.col("text").alias("content"))
 
 
 FILES = "files AS (SELECT doc_id, concat('docs/', lang, '/', source, '/', doc_id, '.md') AS path, text AS content FROM documents)"
@@ -358,17 +358,17 @@ def citation_labels(spark, sf_dir):
 
 # --- snapshots
 
-_OLD = "old AS (SELECT doc_id, concat('docs/', lang, '/', source, '/', doc_id, '.md') AS path, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0)"
-_NEW = "new AS (SELECT doc_id, concat('docs/', lang, '/', source, '/', doc_id, '.md') AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0)"
+_OLD = "old AS (SELECT doc_id, concat('docs/', lang, '/', source, '/', doc_id, '.md') AS path, sha256(text) AS h FROM documents WHERE source <> 'src1')"
+_NEW = "new AS (SELECT doc_id, concat('docs/', lang, '/', source, '/', doc_id, '.md') AS path, sha256(CASE WHEN source = 'src3' THEN text || '!' ELSE text END) AS h FROM documents WHERE source <> 'src2')"
 _CHANGES = f"{_OLD}, {_NEW}, ch AS (SELECT coalesce(n.path, o.path) AS path, CASE WHEN n.path IS NULL THEN 'deleted' WHEN o.path IS NULL THEN 'new' WHEN n.h <> o.h THEN 'changed' ELSE 'unchanged' END AS status FROM old o FULL JOIN new n USING (path))"
 
 
 def _snapshots(spark, sf_dir):
-    """Two states of the documents: the stored table and a later scan."""
+    """Two states of the documents: the stored table, before one source came, and a scan after another went and a third was edited."""
     rows = document_files(spark, sf_dir)
-    old = snapshot.describe_files(rows.where("doc_id % 10 <> 0"), "ws").withColumn("last_indexed_at", F.lit("1")).withColumn("status", F.lit("unchanged"))
-    edited = F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
-    return old, snapshot.describe_files(rows.where("doc_id % 7 <> 0").withColumn("content", edited), "ws")
+    old = snapshot.describe_files(rows.where("source <> 'src1'"), "ws").withColumn("last_indexed_at", F.lit("1")).withColumn("status", F.lit("unchanged"))
+    edited = F.when(F.col("source") == "src3", F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    return old, snapshot.describe_files(rows.where("source <> 'src2'").withColumn("content", edited), "ws")
 
 
 @query("SELECT concat('docs/', lang, '/', source, '/', doc_id, '.md') AS path, CAST(strlen(text) AS BIGINT) AS size_bytes, sha256(text) AS content_hash FROM documents")
@@ -613,8 +613,8 @@ def adjacent_repeats(spark, sf_dir):
 
 @query()
 def overview_answer(spark, sf_dir):
-    """The text of an overview question's answer over the first documents."""
-    files = document_files(spark, sf_dir).where("doc_id < 40").select("path", paths.document_kind("path").alias("kind"), F.col("path").alias("title"), "content")
+    """The text of an overview question's answer."""
+    files = document_files(spark, sf_dir).select("path", paths.document_kind("path").alias("kind"), F.col("path").alias("title"), "content")
     rows = chunks.chunk_documents(files.select("path", "content"))
     _, symbols, edges = _nation_graph(spark, sf_dir)
     said = answers.ask(rows, search.embed_chunks(rows), files, symbols, edges, "What does this project do? thing")
@@ -627,7 +627,7 @@ def overview_answer(spark, sf_dir):
 @query(r"""SELECT event_id, regexp_extract(ltrim(props, '{ '), '^"([^"]*)"\s*:', 1) AS name FROM events WHERE regexp_matches(ltrim(props, '{ '), '^"([^"]*)"\s*:')""")
 def json_keys(spark, sf_dir):
     line = F.regexp_replace("props", r"^[{ ]+", "")
-    return table(spark, sf_dir, "events").select("event_id", symbol_of(line, F.lit("json"))["name"].alias("name")).where("name is not null")
+    return table(spark, sf_dir, "events").select("event_id", symbol_of(line, "json")["name"].alias("name")).where("name is not null")
 
 
 @query(r"""WITH l AS (SELECT page_id, regexp_replace(unnest(string_split(html, chr(10))), '^\s+', '') AS line FROM pages)
@@ -635,7 +635,7 @@ SELECT page_id, regexp_replace(regexp_extract(line, '^<[&*$@]*([\p{L}\p{N}_\-.:\
 WHERE regexp_matches(line, '^<[^/?!]') AND regexp_matches(line, '^<[&*$@]*[\p{L}\p{N}_\-.:\\]+') GROUP BY 1, 2""")
 def markup_tags(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.explode(text.lines("html")).alias("line"))
-    return rows.select("page_id", symbol_of(text.trim_white_start("line"), F.lit("xml"))["name"].alias("name")).where("name is not null").groupBy("page_id", "name").agg(F.count("*").alias("n"))
+    return rows.select("page_id", symbol_of(text.trim_white_start("line"), "xml")["name"].alias("name")).where("name is not null").groupBy("page_id", "name").agg(F.count("*").alias("n"))
 
 
 _CODE = [
@@ -649,8 +649,9 @@ _SQL = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"  # no
 
 @query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_SQL, row)) + ")" for row in _CODE) + ") v(language, line, name, kind)")
 def line_symbols(spark, sf_dir):
-    rows = spark.createDataFrame([r[:2] for r in _CODE], "language string, line string").withColumn("s", symbol_of(F.col("line"), F.col("language")))
-    return rows.select("language", "line", "s.name", "s.kind")
+    rows = spark.createDataFrame([r[:2] for r in _CODE], "language string, line string")
+    found = F.transform(F.array("line"), lambda x: symbol_of(x, F.col("language")))
+    return rows.select("language", "line", F.get(found, F.lit(0)).alias("s")).select("language", "line", "s.name", "s.kind")
 
 
 @query("SELECT * FROM (VALUES ('go', 'import \"fmt\"', 'fmt'), ('java', 'import a.b.C;', 'a.b.C'), ('ruby', 'require ''json''', 'json'), ('php', 'use A\\B;', 'A\\B'), ('rust', 'use std::fs;', NULL), ('swift', 'import UIKit', 'UIKit')) v(language, line, name)")
