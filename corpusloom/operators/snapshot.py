@@ -150,3 +150,8 @@ def finish_run(runs: DataFrame, run_id: int, finished_at: str, files_seen: int,
 
 def latest_run(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc("id")).limit(1)
+
+
+def cascade(children: DataFrame, parents: DataFrame, key: str = "path") -> DataFrame:
+    """The rows whose parent still exists: what a foreign key with cascading deletes leaves."""
+    return children.join(parents.select(key).distinct(), key, "left_semi")

@@ -216,6 +216,11 @@ class Engine:
         files = sources.scan_tree(self.spark, f"file://{self.root}", lambda _: F.lit(True))
         return schemas.detect_schema(files.select("path", "content"))
 
+    def reset(self) -> None:
+        """Forgets all that is derived from the workspace; settings stay."""
+        for name in SCHEMAS:
+            self.write(name, self.spark.createDataFrame([], SCHEMAS[name]))
+
     # --- settings
 
     def get_settings(self) -> Settings:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, paths, text, vectors
-from ..operators import answers, chunks, filters, graph, search, snapshot, tree
+from ..operators import answers, chunks, filters, graph, pages, schemas, search, snapshot, tree, views
+from ..operators.symbols import parse_files
 from ..operators.symbols.lines import import_of, symbol_of
+from ..sources.files import resolve_root, root_scores, work_path
 from ..streaming import watch
 
 QUERIES: dict = {}
@@ -519,8 +521,6 @@ def graph_legend(spark, sf_dir):
 
 @query(f"WITH {_GRAPH} SELECT path, CAST(count(*) AS BIGINT) AS symbols, CAST(count_if(kind = 'function') AS BIGINT) AS n_function, CAST(count_if(kind = 'import') AS BIGINT) AS n_import, CAST(count_if(kind = 'function' AND regexp_matches(name, '^use[A-Z]')) AS BIGINT) AS n_hook, CASE WHEN count_if(kind = 'function' AND regexp_matches(name, '^use[A-Z]')) > 0 THEN 'React hook module' ELSE 'General utility/module' END AS profile FROM g GROUP BY path")
 def page_kind_counts(spark, sf_dir):
-    from ..operators import pages
-
     return pages.kind_counts(_nation_graph(spark, sf_dir)[1]).select("path", "symbols", "n_function", "n_import", "n_hook", "profile")
 
 
@@ -533,15 +533,11 @@ SELECT path, section, CAST(rank AS INTEGER) AS rank, CASE WHEN section = 'extern
 FROM k WHERE rank <= CASE section WHEN 'external' THEN 20 WHEN 'hooks' THEN 12 ELSE 16 END"""
 )
 def page_sections(spark, sf_dir):
-    from ..operators import pages
-
     return pages.sections(_nation_graph(spark, sf_dir)[1])
 
 
 @query()
 def generated_pages(spark, sf_dir):
-    from ..operators import pages
-
     return pages.render_pages(_nation_graph(spark, sf_dir)[1]).select("path", "file_name", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"))
 
 
@@ -740,3 +736,151 @@ def replaced_messages(spark, sf_dir):
     log = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("shown"))
     batch = log.where("turn = 1").withColumn("shown", F.lit("replaced"))
     return watch.replace_messages(log, batch).select("conv_id", "turn", "shown")
+
+
+# --- views
+
+
+@query(f"WITH {FILES} SELECT path FROM files WHERE contains(lower(path), 'src1')")
+def path_search(spark, sf_dir):
+    return views.search_names(document_files(spark, sf_dir), "path", " SRC1 ").select("path")
+
+
+@query("SELECT r_name FROM region WHERE contains(lower(r_name), 'a')")
+def name_search(spark, sf_dir):
+    return views.search_names(table(spark, sf_dir, "region"), "r_name", "A").select("r_name")
+
+
+@query(f"WITH {_OLD}, {_NEW} SELECT path, replace(path, '/', '_') || '.md' AS label FROM old WHERE path IN (SELECT path FROM new)")
+def page_items(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return views.page_items(snapshot.mark_deleted(old, snapshot.deleted_paths(old, new)))
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def existing_rows(spark, sf_dir):
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"))
+    return views.existing_files(asked, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"))).select(F.col("path").alias("c_custkey"))
+
+
+@query(f"WITH {_OLD}, {_NEW} SELECT path FROM old WHERE path IN (SELECT path FROM new)")
+def cascaded_rows(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return snapshot.cascade(old.select("path"), new)
+
+
+_CITED = [
+    '[{"path":"src/a.ts","title":"T","snippet":"s","startLine":3,"endLine":4,"score":0.5},{"path":"","title":"x"},{"title":"y"}]',
+    '[{"path":"docs/b.md"}]', "[]", "no",
+]
+
+
+@query("SELECT * FROM (VALUES ('src/a.ts', 'T', 's', 'src/a.ts:L3-L4', 0.5::DOUBLE), ('docs/b.md', 'b.md', '', 'docs/b.md', 0.0)) v(path, title, snippet, label, score)")
+def normalized_citations(spark, sf_dir):
+    rows = views.normalize_citations(spark.createDataFrame([(c,) for c in _CITED], "said string"), "said")
+    return rows.select("path", "title", "snippet", paths.line_label("path", "start_line", "end_line").alias("label"), "score")
+
+
+@query("SELECT 'src/a.ts' AS path, 'related' AS relation, 'a.ts' AS name, 'function' AS kind, 7::BIGINT AS start_line, 0::BIGINT AS start_column, 1::BIGINT AS end_line, 0::BIGINT AS end_column")
+def normalized_context(spark, sf_dir):
+    return views.normalize_context(spark.createDataFrame([('[{"path":"src/a.ts","symbol":{"range":{"startLine":7}}},{"relation":"x"}]',)], "said string"), "said")
+
+
+@query("""SELECT 'nation' AS table_name, 'export interface Nation {' || chr(10) || '  n_nationkey: number;' || chr(10) || '  n_name: string | null;' || chr(10) || '  "for": Date;' || chr(10) || '}' AS text""")
+def interface_texts(spark, sf_dir):
+    rows = [("nation", 0, "n_nationkey", "int", False), ("nation", 1, "n_name", "string", True), ("nation", 2, "for", "timestamp", False)]
+    return views.interface_texts(spark.createDataFrame(rows, "table_name string, position int, name string, data_type string, is_nullable boolean"))
+
+
+@query("SELECT * FROM (VALUES ('35.5% · Parsing files', 35.5::DOUBLE, 'Parsing files'), ('Loading', 5.0, 'Loading'), ('250% · x', 100.0, 'x')) v(status, percent, detail)")
+def status_progress(spark, sf_dir):
+    rows = spark.createDataFrame([("35.5% · Parsing files",), ("Loading",), ("250% · x",)], "status string")
+    return rows.select("status", *[c.alias(n) for n, c in views.status_progress("status").items()])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'L' || (doc_id + 1) || ' - L' || (doc_id + 4) ELSE 'L' || (doc_id + 1) END AS chip FROM documents")
+def line_chips(spark, sf_dir):
+    start = F.col("doc_id") + 1
+    return table(spark, sf_dir, "documents").select("doc_id", views.line_chip(start, F.when(F.col("doc_id") % 2 == 0, start + 3)).alias("chip"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(lower(html), '<script')) AS BIGINT) AS scripts, 0::BIGINT AS scripts_left FROM pages")
+def sanitized_pages(spark, sf_dir):
+    count = lambda c: F.regexp_count(F.lower(c), F.lit("<script")).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", count("html").alias("scripts"), count(views.sanitize_html("html")).alias("scripts_left"))
+
+
+@query(
+    r"""WITH t AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-3][^>]*>.*?</h[1-3]>') AS tags FROM pages),
+h AS (SELECT page_id, i - 1 AS position, tags[i] AS tag FROM (SELECT page_id, tags, unnest(range(1, len(tags) + 1)) AS i FROM t)),
+s AS (SELECT page_id, position, CAST(substr(tag, 3, 1) AS INTEGER) AS level, trim(regexp_replace(tag, '<[^>]+>', '', 'g')) AS title FROM h),
+g AS (SELECT *, regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9\s-]', '', 'g')), '\s+', '-', 'g') AS slug, row_number() OVER (PARTITION BY page_id, regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9\s-]', '', 'g')), '\s+', '-', 'g') ORDER BY position) AS n FROM s)
+SELECT page_id, CAST(position AS INTEGER) AS position, level, title, CASE WHEN n > 1 THEN slug || '-' || n ELSE slug END AS anchor FROM g""".replace("\\\\", "\\")
+)
+def page_outlines(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), "html")
+    return pages.outline(rows).withColumnRenamed("path", "page_id")
+
+
+# --- parsed files, from literals
+
+_SOURCES = [
+    ("src/store.ts", "import { a as b } from './x';\nexport class Store {\n  load() { return 1; }\n}\n"),
+    ("src/View.tsx", "export const View = () => 1;\n"),
+    ("tools/run.py", "import os\n\ndef main():\n    pass\n"),
+    ("core/lib.rs", "pub struct Row;\nfn go() {}\n"),
+]
+
+
+@query("""SELECT * FROM (VALUES ('src/store.ts', './x', 'import', 1::BIGINT), ('src/store.ts', 'b', 'import', 1), ('src/store.ts', 'Store', 'export', 2), ('src/store.ts', 'Store', 'class', 2), ('src/store.ts', 'Store.load', 'method', 3),
+ ('src/View.tsx', 'View', 'export', 1), ('src/View.tsx', 'View', 'component', 1), ('tools/run.py', 'os', 'import', 1), ('tools/run.py', 'main', 'function', 3), ('core/lib.rs', 'Row', 'class', 1), ('core/lib.rs', 'go', 'function', 2)) v(path, name, kind, start_line)""")
+def parsed_symbols(spark, sf_dir):
+    return parse_files(spark.createDataFrame(_SOURCES, "path string, content string")).select("path", "name", "kind", "start_line")
+
+
+_DDL = "CREATE TABLE users (\n  id INTEGER PRIMARY KEY,\n  mail TEXT NOT NULL UNIQUE\n);\nCREATE TABLE posts (\n  id INTEGER PRIMARY KEY,\n  user_id INTEGER NOT NULL,\n  FOREIGN KEY (user_id) REFERENCES users(id)\n);\n"
+
+
+@query("SELECT * FROM (VALUES ('users', 'id', 'INTEGER', TRUE, FALSE, TRUE), ('users', 'mail', 'TEXT', FALSE, TRUE, FALSE), ('posts', 'id', 'INTEGER', TRUE, FALSE, TRUE), ('posts', 'user_id', 'INTEGER', FALSE, FALSE, FALSE)) v(table_name, name, data_type, is_primary_key, is_unique, is_nullable)")
+def schema_columns(spark, sf_dir):
+    found = schemas.parse_schema_files(spark.createDataFrame([("db/1.sql", _DDL)], "path string, content string"), "sql")
+    return schemas.columns_of(found).select("table_name", "name", "data_type", "is_primary_key", "is_unique", "is_nullable")
+
+
+@query("SELECT 'posts' AS from_table, 'user_id' AS from_column, 'users' AS to_table, 'id' AS to_column, 'many-to-one' AS kind")
+def schema_relationships(spark, sf_dir):
+    files = spark.createDataFrame([("db/1.sql", _DDL), ("db/2.sql", _DDL)], "path string, content string")
+    merged = schemas.merge_schemas(schemas.parse_schema_files(files, "sql"))
+    return schemas.existing_relationships(merged["relationships"], merged["columns"]).select(*schemas.RELATION)
+
+
+_FOLDERS = [("/w/app", ["package.json", ".git", "README.md"]), ("/w/app/dist", ["a.js"]), ("/w", ["node_modules"]), ("/w/app/node_modules", [])]
+
+
+@query("SELECT * FROM (VALUES ('/w/app', 135, FALSE), ('/w/app/dist', -25, FALSE), ('/w', 0, FALSE), ('/w/app/node_modules', -125, FALSE)) v(folder, score, git_only)")
+def project_root_scores(spark, sf_dir):
+    return root_scores(spark.createDataFrame(_FOLDERS, "folder string, entries array<string>")).select("folder", "score", "git_only")
+
+
+@query("SELECT '/w/app/dist' AS selected, '/w/app' AS root")
+def project_root(spark, sf_dir):
+    rows = spark.createDataFrame(_FOLDERS, "folder string, entries array<string>")
+    return spark.createDataFrame([("/w/app/dist", resolve_root(rows, "/w/app/dist"))], "selected string, root string")
+
+
+# --- a stream over the events
+
+
+@query("""WITH e AS (SELECT 'src/' || user_id || '/' || event_type || '.ts' AS path, ts FROM events),
+m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM m)
+SELECT path, CAST(count(*) AS BIGINT) AS n, CAST(max(ts) AS VARCHAR) AS last FROM s GROUP BY path, burst HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 10 SECOND""")
+def streamed_bursts(spark, sf_dir):
+    """The debounced events as a stream: bursts that the watermark has closed."""
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit("/"), "event_type", F.lit(".ts")).alias("path"), "ts")
+    source = work_path(spark, "events")  # a stream reads a folder, the table may be one file
+    rows.write.parquet(source)
+    named = spark.readStream.schema(rows.schema).parquet(source)
+    out = work_path(spark, "bursts")
+    watch.run_to_table(watch.debounce(watch.watched(named), quiet="1 hour"), out, work_path(spark, "bursts-state"))
+    return spark.read.schema("path string, first timestamp, last timestamp, n long").parquet(out).select("path", "n", F.col("last").cast("string").alias("last"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,18 @@ from ..functions.text import redact_secrets
 from ..operators.filters import is_indexable, is_searchable
 
 
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); one is set only where none is."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not conf:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined():
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusloom-"))
+            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        conf = held.get()
+    return f"{conf.rstrip('/')}/corpusloom/{label}-{uuid.uuid4().hex}"
+
+
 def scan_tree(spark: SparkSession, root: str, keep=is_indexable) -> DataFrame:
     """One scan of a tree: path (relative), size_bytes, modified_at (epoch millis as text), content; kept paths only."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

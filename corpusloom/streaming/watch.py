@@ -20,7 +20,7 @@ def watched(events: DataFrame) -> DataFrame:
 
 def debounce(events: DataFrame, *, quiet: str = DEBOUNCE, late: str = "10 seconds", time: str = "ts", key: str = "path") -> DataFrame:
     """One row per burst of a key: key, first, last, n.  A burst ends when the key is quiet; events later than `late` are dropped."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     bursts = rows.groupBy(F.session_window(time, quiet).alias("w"), F.col(key)).agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("n"))
     return bursts.select(key, "first", "last", "n")
 
