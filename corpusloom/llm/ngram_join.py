@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize
+from .common import arrow_batches, bounded_join, materialize
 from .components import Forest, connected_components, edge_batch
 
 WORDS = 5
@@ -369,15 +369,13 @@ def ngram_components(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     # copies: members of a class that do not stand for it
     copies = full.select("id", "digest").join(classes.where("k > 1").select("digest", "rep"), "digest").where("id <> rep").select("id", "digest")
     copies = materialize(copies, "jaccard-copies")
-    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    standing = full.join(F.broadcast(copies) if few else copies, ["id", "digest"], "left_anti")
+    standing = bounded_join(full, copies, ["id", "digest"], BROADCAST_ROWS, "left_anti")
     entries = standing.select(F.explode("prefix").alias("key"), "n", F.col("id").alias("rep"))
     shared = entries.repartition(F.col("key")).sortWithinPartitions("key", "n", "rep").mapInArrow(_shared, "key long, n long, rep long")
     shared = materialize(shared, "jaccard-shared")
     # a key of many classes is dealt into blocks; each pair of blocks is a tile of its own
     hot = materialize(shared.groupBy("key").agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "jaccard-hot")
-    few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    dealt = shared.join(F.broadcast(hot) if few else hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = bounded_join(shared, hot, "key", BROADCAST_ROWS, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("side", F.pmod(F.hash("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "n", "rep")
     signed = dealt.join(standing.select(F.col("id").alias("rep"), "sign"), "rep").select("key", "low", "high", "side", "n", "rep", "sign")
@@ -385,9 +383,13 @@ def ngram_components(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     regions = connected_components(chained)
     regions = regions.unionByName(regions.select(F.col("root").alias("node"), "root").distinct())
     members = classes.select("rep", "n", "digest").join(regions, F.col("rep") == F.col("node")).select("rep", "n", "digest", "root")
-    # bands of bounded content, by size
-    by_size = Window.partitionBy("root").orderBy("n", "rep", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    banded = members.withColumn("band", F.floor(F.coalesce(F.sum(F.col("n") + ROW_WEIGHT).over(by_size), F.lit(0)) / BAND_WEIGHT).cast("long"))
+    # bands of bounded content, by size: sizes are summed before they are ordered, and a size of much content is dealt out
+    weight = F.col("k") * (F.col("n") + ROW_WEIGHT)
+    held = members.groupBy("root", "n").agg(F.count("*").alias("k"))
+    by_size = Window.partitionBy("root").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("root", "n", F.floor(F.coalesce(F.sum(weight).over(by_size), F.lit(0)) / BAND_WEIGHT).cast("long").alias("first"), F.ceil(weight / BAND_WEIGHT).cast("int").alias("parts"))
+    banded = bounded_join(members, materialize(held, "jaccard-held"), ["root", "n"], BROADCAST_ROWS)
+    banded = banded.select("rep", "n", "digest", "root", (F.col("first") + F.pmod(F.hash("rep"), F.col("parts"))).alias("band"))
     banded = materialize(banded, "jaccard-bands")
     bands = banded.groupBy("root", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     above = bands.select("root", F.col("band").alias("band2"), F.col("least").alias("least2"))
@@ -397,8 +399,7 @@ def ngram_components(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     of_band = of_band.groupBy("root", "band").agg(F.collect_list("tile").alias("tiles"))  # tiles of one band: bounded by its region's bands
     wanted = banded.join(of_band, ["root", "band"]).select(F.struct("band", "tiles").alias("tiles"), "rep", "digest")
     wanted = materialize(wanted, "jaccard-wanted")
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = docs.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("rep")).select("tiles", "rep", "digest", "text")
+    found = bounded_join(docs, wanted, F.col("id") == F.col("rep"), BROADCAST_ROWS).select("tiles", "rep", "digest", "text")
     arrays = found.mapInArrow(_arrays(2), "tiles struct<band:long,tiles:array<string>>, rep long, n long, grams array<long>")
     dealt = arrays.select(F.explode("tiles.tiles").alias("tile"), F.col("tiles.band").alias("band"), "rep", "n", "grams")
     links = dealt.repartition(F.col("tile")).sortWithinPartitions("tile", "rep").mapInArrow(_tiles, "a long, b long")
@@ -413,10 +414,15 @@ def ngram_components(documents: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def keep_one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the least id of each component (of repeated rows of it, one); all columns."""
-    found = ngram_components(documents, id_col=id_col, text_col=text_col)
-    leave = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col)).distinct()
-    kept = documents.join(leave, id_col, "left_anti")
+    """The document with the least id of each component (of rows that repeat an id, one); all columns."""
+    found = materialize(ngram_components(documents, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("id"), "component_id"), "jaccard-found")
+    leave = materialize(found.where("component_id < id").select(F.col("id").alias(id_col)).distinct(), "jaccard-leave")
+    kept = bounded_join(documents, leave, id_col, BROADCAST_ROWS, "left_anti")
+    twice = materialize(found.where("id is not null").groupBy(F.col("id").alias(id_col)).agg(F.count("*").alias("k")).where("k > 1").select(id_col), "jaccard-twice")
+    if twice.limit(1).count():
+        own = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]))
+        again = bounded_join(kept, twice, id_col, BROADCAST_ROWS, "left_semi").select("*", F.row_number().over(own).alias("_nth of its id")).where("`_nth of its id` = 1")
+        kept = bounded_join(kept, twice, id_col, BROADCAST_ROWS, "left_anti").select(*documents.columns).unionByName(again.select(*documents.columns))
     return kept.select(*documents.columns)
 
 
