@@ -96,3 +96,40 @@ def pack(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     )
     none = rows.where("bucket is null").select(id_col, "piece", "first_token", "n_tokens", "bucket", "bucket_len", F.lit(None).cast("long").alias("batch_id"), F.lit(None).cast("long").alias("slot"))
     return done.unionByName(none)
+
+
+def _oracle() -> str:
+    """DuckDB SQL of pack() with its default parameters: one step of the dynamic programming for each further bucket."""
+    steps = []
+    for b in range(1, BUCKETS):
+        steps.append(f"""
+t{b} AS MATERIALIZED (
+  SELECT j.i, coalesce(m.best, p.best) AS best, coalesce(m.back, p.back) AS back
+  FROM l j JOIN t{b - 1} p ON p.i = j.i
+  LEFT JOIN (SELECT j.i, min(q.best + j.len * (j.upto - a.upto)) AS best, arg_min(q.i, (q.best + j.len * (j.upto - a.upto)) * 100000 + q.i) AS back
+             FROM l j JOIN t{b - 1} q ON q.i < j.i AND q.i >= {b - 1} JOIN l a ON a.i = q.i WHERE j.i >= {b} GROUP BY j.i) m ON m.i = j.i)""")
+    chosen = [f"c{BUCKETS - 1} AS (SELECT max(i) AS i FROM l)"]
+    chosen += [f"c{b - 1} AS (SELECT back AS i FROM t{b} JOIN c{b} USING (i))" for b in range(BUCKETS - 1, 0, -1)]
+    ends = " UNION ".join(f"SELECT i FROM c{b}" for b in range(BUCKETS))
+    return f"""
+WITH w AS (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, piece, piece * {MAX_LEN} AS first_token, least(n - piece * {MAX_LEN}, {MAX_LEN}) AS n_tokens
+  FROM (SELECT doc_id, n, unnest(range(0, greatest(CAST(ceil(n / {MAX_LEN}) AS BIGINT), 1))) AS piece FROM w)),
+l AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY n_tokens) - 1 AS i, n_tokens AS len, CAST(sum(count(*)) OVER (ORDER BY n_tokens) AS BIGINT) AS upto FROM s WHERE n_tokens > 0 GROUP BY n_tokens),
+t0 AS MATERIALIZED (SELECT i, len * upto AS best, CAST(0 AS BIGINT) AS back FROM l),{",".join(steps)},
+{", ".join(chosen)},
+e AS (SELECT CAST(row_number() OVER (ORDER BY len) - 1 AS INTEGER) AS bucket, len AS bucket_len FROM l WHERE i IN ({ends})),
+p AS (
+  SELECT s.*, (SELECT min(bucket) FROM e WHERE bucket_len >= n_tokens) AS bucket,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || piece), 1, 8) AS BIGINT) % {SHARDS} AS shard FROM s),
+q AS (
+  SELECT p.*, bucket_len, greatest({TOKEN_BUDGET} // bucket_len, 1) AS room,
+         row_number() OVER (PARTITION BY bucket ORDER BY shard, doc_id NULLS FIRST, piece, n_tokens) - 1 AS k FROM p JOIN e USING (bucket) WHERE n_tokens > 0)
+SELECT doc_id, piece, first_token, n_tokens, bucket, bucket_len, CAST(k // room AS BIGINT) AS batch_id, CAST(k % room AS BIGINT) AS slot FROM q
+UNION ALL SELECT doc_id, piece, first_token, n_tokens, NULL, NULL, NULL, NULL FROM s WHERE n_tokens = 0
+"""
+
+
+ORACLE = _oracle()
