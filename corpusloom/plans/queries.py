@@ -536,7 +536,28 @@ def page_sections(spark, sf_dir):
     return pages.sections(_nation_graph(spark, sf_dir)[1])
 
 
-@query()
+_SECTIONS = f"""{_GRAPH}, e AS (SELECT path, start_line, name, kind, source, CASE WHEN kind = 'import' THEN 'external' WHEN regexp_matches(name, '^use[A-Z]') THEN 'hooks' END AS section FROM g),
+i AS (SELECT g.path, g.start_line, g.name, g.kind, g.source, 'functions' AS section FROM g WHERE kind = 'function' AND NOT EXISTS (SELECT 1 FROM g h WHERE h.path = g.path AND h.name = g.name AND h.kind = 'function' AND regexp_matches(h.name, '^use[A-Z]'))),
+u AS (SELECT * FROM e WHERE section IS NOT NULL UNION ALL SELECT * FROM i),
+k AS (SELECT *, row_number() OVER (PARTITION BY path, section ORDER BY start_line, name) AS rank FROM u),
+t AS (SELECT path, section, string_agg(CASE WHEN section = 'external' THEN '- `' || name || '` from `' || source || '`' ELSE '- `' || name || '` at `L' || start_line || ':1`' END, chr(10) ORDER BY rank) AS body
+  FROM k WHERE rank <= CASE section WHEN 'external' THEN 20 WHEN 'hooks' THEN 12 ELSE 16 END GROUP BY path, section),
+c AS (SELECT path, count(*) AS n, count_if(kind = 'function') AS nf, count_if(kind = 'import') AS ni, count_if(kind = 'function' AND regexp_matches(name, '^use[A-Z]')) AS nh FROM g GROUP BY path),
+b AS (SELECT path, max(body) FILTER (section = 'external') AS ext, max(body) FILTER (section = 'hooks') AS hooks, max(body) FILTER (section = 'functions') AS fns FROM t GROUP BY path)"""
+
+
+@query(
+    f"""WITH {_SECTIONS}
+SELECT path, regexp_replace(path, '[^A-Za-z0-9._-]', '_', 'g') || '_' || substr(sha256(path), 1, 8) || '.md' AS file_name, md5(concat(
+ '# `', path, '`', chr(10), chr(10), '> Generated from local parser symbols (', n, ' found). This page summarizes structure and likely responsibilities.', chr(10), chr(10),
+ '## Quick Summary', chr(10), chr(10), '- Role: **', CASE WHEN nh > 0 THEN 'React hook module' ELSE 'General utility/module' END, '**', chr(10),
+ '- Structure: **0 components**, **', nf, ' functions**, **0 methods**, **0 types**, **', ni, ' imports**', chr(10), chr(10),
+ '## Exposed API and Entry Points', chr(10), chr(10), '- No explicit exports were detected in parser output for this file.', chr(10), chr(10),
+ '## Dependencies', chr(10), chr(10), '### External Libraries', chr(10), coalesce(ext, '- No external package imports detected.'), chr(10), chr(10),
+ '### Local Module Links', chr(10), '- No relative/local imports detected.', chr(10), chr(10), '## Internal Implementation', chr(10), chr(10),
+ coalesce('### Hooks' || chr(10) || hooks || chr(10) || chr(10), ''), coalesce('### Functions' || chr(10) || fns || chr(10) || chr(10), ''))) AS markdown_md5
+FROM c LEFT JOIN b USING (path)"""
+)
 def generated_pages(spark, sf_dir):
     return pages.render_pages(_nation_graph(spark, sf_dir)[1]).select("path", "file_name", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"))
 
@@ -725,10 +746,13 @@ def latest_run_events(spark, sf_dir):
     return watch.latest_run_only(table(spark, sf_dir, "events"), "user_id").select("event_id", "user_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, phase) AS i FROM (SELECT user_id, ts, CASE WHEN event_type = 'purchase' THEN 'complete' ELSE event_type END AS phase, event_id FROM events)),
+r AS (SELECT * FROM e WHERE i = 1
+  UNION ALL SELECT n.* FROM r JOIN e n ON n.user_id = r.user_id AND n.i > r.i AND (n.phase = 'complete' OR n.ts >= r.ts + INTERVAL 1 HOUR) QUALIFY row_number() OVER (PARTITION BY n.user_id ORDER BY n.i) = 1)
+SELECT user_id, CAST(ts AS VARCHAR) AS ts, phase, event_id FROM r""")
 def throttled_events(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "ts", F.when(F.col("event_type") == "purchase", "complete").otherwise(F.col("event_type")).alias("phase"), "event_id")
-    return watch.throttle(rows, key="user_id", least_ms=3_600_000)
+    return watch.throttle(rows, key="user_id", least_ms=3_600_000).withColumn("ts", F.col("ts").cast("string"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn = 1 THEN 'replaced' ELSE md5(text) END AS shown FROM conversations")
