@@ -32,3 +32,19 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert {d for d, _ in packed} == set(clean)
     assert {(r["doc_id"], r["piece"], r["n_tokens"]) for r in corpus_pipeline.run(spark, sf_dir).collect()} == {(d, p, r["n_tokens"]) for (d, p), r in packed.items()}
     assert language.UNKNOWN == "und" and packing.BUCKETS == 8 and secrets.MARKOV == "markov"
+
+
+def test_stages_take_nulls_repeats_extra_columns_and_nothing(spark, sf_dir):
+    long = "the thing that was " * 30_000
+    rows = [(1, None, "en", None, None), (2, "", "en", "s", 0), (3, "12 !?", None, "s", 5), (4, long, "en", "s", 1), (5, "a b c d e f", "en", "s", 1), (5, "a b c d e f", "en", "s", 1), (None, "lone words here", "en", "s", 1), (6, "x token=abcdefghijklmnop", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, piece string, digest int"
+    for given in (rows, []):
+        frame = spark.createDataFrame([r + (0.5, "p", 1) for r in given], schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            frame = stage(spark, frame, sf_dir)
+            assert frame.columns == [c.split()[0] for c in schema.split(", ")], name
+        left = sorted(((r["doc_id"], r["text"][-20:]) for r in frame.collect()), key=str)
+        if given:
+            assert left == sorted([(4, long[-20:]), (5, "a b c d e f"), (None, "lone words here"), (6, "x [SECRET:assign]")], key=str)
+        packed = corpus_pipeline.STAGES[-1][1](spark, frame, sf_dir).collect()
+        assert len(packed) == (0 if not given else 3 + -(-120_000 // packing.MAX_LEN))
