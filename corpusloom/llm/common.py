@@ -52,14 +52,16 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     small_batches(spark)
     path = shared_path(spark, label)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_path = path
+    return written
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote, once no plan that is still to run reads them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_join(left: DataFrame, right: DataFrame, on, most_rows: int, how: str = "inner") -> DataFrame:
@@ -73,8 +75,8 @@ def ascii_lower(col):
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
 
-def arrow_batches(batches, most_bytes: int = 8 << 20):
-    """Slice incoming record batches so that one slice holds few MB (or one row)."""
+def arrow_batches(batches, most_bytes: int = 1 << 20):
+    """Slice incoming record batches so that one slice holds about a MB (or one row)."""
     for batch in batches:
         n = batch.num_rows
         if not n:

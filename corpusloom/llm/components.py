@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_join, materialize
+from .common import bounded_join, materialize, release
 
 
 class Forest:
@@ -79,11 +79,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # the minima are written before they are joined: a node with many neighbours is then split or broadcast, not gathered
         # large star: each larger neighbour of u points to the least of u and its neighbours
         both = held.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(held.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
-        large = bounded_join(both, least, "u", BROADCAST_NODES).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        nearest = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
+        large = bounded_join(both, nearest, "u", BROADCAST_NODES).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "cc")
         # small star: each smaller neighbour of u, and u, point to the least of them
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
         small = bounded_join(large, least, "u", BROADCAST_NODES)
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        held = materialize(small.where("a <> b").distinct(), "cc")
+        before, held = held, materialize(small.where("a <> b").distinct(), "cc")
+        release(before, nearest, large, least)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize
+from .common import arrow_batches, materialize, release
 from .components import Forest, connected_components
 
 COSINE = 0.9
@@ -245,6 +245,7 @@ def near_duplicates(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col
     # float noise of one dot product stays below 1e-15 in any order of summing
     found = placed.repartition(F.col("tile")).sortWithinPartitions("tile", "cid").mapInArrow(_tiles(cosine, tables, probes), "a long, b long, w long")
     found = materialize(found, "vector-links")
+    release(coded)
     degree = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("w").alias("degree"))
     roots = connected_components(found.where("b is not null").select("a", "b"))
     rooted = classes.select("cid", "digest", "least", "weight").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))

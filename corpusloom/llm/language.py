@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize
+from .common import arrow_batches, materialize, release
 
 UNKNOWN = "und"
 #: Labelled texts of a language that are learned from, about.
@@ -192,6 +192,7 @@ def train(documents: DataFrame, *, where=None, text_col: str = "text", lang_col:
     for lang, h, n in sample.mapInArrow(_bit_hits(model), "lang string, hits array<double>, n long").collect():
         hits[where_is[lang]] += h
         seen[where_is[lang]] += n
+    release(sample)
     model.trust = (hits + 1) / (seen[:, None] + 2)
     return model
 

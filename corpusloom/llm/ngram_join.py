@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, bounded_join, materialize
+from .common import arrow_batches, bounded_join, materialize, release
 from .components import Forest, connected_components, edge_batch
 
 WORDS = 5
@@ -76,27 +76,46 @@ def _power_table(n: int) -> np.ndarray:
 _power_table(128)
 
 
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 20
+
+
+def _pieces(data: np.ndarray):
+    """[start, end) pieces of about PIECE bytes that end where a word does."""
+    at, n = 0, len(data)
+    while at < n:
+        end = min(at + PIECE, n)
+        while end < n:
+            space = _SPACE[data[end : end + 4096]]
+            if space.any():
+                end += int(space.argmax())
+                break
+            end = min(end + 4096, n)
+        yield at, end
+        at = end
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts data[offsets[i]:offsets[i + 1]], and where each text's words begin."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    text = _LOWER[data]
-    word = ~_SPACE[text]
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    heads = offsets[:-1][offsets[:-1] < n]
-    first[heads] = word[heads]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    at = np.arange(n, dtype=np.int64)
-    within = at - np.maximum.accumulate(np.where(first, at, 0))
-    within[~word] = 0
-    value = (text.astype(np.uint64) + np.uint64(1)) * _power_table(int(within.max()))[within]
-    value[~word] = 0
-    sums = np.add.reduceat(value, starts)
-    return _mix(sums * _MUL + np.uint64(1)), np.searchsorted(starts, offsets)
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in _pieces(data):
+        text = _LOWER[data[a:b]]
+        word = ~_SPACE[text]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        heads = offsets[(offsets >= a) & (offsets < b)] - a
+        first[heads] = word[heads]
+        begin = np.flatnonzero(first)
+        if not len(begin):
+            continue
+        at = np.arange(b - a, dtype=np.int32)
+        within = at - np.maximum.accumulate(np.where(first, at, 0))
+        within[~word] = 0
+        value = (text.astype(np.uint64) + np.uint64(1)) * _power_table(int(within.max()))[within]
+        value[~word] = 0
+        hashes.append(_mix(np.add.reduceat(value, begin) * _MUL + np.uint64(1)))
+        starts.append(begin + a)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray):
@@ -381,6 +400,7 @@ def ngram_components(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     signed = dealt.join(standing.select(F.col("id").alias("rep"), "sign"), "rep").select("key", "low", "high", "side", "n", "rep", "sign")
     chained = signed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "rep").mapInArrow(_regions, "a long, b long")
     regions = connected_components(chained)
+    release(shared, hot)
     regions = regions.unionByName(regions.select(F.col("root").alias("node"), "root").distinct())
     members = classes.select("rep", "n", "digest").join(regions, F.col("rep") == F.col("node")).select("rep", "n", "digest", "root")
     # bands of bounded content, by size: sizes are summed before they are ordered, and a size of much content is dealt out
@@ -388,7 +408,8 @@ def ngram_components(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     held = members.groupBy("root", "n").agg(F.count("*").alias("k"))
     by_size = Window.partitionBy("root").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select("root", "n", F.floor(F.coalesce(F.sum(weight).over(by_size), F.lit(0)) / BAND_WEIGHT).cast("long").alias("first"), F.ceil(weight / BAND_WEIGHT).cast("int").alias("parts"))
-    banded = bounded_join(members, materialize(held, "jaccard-held"), ["root", "n"], BROADCAST_ROWS)
+    held = materialize(held, "jaccard-held")
+    banded = bounded_join(members, held, ["root", "n"], BROADCAST_ROWS)
     banded = banded.select("rep", "n", "digest", "root", (F.col("first") + F.pmod(F.hash("rep"), F.col("parts"))).alias("band"))
     banded = materialize(banded, "jaccard-bands")
     bands = banded.groupBy("root", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -408,6 +429,7 @@ def ngram_components(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     twice = ids.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
     same = ids.join(twice, "id").join(classes.select("digest", "rep"), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     roots = connected_components(links.unionByName(same))
+    release(copies, held, banded, wanted)
     final = classes.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("root"))
     done = sets.select("id", "n", "digest").join(final, "digest", "left")
     return done.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").cast(kind).alias("component_id"))

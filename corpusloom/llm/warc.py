@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path
+from .common import bounded_join, materialize, release, shared_path
 
 MIN_BYTES = 1000
 RECORDS_PER_FILE = 4096
@@ -38,12 +38,6 @@ _ID = "urn:x-page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _bounded_join(left: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """Left join with a table of groups: broadcast under a checked size, else a shuffle that AQE splits."""
-    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    return left.join(F.broadcast(groups) if few else groups, key, "left")
-
-
 def payload_heads(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     return pages.select(F.col(id_col).alias("page_id"), F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("digest"))
@@ -57,7 +51,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("about:blank")).alias("url"), html.alias("html"))
     rows = rows.select("*", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("bytes"))
-    rows = _bounded_join(rows, groups, "digest")
+    rows = bounded_join(rows, groups, "digest", BROADCAST_GROUPS, "left")
     revisit = (F.col("bytes") >= min_bytes) & F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
@@ -79,6 +73,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
         F.when(revisit, F.lit("")).otherwise(F.col("html")),
     )
     rows.select(head.alias("value")).write.option("lineSep", _RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    release(groups)
 
 
 def parse_records(stream):
@@ -142,7 +137,7 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> Da
     shape = lambda df, size: df.select(
         F.col("page_id").cast(id_type).alias("page_id"), size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(id_type).alias("refers_to"), F.col("warc_url").alias("url")
     )
-    revisits = _bounded_join(records.where("record_type = 'revisit'"), originals, "digest")
+    revisits = bounded_join(records.where("record_type = 'revisit'"), originals, "digest", BROADCAST_GROUPS, "left")
     return shape(records.where("record_type <> 'revisit'"), F.col("bytes")).unionByName(shape(revisits, F.col("original_bytes")))
 
 

@@ -101,6 +101,17 @@ def test_hashes_follow_the_words():
     assert sets[3] != sets[0]
 
 
+def test_pieces_do_not_change_hashes(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \n") for _ in range(rng.randrange(60))) for _ in range(50)] + ["x" * 9000, "y z"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    want = [s.tolist() for s in N.shingle_sets(data, offsets)]
+    for size in (1, 7, 100):
+        monkeypatch.setattr(N, "PIECE", size)
+        assert [s.tolist() for s in N.shingle_sets(data, offsets)] == want
+
+
 def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(0)
     for _ in range(300):
