@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,8 +50,8 @@ def signed_buckets(text) -> Column:
 
 
 def embed(text) -> Column:
-    """Unit hash embedding of a text.  Tokens come from the JVM; an Arrow batch of them is hashed and counted at once."""
-    return _counted()(tokens(text))
+    """Unit hash embedding of a text.  An Arrow batch is split, hashed and counted at once, each word only once."""
+    return F.pandas_udf(_embed_batch, "array<double>")(col(text))
 
 
 def embed_expression(text) -> Column:
@@ -60,32 +64,39 @@ def embed_expression(text) -> Column:
     return normalize(counted)
 
 
-def _counted():
-    def count(batch: pd.Series) -> pd.Series:
-        import hashlib
+_WORD = regex.compile(r"[\p{Alphabetic}\p{N}_]+")
+_CAMEL = regex.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
-        import numpy as np
 
-        seen: dict[str, int] = {}
+def _places(word: str) -> list[int]:
+    """Places of a word's tokens, its parts and itself; negative signs come after the positive ones."""
+    if len(word.encode()) < 2:
+        return []
+    out = []
+    for token in [*_CAMEL.sub("\x01", word).split("\x01"), word]:
+        digest = hashlib.sha256(token.lower().encode()).digest()
+        out.append(digest[0] % DIMENSIONS + DIMENSIONS * (digest[8] % 2))
+    return out
 
-        def place(token: str) -> int:
-            found = seen.get(token)
-            if found is None:
-                digest = hashlib.sha256(token.encode()).digest()
-                found = seen[token] = (digest[0] % DIMENSIONS) + DIMENSIONS * (digest[8] % 2)
-            return found
 
-        def one(words):
-            if words is None:
-                return None
-            n = np.bincount([place(w) for w in words], minlength=2 * DIMENSIONS).astype(np.float64) if len(words) else np.zeros(2 * DIMENSIONS)
-            v = n[:DIMENSIONS] - n[DIMENSIONS:]
-            size = np.sqrt((v * v).sum())
-            return v / size if size > 0 else v
+def _embed_batch(batch: pd.Series) -> pd.Series:
+    seen: dict[str, list[int]] = {}
 
-        return batch.map(one)
-
-    return F.pandas_udf(count, "array<double>")
+    def one(x):
+        if x is None:
+            return None
+        at: list[int] = []
+        for word in _WORD.findall(x):
+            found = seen.get(word)
+            if found is None:
+                found = seen[word] = _places(word)
+            at += found
+        n = np.bincount(at, minlength=2 * DIMENSIONS).astype(np.float64) if at else np.zeros(2 * DIMENSIONS)
+        v = n[:DIMENSIONS] - n[DIMENSIONS:]
+        size = np.sqrt((v * v).sum())
+        return v / size if size > 0 else v
+
+    return batch.map(one)
 
 
 def to_json(v) -> Column:
