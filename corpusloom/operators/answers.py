@@ -79,6 +79,18 @@ def rank_citations(citations: DataFrame, active_path: str | None = None) -> Data
     return citations.withColumn("priority", citation_priority(active_path)).orderBy(F.desc("priority"), F.desc("score"), "ord")
 
 
+def number_citations(citations: DataFrame, active_path: str | None = None) -> DataFrame:
+    """Every ranked citation with its rank from 1: its place in its sorted partition, behind the rows of those before."""
+    placed = rank_citations(citations, active_path).withColumn("_at", F.monotonically_increasing_id()).cache()
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before, starts = 0, []
+    for number, n in sorted(placed.groupBy(part.alias("part")).count().collect()):  # one row a partition
+        starts.append((number, before))
+        before += n
+    first = citations.sparkSession.createDataFrame(starts, "_part long, _before long")
+    return placed.join(F.broadcast(first), part == F.col("_part")).withColumn("rank", F.col("_before") + place + 1).drop("_at", "_part", "_before")
+
+
 def drop_adjacent(contexts: DataFrame, order: list[str], key: list[str], group: str | None = None) -> DataFrame:
     """Rows in order without those whose key equals that of the row before."""
     w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(*order)

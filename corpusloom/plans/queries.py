@@ -621,6 +621,12 @@ def ranked_citations(spark, sf_dir):
     return answers.rank_citations(_evidence(spark, sf_dir), "src/7.rs").limit(40).select("path", "ord", "priority")
 
 
+@query(f"WITH {_EV}, p AS (SELECT *, CASE WHEN path = 'src/7.rs' THEN 100 ELSE 0 END + CASE WHEN starts_with(path, 'docs/wiki/') THEN 0 ELSE 20 END + CASE WHEN start_line IS NOT NULL THEN 10 ELSE 0 END AS priority FROM e) SELECT path, ord, priority, row_number() OVER (ORDER BY priority DESC, score DESC, ord) AS rank FROM p")
+def all_ranked_citations(spark, sf_dir):
+    """The rank of every part; ranked_citations is its first 40."""
+    return answers.number_citations(_evidence(spark, sf_dir), "src/7.rs").select("path", "ord", "priority", "rank")
+
+
 @query("""WITH o AS (SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER w AS prev, row_number() OVER w AS rn FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
 SELECT o_custkey, o_orderkey, o_orderstatus FROM o WHERE rn = 1 OR prev IS DISTINCT FROM o_orderstatus""")
 def adjacent_repeats(spark, sf_dir):

@@ -145,3 +145,12 @@ def test_throttle_is_a_fold(spark):
     frame = spark.createDataFrame(rows, "run_id string, ts timestamp, phase string")
     shown = sorted((r["ts"] - start).total_seconds() * 1000 for r in watch.throttle(frame).collect())
     assert shown == [0, 150, 200, 345]
+
+
+def test_every_citation_is_ranked(spark):
+    rows = [(f"src/{i % 5}.rs", i % 2 or None, (i * 37 % 50) / 50, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "path string, start_line long, score double, ord long").withColumn("end_line", F.col("start_line")).repartition(7)
+    got = {r["rank"]: r["ord"] for r in answers.number_citations(df, "src/3.rs").collect()}
+    priority = lambda r: 100 * (r[0] == "src/3.rs") + 20 + 10 * (r[1] is not None)
+    assert got == {n: r[3] for n, r in enumerate(sorted(rows, key=lambda r: (-priority(r), -r[2], r[3])), 1)}
+    assert answers.number_citations(df.limit(0)).count() == 0
