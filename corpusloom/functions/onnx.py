@@ -53,7 +53,10 @@ def embed_with(model_path: str | None, text) -> Column:
     def run(batch: pd.Series) -> pd.Series:
         import numpy as np
 
-        session, tokenizer = _session(model_path)
+        try:
+            session, tokenizer = _session(model_path)
+        except Exception:  # as does a model that does not load
+            return batch.map(lambda x: None)
         wanted = [i.name for i in session.get_inputs()]
 
         def one(x):

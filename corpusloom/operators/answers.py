@@ -225,14 +225,14 @@ def build_prompt(query: str, kind: str, documents: list[dict], citations: list[d
     return "\n".join([*said, "", f"Question: {query}", "Answer:"])
 
 
-def ask(chunks: DataFrame, embeddings: DataFrame, documents: DataFrame, symbols: DataFrame, edges: DataFrame, query: str, *, active_path: str | None = None, generate: Callable[[str], str] | None = None) -> Answer:
+def ask(chunks: DataFrame, embeddings: DataFrame, documents: DataFrame, symbols: DataFrame, edges: DataFrame, query: str, *, active_path: str | None = None, generate: Callable[[str], str] | None = None, model_path: str | None = None) -> Answer:
     """Answers a question from the index; generate, if given, writes the summary and is used only where it is grounded."""
     spark = chunks.sparkSession
     kind, worth = spark.range(1).select(intent(F.lit(query)), is_meaningful(F.lit(query))).first()
     overview = kind == "project_overview"
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "path", "chunk_id")
     numbered = lambda df, base: df.withColumn("ord", F.row_number().over(order) + base)  # noqa: E731  few rows: limits came first
-    results = numbered(search.hybrid_search(chunks, embeddings, query, OVERVIEW_LIMIT if overview else SEARCH_LIMIT), 1000)
+    results = numbered(search.hybrid_search(chunks, embeddings, query, OVERVIEW_LIMIT if overview else SEARCH_LIMIT, model_path=model_path), 1000)
     if overview:
         results = first_per_chunk(numbered(search.project_overview(chunks, OVERVIEW_CHUNKS), 0).unionByName(results))
     focused = None

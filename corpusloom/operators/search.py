@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from ..functions import onnx, vectors
 from ..functions.paths import base_name, contains_any
 from ..functions.text import context_snippet, haystack, query_terms, score_text, snippet
 
@@ -32,7 +32,10 @@ def sanitize_limit(value) -> int:
     return max(1, min(100, n))
 
 
-def query_vector(spark: SparkSession, query: str) -> list[float]:
+def query_vector(spark: SparkSession, query: str, model_path: str | None = None) -> list[float]:
+    """The query's vector: by the model where there is one, else by hash."""
+    if onnx.available(model_path):
+        return spark.range(1).select(onnx.embed_with(model_path, F.lit(query)).alias("v")).first()["v"]
     return spark.range(1).select(vectors.embed_expression(F.lit(query)).alias("v")).first()["v"]
 
 
@@ -44,10 +47,10 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def embed_chunks(chunks: DataFrame) -> DataFrame:
-    """path, chunk_id, vector of each chunk; embedded is its path, title and content."""
+def embed_chunks(chunks: DataFrame, model_path: str | None = None) -> DataFrame:
+    """path, chunk_id, vector of each chunk; embedded is its path, title and content, by the model where there is one."""
     text = F.concat_ws("\n", "path", "title", "content")
-    return chunks.select("path", "chunk_id", vectors.embed(text).alias("vector"))
+    return chunks.select("path", "chunk_id", onnx.embed_with(model_path, text).alias("vector"))
 
 
 def top(results: DataFrame, limit: int, *ties: str) -> DataFrame:
@@ -55,13 +58,14 @@ def top(results: DataFrame, limit: int, *ties: str) -> DataFrame:
     return results.orderBy(F.desc("score"), "path", *ties).limit(limit)
 
 
-def hybrid_search(chunks: DataFrame, embeddings: DataFrame, query: str, limit: int = 10, *, exact: bool = True) -> DataFrame:
+def hybrid_search(chunks: DataFrame, embeddings: DataFrame, query: str, limit: int = 10, *, exact: bool = True, model_path: str | None = None) -> DataFrame:
     """0.65 of the keyword score and 0.35 of the vector score; rows without score go.
 
     exact looks at every chunk; else only at scan_limit(limit) of the last updated (column updated_at).
+    model_path is that of the embeddings; vectors of another length score 0.
     """
     spark = chunks.sparkSession
-    terms, vector = _strings(query_words(spark, query)), F.array(*[F.lit(x) for x in query_vector(spark, query)])
+    terms, vector = _strings(query_words(spark, query)), F.array(*[F.lit(x) for x in query_vector(spark, query, model_path)])
     rows = chunks if exact else chunks.orderBy(F.desc("updated_at"), "path", "chunk_id").limit(scan_limit(limit))
     rows = rows.join(embeddings.select("path", "chunk_id", "vector"), ["path", "chunk_id"], "left")
     scored = rows.withColumn("text_score", score_text(haystack("title", "content"), terms)).withColumn("vector_score", F.coalesce(F.greatest(vectors.dot("vector", vector), F.lit(0.0)), F.lit(0.0)))

@@ -180,7 +180,7 @@ class Engine:
         self.write("search_documents", documents)
         found = chunks.chunk_documents(self.table("search_documents").select("path", "title", "content")).withColumn("updated_at", F.lit(now))
         self.write("search_chunks", found)
-        self.write("chunk_embeddings", search.embed_chunks(self.table("search_chunks")))
+        self.write("chunk_embeddings", search.embed_chunks(self.table("search_chunks"), self.get_settings().embedding_model_path))
         self.write("postings", search.postings(self.table("search_chunks")))
         return search.index_summary(self.table("search_documents"), self.table("search_documents")).first().asDict()
 
@@ -193,13 +193,13 @@ class Engine:
         return search.bm25_search(rows, self.table("postings"), search.field_stats(rows), query, limit)
 
     def hybrid_search(self, query: str, limit: int = 10) -> DataFrame:
-        return search.hybrid_search(self.table("search_chunks"), self.table("chunk_embeddings"), query, limit)
+        return search.hybrid_search(self.table("search_chunks"), self.table("chunk_embeddings"), query, limit, model_path=self.get_settings().embedding_model_path)
 
     def project_overview(self, limit: int = 10) -> DataFrame:
         return search.project_overview(self.table("search_chunks"), limit)
 
     def ask_local(self, query: str, active_path: str | None = None, generate=None) -> answers.Answer:
-        return answers.ask(self.table("search_chunks"), self.table("chunk_embeddings"), self.table("search_documents"), self.table("graph_symbols"), self.table("graph_contains"), query, active_path=active_path, generate=generate)
+        return answers.ask(self.table("search_chunks"), self.table("chunk_embeddings"), self.table("search_documents"), self.table("graph_symbols"), self.table("graph_contains"), query, active_path=active_path, generate=generate, model_path=self.get_settings().embedding_model_path)
 
     # --- pages and schemas
 
