@@ -10,8 +10,9 @@ double precision; large ones are cut into blocks, and each pair of blocks is one
 tile.  A pair that meets in several buckets counts in the first one only, so
 tiles emit counts and a spanning forest, never pairs.
 
-With the default parameters a pair of cosine 0.9 in 64 dimensions is missed with
-a probability of about 2e-4, closer pairs less; all vectors are indexed.
+How many pairs of cosine 0.9 are missed depends on the plan, which the number of
+distinct vectors decides, and on the dimension: MISSES has the measured shares.
+Closer pairs are missed less; all vectors are indexed.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows with a null id, link with nothing.  Vectors of different
@@ -38,6 +39,12 @@ SEED = 20240501
 BLOCK = 2048
 #: (classes up to, hashes, tables, probes)
 PLANS = ((300_000, 2, 6, 4), (40_000_000, 3, 9, 8), (1 << 62, 4, 14, 12))
+#: Pairs of cosine 0.9 that share no bucket, of so many random pairs, by dimension, for each of PLANS.
+MISSES = (
+    {64: (4, 20_000), 384: (14, 4_000), 768: (41, 4_000)},
+    {64: (0, 20_000), 384: (9, 4_000), 768: (21, 4_000)},
+    {64: (0, 20_000), 384: (12, 4_000), 768: (27, 4_000)},
+)
 ROUNDS = 3
 
 

@@ -63,6 +63,21 @@ def test_recall_near_the_threshold(spark):
         assert found >= 0.98 * sum(r[1] for r in brute(rows))
 
 
+@pytest.mark.parametrize("dim", [64, 384, 768])
+@pytest.mark.parametrize("which", range(len(E.PLANS)))
+def test_stated_misses(which, dim):
+    n, (missed, of) = 500, E.MISSES[which][dim]
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.9**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    plan = E.PLANS[which][1:]
+    apart = E._first_common(E.bucket_codes(a, *plan), E.bucket_codes(b, *plan)) == np.iinfo(np.int64).max
+    assert abs(apart.mean() - missed / of) <= 0.01
+
+
 def test_blocks(spark):
     rows = corpus(2, 200, 32, 0.1)
     assert got(spark, rows, block=7) == brute(rows)
