@@ -13,7 +13,7 @@ from corpusloom.llm.common import materialize, table
 
 
 def identify_language(spark, docs, sf_dir):
-    """Learns from the labelled documents; those in no learned language (no letters, no text) go."""
+    """Learns from the labelled documents; those without letters or text go, none by its language."""
     return language.keep_identified(docs, language.train(docs))
 
 

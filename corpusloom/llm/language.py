@@ -222,7 +222,7 @@ def identify_held_out(documents: DataFrame, **options) -> DataFrame:
 
 
 def keep_identified(documents: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The documents in a learned language; texts that are null or hold no letter go.  All columns stay."""
+    """The documents with a letter, whatever their decoding; all go where no language is learned.  All columns stay."""
     at = documents.columns.index(text_col)
 
     def run(batches):

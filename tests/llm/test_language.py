@@ -68,3 +68,9 @@ def test_long_texts_are_read_whole():
     grams = sum(len(b) for b in L.ngram_buckets(text))
     assert grams >= len(L.ORDERS) * len(text)
     assert model.predict(pa.array(["x" * 300_000]))[0] == ["a"]
+
+
+def test_a_language_not_learned_stays(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "η γάτα και ο σκύλος", None), (4, "12 !?", None), (5, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in L.keep_identified(frame, L.train(frame)).collect()} == {1, 2, 3}
