@@ -26,7 +26,7 @@ def symbols_of(source: str):
     """(name, kind, parent, source, range...) in source order."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the last where the parser's stack overflows
         yield from _by_lines(source)
         return
     stack = list(reversed(list(ast.iter_child_nodes(tree))))

@@ -884,6 +884,46 @@ def schema_relationships(spark, sf_dir):
     return schemas.existing_relationships(merged["relationships"], merged["columns"]).select(*schemas.RELATION)
 
 
+# --- parsed files, from whole tables
+
+#: Extensions that documents get in turn: each parser, and one that is no source.
+_SUFFIXES = ("ts", "py", "rs", "go", "java", "sql", "yaml", "md")
+
+
+@query()
+def parsed_documents(spark, sf_dir):
+    """Symbols of all documents as source files."""
+    at = F.pmod(F.col("doc_id"), F.lit(len(_SUFFIXES))).cast("int")
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit("."), F.get(_literals(_SUFFIXES), at))
+    files = table(spark, sf_dir, "documents").select(path.alias("path"), F.col("text").alias("content"))
+    return parse_files(files).select("path", "name", "kind", "start_line")
+
+
+def _literals(values):
+    return F.array(*[F.lit(v) for v in values])
+
+
+@query(r"""WITH f AS (SELECT 'pages/' || page_id || '.xml' AS path, page_id, string_split(html, chr(10)) AS L FROM pages WHERE html IS NOT NULL),
+l AS (SELECT path, i AS start_line, regexp_replace(L[i], '^\s+', '') AS line FROM (SELECT path, L, unnest(range(1, len(L) + 1)) AS i FROM f)),
+s AS (SELECT path, regexp_replace(regexp_extract(line, '^<[&*$@]*([\p{L}\p{N}_\-.:\\]+)', 1), '^[;:]+|[;:]+$', '', 'g') AS name, start_line FROM l
+ WHERE regexp_matches(line, '^<[^/?!]') AND regexp_matches(line, '^<[&*$@]*[\p{L}\p{N}_\-.:\\]+'))
+SELECT path, name, 'object' AS kind, start_line FROM s UNION ALL SELECT path, CAST(page_id AS VARCHAR), 'object', 1 FROM f WHERE path NOT IN (SELECT path FROM s)""")
+def parsed_pages(spark, sf_dir):
+    """Symbols of all pages as markup files."""
+    path = F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".xml"))
+    return parse_files(table(spark, sf_dir, "pages").select(path.alias("path"), F.col("html").alias("content"))).select("path", "name", "kind", "start_line")
+
+
+@query("""SELECT 'db/' || doc_id || '.sql' AS path, 'doc_' || doc_id AS table_name, c.name AS name, c.kind AS data_type, c.pk AS is_primary_key, c.nullable AS is_nullable
+FROM documents, (VALUES ('id', 'INTEGER', TRUE, TRUE), ('parent_id', 'INTEGER', FALSE, FALSE), ('body', 'TEXT', FALSE, TRUE)) c(name, kind, pk, nullable)""")
+def parsed_document_schemas(spark, sf_dir):
+    """Columns of a table's definition behind the text of each document."""
+    key = F.col("doc_id").cast("string")
+    ddl = F.concat(F.coalesce("text", F.lit("")), F.lit("\nCREATE TABLE doc_"), key, F.lit(" (\n  id INTEGER PRIMARY KEY,\n  parent_id INTEGER NOT NULL,\n  body TEXT,\n  FOREIGN KEY (parent_id) REFERENCES docs(id)\n);\n"))
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("db/"), key, F.lit(".sql")).alias("path"), ddl.alias("content"))
+    return schemas.columns_of(schemas.parse_schema_files(files, "sql")).select("path", "table_name", "name", "data_type", "is_primary_key", "is_nullable")
+
+
 _FOLDERS = [("/w/app", ["package.json", ".git", "README.md"]), ("/w/app/dist", ["a.js"]), ("/w", ["node_modules"]), ("/w/app/node_modules", [])]
 
 

@@ -1,3 +1,5 @@
+import pytest
+
 from corpusloom.operators.symbols import ecmascript, parse_files, python_source
 
 SCRIPT = """
@@ -76,3 +78,30 @@ def test_files_by_language(spark):
     assert ("f.go", "f", "object", 1, 1) in rows and ("empty.toml", "empty", "object", 1, 1) in rows
     assert {(r[1], r[2]) for r in rows if r[0] == "g.java"} == {("a.b", "import"), ("T", "class"), ("run", "function")}
     assert {r[1] for r in rows if r[0] == "h.yaml"} == {"key"}
+
+
+def test_a_table_of_documents_is_parsed(spark, tmp_path):
+    from corpusloom.plans.queries import QUERIES
+
+    given = [
+        ("import { a as b } from './x';\nexport class Store {\n  load() { return 1; }\n}\n", [("./x", "import", 1), ("b", "import", 1), ("Store", "export", 2), ("Store", "class", 2), ("Store.load", "method", 3)]),
+        ("import os\n\ndef main():\n    pass\n", [("os", "import", 1), ("main", "function", 3)]),
+        ("pub struct Row;\nfn go() {}\n", [("Row", "class", 1), ("go", "function", 2)]),
+        ("package main\n\nfunc Run() {\n}\n", [("Run", "function", 3)]),
+        ("public class A {\n", [("A", "class", 1)]),
+        ("select 1;\ncreate view v as\n", [("v", "object", 2)]),
+        ("- a: b\nname: x\n", [("name", "object", 2)]),
+        ("# def no():\n", []),
+    ]
+    rows = [(i, given[i % 8][0]) for i in range(400)] + [(401, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ends = ("ts", "py", "rs", "go", "java", "sql", "yaml", "md")
+    want = sorted((f"docs/{i}.{ends[i % 8]}", *s) for i in range(400) for s in given[i % 8][1])
+    assert sorted(tuple(r) for r in QUERIES["parsed_documents"](spark, str(tmp_path)).collect()) == want
+
+
+def test_a_source_that_overflows_the_parser_goes_by_lines():
+    source = "def go():\n    return " + "-" * 200_000 + "1\n"
+    with pytest.raises(MemoryError):
+        python_source.ast.parse(source)
+    assert [s[0] for s in python_source.symbols_of(source)] == ["go"]
