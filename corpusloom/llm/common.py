@@ -29,7 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: spark.checkpoint.dir.
 
-    Only where the cluster names none (local tests) is a temporary one set.
+    Only a session with a local master, which names none, gets a temporary one; any other one raises, as its
+    executors would write parts of a table to their own disks.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
@@ -37,13 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
     spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which is deleted when the application ends."""
+    own = f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
+    files, path = _path(spark, own)
+    if files.mkdirs(path):
+        files.deleteOnExit(path)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
@@ -58,10 +71,10 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes tables that materialize wrote, once no plan that is still to run reads them."""
+    """Deletes tables that materialize wrote, once no plan that is still to run reads them; others go when the application ends."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _path(df.sparkSession, df.written_path)
+        files.delete(path, True)
 
 
 def bounded_join(left: DataFrame, right: DataFrame, on, most_rows: int, how: str = "inner") -> DataFrame:

@@ -5,11 +5,15 @@ classifier (hashed byte n-grams, naive Bayes log-odds between the languages
 whose bit is 1 and those whose bit is 0) predicts the bit from the text.
 Decoding sums a logistic loss over the bits, each weighted by how well its
 classifier did on that language's sample, and takes the codeword with the least
-loss; a small gap to the second flags the text as ambiguous.
+loss; a small gap to the second flags the text as ambiguous.  A text whose least
+loss is above the model's bound is far from every codeword: it is in no learned
+language.  The bound lies halfway between the largest loss of the sample's
+rightly decoded texts and log 2, the loss of a text that says nothing.
 
-The classifiers learn from a bounded sample: at most ``sample_per_language``
-labelled texts of a language (about; taken by a hash of the row).  Only the
-text is an input of a prediction.
+The classifiers learn from a bounded sample: about ``sample_per_language``
+labelled texts of each of the ``most_languages`` labels with the most rows, drawn
+row by row (repeated rows are drawn each on their own).  Only the text is an
+input of a prediction.
 
 Defined results: text null or without a letter gives ``und`` and score 0; a
 table without labelled rows gives ``und`` everywhere; with one learned language
@@ -32,6 +36,9 @@ from .common import arrow_batches, materialize, release
 UNKNOWN = "und"
 #: Labelled texts of a language that are learned from, about.
 SAMPLE_PER_LANGUAGE = 1500
+#: Labels that are learned: those with the most rows.  Bounds the model, which is languages x 2^BITS.
+MOST_LANGUAGES = 128
+SEED = 20240607
 ORDERS = (2, 3, 4)
 BITS = 15
 SMOOTHING = 0.5
@@ -112,13 +119,16 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages, self.code = languages, codewords(len(languages))
-        prob = (counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * counts.shape[1])
+        # counts are scaled to one total, so that an n-gram that no language has says nothing
+        scaled = counts * (counts.sum() / max(len(counts), 1) / np.maximum(counts.sum(axis=1, keepdims=True), 1))
+        prob = (scaled + SMOOTHING) / (scaled.sum(axis=1, keepdims=True) + SMOOTHING * counts.shape[1])
         if len(languages) > 1:
             bits = [np.log(prob[c > 0].mean(axis=0) / prob[c < 0].mean(axis=0)) for c in self.code.T]
             self.weights = np.stack(bits, axis=1).astype(np.float32)
         else:
             self.weights = np.zeros((counts.shape[1], 1), np.float32)
         self.trust = np.ones(self.code.shape)
+        self.bound = np.inf
 
     def log_odds(self, text: np.ndarray) -> np.ndarray:
         """Mean log-odds of each bit."""
@@ -133,12 +143,12 @@ class Model:
         margin = odds[:, None, :] * self.code[None, :, :] * SLOPE
         return (np.logaddexp(0, -margin) * self.trust).sum(axis=2) / np.maximum(self.trust.sum(axis=1), 1e-9)
 
-    def predict(self, column) -> tuple[list, list, list]:
-        """Language, score and ambiguity of each text of an Arrow column."""
+    def predict(self, column) -> tuple[list, list, list, list]:
+        """Language, score, ambiguity of each text of an Arrow column, and whether its loss is within the bound."""
         n = len(column)
-        lang, score, doubt = [UNKNOWN] * n, [0.0] * n, [False] * n
+        lang, score, doubt, near = [UNKNOWN] * n, [0.0] * n, [False] * n, [False] * n
         if not self.languages:
-            return lang, score, doubt
+            return lang, score, doubt, near
         at = [i for i, ok in enumerate(has_letter(column)) if ok]
         if at:
             texts = list(_texts(column))
@@ -150,10 +160,13 @@ class Model:
                 best = order[j, 0]
                 lang[i], score[i] = self.languages[best], float(like[j, best])
                 doubt[i] = len(self.languages) > 1 and bool(loss[j, order[j, 1]] - loss[j, best] < AMBIGUOUS)
-        return lang, score, doubt
+                near[i] = bool(loss[j, best] <= self.bound)
+        return lang, score, doubt, near
 
 
 def _bit_hits(model: Model):
+    """Rows (lang, hits, n): how often each bit's classifier was right on a language's sample."""
+
     def run(batches):
         hits = np.zeros(model.code.shape)
         seen = np.zeros(len(model.languages), np.int64)
@@ -170,19 +183,34 @@ def _bit_hits(model: Model):
     return run
 
 
-def train(documents: DataFrame, *, where=None, text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+def _largest_loss(model: Model):
+    """A row (loss): the largest one of the texts that are decoded to their label."""
+
+    def run(batches):
+        most = 0.0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1))):
+                loss = model.losses(model.log_odds(text)[None])[0]
+                if model.languages[int(loss.argmin())] == lang:
+                    most = max(most, float(loss.min()))
+        yield pa.RecordBatch.from_arrays([pa.array([most])], names=["loss"])
+
+    return run
+
+
+def train(
+    documents: DataFrame, *, where=None, text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, seed: int = SEED
+) -> Model:
     """Learns from labelled rows (of those, the ones that meet the condition ``where``)."""
     rows = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.where(where) if where is not None else rows
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col)).count().collect()}
+    rows = (rows.where(where) if where is not None else rows).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not sizes:
         return Model([], np.zeros((0, 1 << BITS)))
-    share = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(min(1.0, sample_per_language / n))) for k, n in sorted(sizes.items())])
-    row_hash = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns if c != text_col and documents.schema[c].dataType.typeName() in ("long", "integer", "string")]), F.lit(1_000_003))
-    sample = rows.where(row_hash < share * 1_000_003).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = materialize(sample.repartition(8), "language-sample")
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_per_language / n))])
+    sample = materialize(rows.where(F.rand(seed) < F.element_at(share, F.col("lang"))).repartition(8), "language-sample")
     counted = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    languages = sorted(sizes)
+    languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
     where_is = {name: i for i, name in enumerate(languages)}
     counts = np.zeros((len(languages), 1 << BITS))
     found = counted.toPandas()  # languages x 2^BITS rows at most
@@ -192,8 +220,10 @@ def train(documents: DataFrame, *, where=None, text_col: str = "text", lang_col:
     for lang, h, n in sample.mapInArrow(_bit_hits(model), "lang string, hits array<double>, n long").collect():
         hits[where_is[lang]] += h
         seen[where_is[lang]] += n
-    release(sample)
     model.trust = (hits + 1) / (seen[:, None] + 2)
+    most = sample.mapInArrow(_largest_loss(model), "loss double").agg(F.max("loss")).first()[0]
+    model.bound = (min(most or 0.0, np.log(2)) + np.log(2)) / 2 + 1e-9
+    release(sample)
     return model
 
 
@@ -202,7 +232,7 @@ def identify(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text
 
     def run(batches):
         for batch in arrow_batches(batches):
-            lang, score, doubt = model.predict(batch.column(1))
+            lang, score, doubt, _ = model.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(doubt, pa.bool_())], names=["id", "lang_pred", "score", "ambiguous"])
 
     kind = documents.schema[id_col].dataType.simpleString()
@@ -221,13 +251,20 @@ def identify_held_out(documents: DataFrame, **options) -> DataFrame:
     return identify(documents, model).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-def keep_identified(documents: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The documents with a letter, whatever their decoding; all go where no language is learned.  All columns stay."""
+def keep_identified(documents: DataFrame, model: Model, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents that are in a learned language: with a letter, and a loss within the bound.
+
+    All columns stay; a null in the column of labels, where there is one of strings, becomes the predicted language.
+    """
     at = documents.columns.index(text_col)
+    label = documents.columns.index(lang_col) if lang_col in documents.columns and documents.schema[lang_col].dataType.typeName() == "string" else None
 
     def run(batches):
         for batch in arrow_batches(batches):
-            lang, _, _ = model.predict(batch.column(at))
-            yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+            lang, _, _, near = model.predict(batch.column(at))
+            if label is not None:
+                filled = pc.coalesce(batch.column(label), pa.array(lang, batch.column(label).type))
+                batch = batch.set_column(label, batch.schema.field(label), filled)
+            yield batch.filter(pa.array(near, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
