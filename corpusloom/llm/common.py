@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -21,6 +22,30 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the actions inside; what was set before comes back."""
+    held = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Shuffle files go when the write that needed them is done.
+NO_SHUFFLE_LEFT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def whole_numbers(df: DataFrame, *columns: str) -> None:
+    """Raises where a column of ids is not of an integer type: such ids cannot be carried as whole numbers."""
+    for c in columns:
+        if df.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+            raise TypeError(f"ids must be whole numbers: {c} is {df.schema[c].dataType.simpleString()}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

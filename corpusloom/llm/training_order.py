@@ -1,26 +1,28 @@
 """Training-order materialisation: token-id shards in the order of a keyed permutation.
 
 A Parquet source is tokenised once (byte-level BPE; the vocabulary's path is a
-parameter); each document's ids and an end mark are cut into sequences of
-``seq_len`` ids, the last padded.  A text of b bytes has b tokens at most, so it
-is given ceil((b + 1) / seq_len) numbers, in source order, of which its sequences
-take the first.  A keyed Feistel network with cycle-walking permutes the numbers;
-a sequence's slot is the rank of its permuted number, so slots are dense and no
-token is counted before it is written.  Ranges of ``shard_width`` permuted numbers
-are shards: partition s holds shard s in order and writes it as fixed-stride
-binary records, and the manifest names each shard's first slot.  A reader finds
-slot k at byte (k - first) * stride of its shard and can resume anywhere.  A
-record is a header (flag, doc id, piece, number of ids), the ids, and a line feed,
-which is the text writer's separator; that writer commits a job atomically on any
-Hadoop file system.
-
-Before, a scan of text lengths sums the numbers of each run of consecutive rows
-of a file that a task reads (a row for each file split goes to the driver).  A
-write that sees other runs than that scan fails rather than mis-numbers.
+parameter, and the file must lie there on every node) into a written table of
+documents' ids.  A document's ids and an end mark are cut into sequences of
+``seq_len`` ids, the last padded.  Sequences are numbered exactly: each task
+counts its own, and the tasks' totals give offsets.  A keyed Feistel network with
+cycle-walking permutes [0, n), n being the number of sequences: a sequence's slot
+is the permuted number, and the inverse leads from a slot to its sequence.
+
+Ranges of ``width`` slots are shards, all full but the last: partition s holds
+shard s in order and writes it as fixed-stride binary records, so slot k lies at
+byte (k mod width) * stride of shard k div width, and a reader can resume anywhere.
+The width follows from the total, so that shards hold SHARD_BYTES, about, and
+there are MOST_SHARDS at most.  Shards are written in WAVES, a range of them each,
+whose shuffle files go when the wave is done: disk holds the table of ids, the
+shards and one wave.  A record is a header (flag, doc id, piece, number of ids),
+the ids, and a line feed, which is the text writer's separator; that writer
+commits a job atomically on any Hadoop file system.  The manifest is one row:
+slots, width, seq_len, stride, vocabulary size, key, rounds.
 
 Defined results: null and empty texts give no sequence; a null document id is
-kept as null; repeated rows give sequences of their own; an empty table gives an
-empty archive.  Extra columns are not read.
+kept as null; ids must be whole numbers (another type raises TypeError); repeated
+rows give sequences of their own; an empty table gives an archive without shards.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,18 +32,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, shared_path, small_batches
+from .common import NO_SHUFFLE_LEFT, arrow_batches, bounded_join, materialize, release, settings, shared_path, small_batches, whole_numbers
 
 SEQ_LEN = 256
-#: Permuted numbers of a shard; two in five, about, are sequences of ordinary text.
-SHARD_WIDTH = 40_960
+#: Bytes of a shard, about, and shards at most (beyond, shards grow).
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 18
+#: Jobs that write the shards; each reads the table of ids and shuffles its part of it.
+WAVES = 5
 KEY = 0x5EED_2024
 ROUNDS = 6
-#: Runs of rows (about one for each file split) whose offsets tasks are given.
-MOST_RUNS = 2_000_000
+#: Tasks up to which the table of their offsets is broadcast (16 bytes each), and groups that it is summed in.
+BROADCAST_TASKS, GROUPS = 2_000_000, 1024
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual split pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -113,140 +118,153 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 def record_dtype(seq_len: int, id_type: str) -> np.dtype:
     """One record; its size is the stride."""
-    return np.dtype([("flag", "u1"), ("doc_id", "<i8"), ("piece", "<u4"), ("n_tokens", "<u2"), ("tokens", id_type, (seq_len,)), ("end", "u1")])
+    return np.dtype([("flag", "u1"), ("doc_id", "<i8"), ("piece", "<u4"), ("n_tokens", "<u4"), ("tokens", id_type, (seq_len,)), ("end", "u1")])
 
 
 def id_type_of(vocabulary_size: int) -> str:
     return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
 
 
-def _read(spark: SparkSession, source: str, id_col: str, text_col: str) -> DataFrame:
-    return spark.read.parquet(source).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+def _tokenise(vocabulary: str, seq_len: int):
+    """(id, text) to (id, task, first, m, ids): first is the number of sequences before in the task, m that of the text."""
 
-
-def _numbers(size: int | None, seq_len: int) -> int:
-    """Numbers that a text of so many bytes is given."""
-    return -(-(size + 1) // seq_len) if size else 0
-
-
-def _sum_runs(seq_len: int):
     def run(batches):
-        held, out = None, []
-        for batch in batches:
-            for size, file, row in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if held is None or held[0] != file or held[1] + held[2] != row:
-                    held = [file, row, 0, 0]
-                    out.append(held)
-                held[2] += 1
-                held[3] += _numbers(size, seq_len)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), *(pa.array([r[i] for r in out], pa.int64()) for i in (1, 2, 3))], names=["file", "row", "n_rows", "numbers"])
+        words, task, first = load_vocabulary(vocabulary), TaskContext.get().partitionId(), 0
+        for batch in arrow_batches(batches, 2 << 20):
+            rows = []
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if not text.is_valid or not text.as_buffer().size:
+                    continue
+                ids = np.append(words.encode(text.as_py()), words.kind.type(words.end))
+                m = -(-len(ids) // seq_len)
+                rows.append((id_, task, first, m, ids.tobytes()))
+                first += m
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["id", "task", "first", "m", "ids"])
 
     return run
 
 
-def _place(vocabulary: str, seq_len: int, offsets: dict, n: int, key: int):
-    def run(batches):
-        words = load_vocabulary(vocabulary)
-        kind = record_dtype(seq_len, words.kind.str)
-        feistel = Feistel(n, key)
-        size = kind.itemsize - 1  # the writer adds the line feed
-        file_now, next_row, at, last = None, -1, 0, 0
+def _task_offsets(tokens: DataFrame) -> tuple[DataFrame, int]:
+    """(task, before): sequences of the tasks before it; and their total.  Summed by groups of tasks, so no task sees all of them."""
+    own = tokens.groupBy("task").agg(F.sum("m").alias("n")).withColumn("group", F.col("task") % GROUPS)
+    groups = own.groupBy("group").agg(F.sum("n").alias("n")).collect()  # GROUPS rows at most
+    ahead, total = {}, 0
+    for r in sorted(groups):
+        ahead[r["group"]] = total
+        total += r["n"]
+    if not ahead:
+        return own.select("task", F.lit(0).cast("long").alias("before")), 0
+    earlier = Window.partitionBy("group").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.element_at(F.create_map(*[F.lit(x) for pair in ahead.items() for x in pair]), F.col("group"))
+    return own.select("task", (base + F.coalesce(F.sum("n").over(earlier), F.lit(0))).cast("long").alias("before")), total
 
-        def check():
-            if file_now is not None and at != last:
-                raise RuntimeError(f"{file_now}: rows were read in other runs than when they were summed")
 
+def _place(kind: np.dtype, pad: int, seq_len: int, n: int, key: int, low: int, high: int):
+    """(id, index, m, ids) to (slot, record) of the slots in [low, high)."""
+
+    def run(batches):
+        feistel, size = Feistel(n, key), kind.itemsize - 1  # the writer adds the line feed
         for batch in arrow_batches(batches, 2 << 20):
-            ids, texts, files, rows = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            blocks, numbers = [], []
-            for i in range(batch.num_rows):
-                if files[i] != file_now or rows[i] != next_row:
-                    check()
-                    file_now = files[i]
-                    at, last = offsets[files[i], rows[i]]
-                next_row = rows[i] + 1
-                if not texts[i].is_valid or not (given := _numbers(texts[i].as_buffer().size, seq_len)):
-                    continue
-                tokens = words.encode(texts[i].as_py())
-                m = -(-(len(tokens) + 1) // seq_len)
-                block = np.zeros(m, dtype=kind)
-                block["flag"], block["doc_id"], block["piece"] = ids[i] is None, ids[i] or 0, np.arange(m)
-                flat = np.full(m * seq_len, words.end, dtype=words.kind)
-                flat[: len(tokens)] = tokens
-                block["tokens"] = flat.reshape(m, seq_len)
-                block["n_tokens"] = seq_len
-                block["n_tokens"][-1] = len(tokens) + 1 - (m - 1) * seq_len
-                blocks.append(block)
-                numbers.append(np.arange(at, at + m))
-                at += given
-            if blocks:
-                records = np.concatenate(blocks)
-                raw = np.ascontiguousarray(records.view(np.uint8).reshape(len(records), kind.itemsize)[:, :size])
-                ends = np.arange(len(records) + 1, dtype=np.int32) * size
-                value = pa.Array.from_buffers(pa.binary(), len(records), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([pa.array(feistel.slot(np.concatenate(numbers))), value], names=["permuted", "record"])
-        check()
+            m = batch.column(2).to_numpy()
+            row = np.repeat(np.arange(len(m)), m)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+            slot = feistel.slot(batch.column(1).to_numpy()[row] + piece)
+            at = np.flatnonzero((slot >= low) & (slot < high))
+            if not len(at):
+                continue
+            row, piece, slot = row[at], piece[at], slot[at]
+            data = batch.column(3)
+            ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64) // kind["tokens"].base.itemsize
+            flat = np.frombuffer(data.buffers()[2], kind["tokens"].base)
+            begin = ends[row] + piece * seq_len
+            held = np.minimum(ends[row + 1] - begin, seq_len)
+            records = np.zeros(len(at), dtype=kind)
+            places = begin[:, None] + np.arange(seq_len)
+            inside = np.arange(seq_len) < held[:, None]
+            records["tokens"] = np.where(inside, flat[np.minimum(places, len(flat) - 1)], pad)
+            ids = batch.column(0)
+            records["flag"] = ids.is_null().to_numpy(zero_copy_only=False)[row]
+            records["doc_id"] = ids.fill_null(0).to_numpy()[row]
+            records["piece"], records["n_tokens"] = piece, held
+            raw = np.ascontiguousarray(records.view(np.uint8).reshape(len(records), kind.itemsize)[:, :size])
+            cuts = np.arange(len(records) + 1, dtype=np.int32) * size
+            value = pa.Array.from_buffers(pa.binary(), len(records), [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), value], names=["slot", "record"])
 
     return run
 
 
-def write_training_order(spark: SparkSession, source: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, seq_len: int = SEQ_LEN, shard_width: int = SHARD_WIDTH, key: int = KEY) -> None:
-    """Writes the shards below path (shard=<number>/...) and their manifest (_manifest: shard, first_slot, n_slots)."""
-    small_batches(spark)
-    rows = _read(spark, source, id_col, text_col)
-    runs = rows.select(F.octet_length("text").cast("long"), "file", "row").mapInArrow(_sum_runs(seq_len), "file string, row long, n_rows long, numbers long").collect()
-    if len(runs) > MOST_RUNS:
-        raise ValueError(f"{len(runs)} runs of rows: raise spark.sql.files.maxPartitionBytes")
-    offsets, n = {}, 0
-    for r in sorted(runs):
-        offsets[r["file"], r["row"]] = n, n + r["numbers"]
-        n += r["numbers"]
-    placed = rows.mapInArrow(_place(vocabulary, seq_len, offsets, n, key), "permuted long, record binary")
-    placed = placed.withColumn("shard", F.floor(F.col("permuted") / shard_width).cast("int"))
-    placed = placed.repartitionById(max(1, -(-n // shard_width)), F.col("shard")).sortWithinPartitions("shard", "permuted")
-    placed.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
-    stride = record_dtype(seq_len, load_vocabulary(vocabulary).kind.str).itemsize
-    files = _shard_files(spark, path)
-    sizes = files.select("shard", (F.col("length") / stride).cast("long").alias("n_slots")) if files else spark.createDataFrame([], "shard int, n_slots long")
-    before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
-    sizes.select("shard", F.coalesce(F.sum("n_slots").over(before), F.lit(0)).alias("first_slot"), "n_slots").write.parquet(f"{path}/_manifest")
-
-
-def _shard_files(spark: SparkSession, path: str) -> DataFrame | None:
-    files = spark.read.format("binaryFile").load(path)
-    return files.withColumn("shard", F.col("shard").cast("int")) if "shard" in files.columns else None  # nothing was written
+_MANIFEST = "n_slots long, width long, seq_len int, stride int, vocabulary_size long, key long, rounds int"
 
 
-def read_training_order(spark: SparkSession, path: str, *, vocabulary_size: int = 50_257, seq_len: int = SEQ_LEN) -> DataFrame:
+def write_training_order(
+    spark: SparkSession, source: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, seq_len: int = SEQ_LEN, width: int | None = None, key: int = KEY, waves: int = WAVES
+) -> None:
+    """Writes the shards below path (shard=<number>/...) and their manifest (_manifest)."""
+    small_batches(spark)
+    rows = spark.read.parquet(source)
+    whole_numbers(rows, id_col)
+    words = load_vocabulary(vocabulary)
+    kind = record_dtype(seq_len, words.kind.str)
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    tokens = materialize(rows.mapInArrow(_tokenise(vocabulary, seq_len), "id long, task long, first long, m long, ids binary"), "order-tokens")
+    offsets, n = _task_offsets(tokens)
+    width = width or max(SHARD_BYTES // kind.itemsize, -(-n // MOST_SHARDS))
+    shards = -(-n // width)
+    offsets = materialize(offsets, "order-offsets")
+    numbered = bounded_join(tokens, offsets, "task", BROADCAST_TASKS).select("id", (F.col("before") + F.col("first")).alias("index"), "m", "ids")
+    step = -(-shards // max(1, min(waves, shards)))
+    for first in range(0, shards, max(step, 1)):
+        last = min(first + step, shards)
+        placed = numbered.mapInArrow(_place(kind, words.end, seq_len, n, key, first * width, min(last * width, n)), "slot long, record binary")
+        placed = placed.withColumn("shard", F.floor(F.col("slot") / width).cast("int"))
+        placed = placed.repartitionById(last - first, (F.col("shard") - first).cast("int")).sortWithinPartitions("shard", "slot")
+        with settings(spark, NO_SHUFFLE_LEFT):
+            placed.select("shard", F.col("record").cast("string").alias("value")).write.mode("append").partitionBy("shard").option("lineSep", "\n").text(path)
+    release(tokens, offsets)
+    spark.createDataFrame([(n, width, seq_len, kind.itemsize, words.end + 1, key, ROUNDS)], _MANIFEST).coalesce(1).write.parquet(f"{path}/_manifest")
+
+
+def read_training_order(spark: SparkSession, path: str) -> DataFrame:
     """One row per slot, read back from the shards: slot, shard, byte_offset, doc_id, piece, n_tokens, tokens_crc32."""
-    kind = record_dtype(seq_len, id_type_of(vocabulary_size))
+    told = spark.read.schema(_MANIFEST).parquet(f"{path}/_manifest").first()
+    kind = record_dtype(told["seq_len"], id_type_of(told["vocabulary_size"]))
+    width, n_slots = told["width"], told["n_slots"]
     shape = "slot long, shard int, byte_offset long, doc_id long, piece long, n_tokens long, tokens_crc32 long"
 
     def run(batches):
         for batch in batches:
-            for shard, first, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = np.frombuffer(content.as_buffer(), dtype=kind)
-                if len(data) and (data["end"] != 10).any():
-                    raise ValueError(f"shard {shard} is not of this stride")
+                if len(data) != min(width, n_slots - shard * width) or (data["end"] != 10).any():
+                    raise ValueError(f"shard {shard} is not whole")
                 at = np.arange(len(data), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(at + first),
-                        pa.array(np.full(len(data), shard, np.int32)),
-                        pa.array(at * kind.itemsize),
-                        pa.array(data["doc_id"].astype(np.int64), mask=data["flag"] == 1),
-                        pa.array(data["piece"].astype(np.int64)),
-                        pa.array(data["n_tokens"].astype(np.int64)),
-                        pa.array([zlib.crc32(t.tobytes()) for t in data["tokens"]], pa.int64()),
-                    ],
-                    names=["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "tokens_crc32"],
-                )
-
-    files = _shard_files(spark, path)
-    if files is None:
+                for part in range(0, len(data), 8192):
+                    some = data[part : part + 8192]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(at[part : part + 8192] + shard * width),
+                            pa.array(np.full(len(some), shard, np.int32)),
+                            pa.array(at[part : part + 8192] * kind.itemsize),
+                            pa.array(some["doc_id"].astype(np.int64), mask=some["flag"] == 1),
+                            pa.array(some["piece"].astype(np.int64)),
+                            pa.array(some["n_tokens"].astype(np.int64)),
+                            pa.array([zlib.crc32(t.tobytes()) for t in some["tokens"]], pa.int64()),
+                        ],
+                        names=["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "tokens_crc32"],
+                    )
+
+    if not n_slots:
         return spark.createDataFrame([], shape)
-    manifest = spark.read.parquet(f"{path}/_manifest").select("shard", "first_slot")
-    return files.join(F.broadcast(manifest), "shard").select("shard", "first_slot", "content").mapInArrow(run, shape)  # 20 bytes a shard
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("shard").cast("int").alias("shard"), "content").mapInArrow(run, shape)
+
+
+def locate(slot: int, width: int, stride: int) -> tuple[int, int]:
+    """(shard, byte offset) of a slot."""
+    return slot // width, slot % width * stride
 
 
 def read_slots(data: bytes, first: int, count: int, *, seq_len: int = SEQ_LEN, vocabulary_size: int = 50_257) -> np.ndarray:
