@@ -5,19 +5,24 @@ its number of rows.  A table's hash rotates the vector (three rounds of random
 signs and a fast Hadamard transform, one rotation per hash) and takes the
 nearest vertices of the cross-polytope; ``hashes`` vertices make a bucket.
 Every class goes into its ``probes`` best buckets of each table (multiprobe on
-both sides).  Buckets of more than one class are compared by exact cosine in
-double precision; large ones are cut into blocks, and each pair of blocks is one
-tile.  A pair that meets in several buckets counts in the first one only, so
-tiles emit counts and a spanning forest, never pairs.
-
-How many pairs of cosine 0.9 are missed depends on the plan, which the number of
-distinct vectors decides, and on the dimension: MISSES has the measured shares.
-Closer pairs are missed less; all vectors are indexed.
+both sides).  Buckets take ids and a sketch of SKETCH bits (signs of random
+projections), not vectors; large ones are cut into blocks, and each pair of blocks
+is one tile.  A tile names those members whose sketch is near another's: at cosine
+0.9 two sketches differ in 37 bits, give or take 6, of unrelated vectors in half of
+them, and APART lies ten deviations beyond the former.  Only for these vectors are
+fetched, to be compared by exact cosine in double precision.  A pair that meets in
+several buckets counts in the first one only, so tiles emit counts and a spanning
+forest, never pairs.
+
+One set of parameters holds at every size.  MISSES has the measured share of pairs
+of cosine exactly 0.9 that share no bucket, by dimension; closer pairs are missed
+less, and all vectors are indexed.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows with a null id, link with nothing.  Vectors of different
-lengths never link.  Rows that repeat an id are vectors of their own.  An empty
-table gives no rows; extra columns are not read.
+lengths never link.  Rows that repeat an id are vectors of their own.  Ids must be
+whole numbers (another type raises TypeError).  An empty table gives no rows; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -30,21 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, release
+from .common import arrow_batches, bounded_join, materialize, release, whole_numbers
 from .components import Forest, connected_components
 
 COSINE = 0.9
 SEED = 20240501
 #: Classes of one block of a bucket.
 BLOCK = 2048
-#: (classes up to, hashes, tables, probes)
-PLANS = ((300_000, 2, 6, 4), (40_000_000, 3, 9, 8), (1 << 62, 4, 14, 12))
-#: Pairs of cosine 0.9 that share no bucket, of so many random pairs, by dimension, for each of PLANS.
-MISSES = (
-    {64: (4, 20_000), 384: (14, 4_000), 768: (41, 4_000)},
-    {64: (0, 20_000), 384: (9, 4_000), 768: (21, 4_000)},
-    {64: (0, 20_000), 384: (12, 4_000), 768: (27, 4_000)},
-)
+#: Large buckets, and classes, up to which their table is broadcast.
+BROADCAST_BUCKETS = 500_000
+#: hashes, tables, probes
+PLAN = (3, 9, 8)
+#: Pairs of cosine 0.9 that share no bucket, of so many random pairs, by dimension.
+MISSES = {64: (0, 20_000), 384: (9, 4_000), 768: (21, 4_000)}
+#: Bits of a sketch, and how many may differ in a pair that is compared.
+SKETCH, APART = 256, 96
 ROUNDS = 3
 
 
@@ -120,25 +125,75 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """SKETCH bits of each row, as 64-bit words: the sides of random planes that it lies on."""
+    planes = np.random.default_rng([SEED, unit.shape[1]]).normal(size=(unit.shape[1], SKETCH))
+    return np.packbits(unit @ planes > 0, axis=1).view(np.uint64)
+
+
 def _coded(hashes: int, tables: int, probes: int):
+    """(cid, weight, vector) to these, their buckets and their sketch."""
+
     def run(batches):
         for batch in arrow_batches(batches, 2 << 20):
             raw = batch.column(2).to_pylist()
-            codes = [None] * len(raw)
+            codes, drawn = [None] * len(raw), [None] * len(raw)
             lengths = defaultdict(list)
             for i, r in enumerate(raw):
                 lengths[len(r)].append(i)
             for at in lengths.values():
-                found = bucket_codes(_unit([raw[i] for i in at]), hashes, tables, probes)
-                for i, c in zip(at, found):
-                    codes[i] = c.ravel()
+                unit = _unit([raw[i] for i in at])
+                for i, c, bits in zip(at, bucket_codes(unit, hashes, tables, probes), sketches(unit)):
+                    codes[i], drawn[i] = c.ravel(), bits.tobytes()
             offsets = np.arange(len(raw) + 1, dtype=np.int32) * (tables * probes)
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["cid", "weight", "vector", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(drawn, pa.binary())], names=["cid", "weight", "vector", "codes", "sketch"])
 
     return run
 
 
+def _near(batches):
+    """Rows (bucket, low, high, side, cid, sketch), together by tile, to those of members whose sketch is near another's."""
+
+    def flush(keys, sides, cids, bits):
+        sides = np.array(sides)
+        two = sides.min() != sides.max()
+        bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(cids), -1)
+        hit = np.zeros(len(cids), bool)
+        rows = np.flatnonzero(sides == sides.min()) if two else np.arange(len(cids))
+        cols = np.flatnonzero(sides != sides.min()) if two else rows
+        for at in range(0, len(rows), 256):
+            some = rows[at : at + 256]
+            close = np.bitwise_count(bits[some][:, None, :] ^ bits[cols][None, :, :]).sum(axis=2, dtype=np.int64) <= APART
+            if not two:
+                close[np.arange(len(some)), np.arange(at, at + len(some))] = False
+            hit[some] |= close.any(axis=1)
+            hit[cols] |= close.any(axis=0)
+        return [(*keys, int(sides[i]), cids[i]) for i in np.flatnonzero(hit)]
+
+    def out(rows):
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "low", "high", "side", "cid"])
+
+    held, members, found = None, ([], [], []), []
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(6)]
+        for *key, side, cid, bits in zip(*columns):
+            if key != held:
+                if len(members[1]) > 1:
+                    found += flush(held, *members)
+                held, members = key, ([], [], [])
+            for values, x in zip(members, (side, cid, bits)):
+                values.append(x)
+        if len(found) > 10_000:
+            yield out(found)
+            found = []
+    if len(members[1]) > 1:
+        found += flush(held, *members)
+    if found:
+        yield out(found)
+
+
 def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, the least bucket that both have in the first table in which they have any; codes (rows, tables, probes)."""
     out, left = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
@@ -229,30 +284,31 @@ def _tiles(threshold: float, tables: int, probes: int):
     return run
 
 
-def near_duplicates(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block: int = BLOCK, plan: tuple[int, int, int] | None = None) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block: int = BLOCK, plan: tuple[int, int, int] = PLAN) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
+    whole_numbers(embeddings, id_col)
     kind = embeddings.schema[id_col].dataType
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = materialize(rows.mapInArrow(_describe, "id long, digest binary, vector binary"), "vectors")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
-    n = classes.count()
-    hashes, tables, probes = plan or next(p[1:] for p in PLANS if n <= p[0])
-    coded = classes.select("cid", "weight", "vector").mapInArrow(_coded(hashes, tables, probes), "cid long, weight long, vector binary, codes array<long>")
+    hashes, tables, probes = plan
+    coded = classes.select("cid", "weight", "vector").mapInArrow(_coded(hashes, tables, probes), "cid long, weight long, vector binary, codes array<long>, sketch binary")
     coded = materialize(coded, "vector-codes")
-    entries = coded.select("cid", F.explode(F.array_distinct("codes")).alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = entries.join(sizes, "bucket").groupBy("cid").agg(F.collect_list(F.struct("bucket", "n")).alias("buckets"))  # tables x probes at most
-    placed = coded.join(shared, "cid").select("cid", "weight", "vector", "codes", F.explode("buckets").alias("b"))
-    blocks = F.ceil(F.col("b.n") / block).cast("int")
-    placed = placed.select("*", blocks.alias("blocks"), F.pmod(F.hash("cid"), blocks).alias("side"))
-    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tile = F.concat_ws(":", F.col("b.bucket"), F.least("side", "other"), F.greatest("side", "other"))
-    placed = placed.select(tile.alias("tile"), F.col("b.bucket").alias("bucket"), "cid", "weight", "side", "vector", "codes")
+    entries = coded.select("cid", "sketch", F.explode(F.array_distinct("codes")).alias("bucket"))
+    hot = entries.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    hot = materialize(hot, "vector-hot")
+    dealt = bounded_join(entries, hot, "bucket", BROADCAST_BUCKETS, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("side", F.pmod(F.hash("cid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "cid", "sketch")
+    tile = ["bucket", "low", "high"]
+    near = dealt.repartition(*tile).sortWithinPartitions(*tile, "cid").mapInArrow(_near, "bucket long, low int, high int, side int, cid long")
+    near = materialize(near, "vector-near")
     # float noise of one dot product stays below 1e-15 in any order of summing
+    placed = near.join(coded.select("cid", "weight", "vector", "codes"), "cid").select(F.concat_ws(":", *tile).alias("tile"), "bucket", "cid", "weight", "side", "vector", "codes")
     found = placed.repartition(F.col("tile")).sortWithinPartitions("tile", "cid").mapInArrow(_tiles(cosine, tables, probes), "a long, b long, w long")
     found = materialize(found, "vector-links")
-    release(coded)
+    release(coded, hot, near)
     degree = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("w").alias("degree"))
     roots = connected_components(found.where("b is not null").select("a", "b"))
     rooted = classes.select("cid", "digest", "least", "weight").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
