@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, language, ngram_join, packing, secrets
-from corpusloom.llm.common import materialize, table
+from corpusloom.llm.common import materialize, release, table
 
 
 def identify_language(spark, docs, sf_dir):
-    """Learns from the labelled documents; those without letters or text go, none by its language."""
-    return language.keep_identified(docs, language.train(docs))
+    """Learns from the labelled documents that are not held out; those that the decoding finds in no learned language go.
+
+    A null lang becomes the predicted one.
+    """
+    return language.keep_identified(docs, language.train(docs, where=~language.is_held_out()))
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
@@ -29,7 +32,7 @@ def drop_benchmark_texts(spark, docs, sf_dir):
 
 def redact_secrets(spark, docs, sf_dir):
     """Found secrets are replaced by their kind's mark; n_chars follows the text."""
-    clean = secrets.redact(docs, secrets.train(secrets.labelled_samples(spark)))
+    clean = secrets.redact(docs, secrets.train(secrets.labelled_samples(spark, docs)))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean
@@ -53,7 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs, spent = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(*spent)
+        spent = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
