@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusloom.llm import decontaminate, language, ngram_join, packing, secrets
@@ -12,7 +13,11 @@ def test_stages_against_brute_force(spark, sf_dir):
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     frame = docs
     frame = steps["language_id"](spark, frame, sf_dir)
+    # the documents of the table are in learned languages; test_language holds the decoding against an independent one
     assert {r["doc_id"] for r in frame.collect()} == {d for d, t in rows.items() if any(c.isalpha() for c in t)}
+    foreign = docs.limit(1).select(*[F.lit(x).cast(docs.schema[c].dataType).alias(c) for c, x in {**dict.fromkeys(columns), "doc_id": 10**9, "text": "η γάτα και ο σκύλος είναι στο σπίτι " * 5}.items()])
+    seen = {r["doc_id"]: r["lang"] for r in steps["language_id"](spark, docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).unionByName(foreign), sf_dir).collect()}
+    assert 10**9 not in seen and None not in seen.values() and len(seen) >= 0.99 * len(rows)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{sf_dir}/benchmark.parquet'")
@@ -36,7 +41,7 @@ def test_stages_against_brute_force(spark, sf_dir):
 
 def test_stages_take_nulls_repeats_extra_columns_and_nothing(spark, sf_dir):
     long = "the thing that was " * 30_000
-    rows = [(1, None, "en", None, None), (2, "", "en", "s", 0), (3, "12 !?", None, "s", 5), (4, long, "en", "s", 1), (5, "a b c d e f", "en", "s", 1), (5, "a b c d e f", "en", "s", 1), (None, "lone words here", "en", "s", 1), (6, "x token=abcdefghijklmnop", "en", "s", 1)]
+    rows = [(1, None, "en", None, None), (2, "", "en", "s", 0), (3, "12 !?", None, "s", 5), (4, long, "en", "s", 1), (5, "a b c d e f", "en", "s", 1), (5, "a b c d e f", "en", "s", 1), (None, "lone words here", "en", "s", 1), (6, "the thing token=abcdefghijklmnop", "en", "s", 1)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double, piece string, digest int"
     for given in (rows, []):
         frame = spark.createDataFrame([r + (0.5, "p", 1) for r in given], schema)
@@ -45,6 +50,6 @@ def test_stages_take_nulls_repeats_extra_columns_and_nothing(spark, sf_dir):
             assert frame.columns == [c.split()[0] for c in schema.split(", ")], name
         left = sorted(((r["doc_id"], r["text"][-20:]) for r in frame.collect()), key=str)
         if given:
-            assert left == sorted([(4, long[-20:]), (5, "a b c d e f"), (None, "lone words here"), (6, "x [SECRET:assign]")], key=str)
+            assert left == sorted([(4, long[-20:]), (5, "a b c d e f"), (None, "lone words here"), (6, "thing [SECRET:assign]"[-20:])], key=str)
         packed = corpus_pipeline.STAGES[-1][1](spark, frame, sf_dir).collect()
         assert len(packed) == (0 if not given else 3 + -(-120_000 // packing.MAX_LEN))
