@@ -13,7 +13,11 @@ Defined results: a null html is an empty payload; a null url is written as
 repeat the largest page id with the same payload are all responses; a null page
 id is written as ``null``, read back as null, and never chosen over another; a
 group whose ids are all null is all responses.  An empty table gives no rows.
-Extra columns are not read.
+Extra columns are not read.  A record's id is a UUID drawn from page id, digest and
+url, so rows that repeat all three share it.
+
+Headers are fresh: WARC-Date is the time of writing, unless given, and a revisit
+names the original's record, target and date.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,40 +37,59 @@ MIN_BYTES = 1000
 RECORDS_PER_FILE = 4096
 #: Groups of equal payloads up to which their table is broadcast (about 100 bytes each).
 BROADCAST_GROUPS = 100_000
-WARC_DATE = "2024-01-01T00:00:00Z"
 _RECORD_END = "\r\n\r\n"
-_ID = "urn:x-page:"
+_PAGE = "X-Page-Id"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def payload_heads(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+def payload_heads(pages: DataFrame, id_col: str, html_col: str, target) -> DataFrame:
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    return pages.select(F.col(id_col).alias("page_id"), F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("digest"))
+    return pages.select(F.col(id_col).alias("page_id"), target.alias("url"), F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("digest"))
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, records_per_file: int = RECORDS_PER_FILE, date: str = WARC_DATE) -> None:
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, records_per_file: int = RECORDS_PER_FILE, date: str | None = None) -> None:
     """Writes one WARC record per row of pages below path."""
-    heads = payload_heads(pages, id_col, html_col).where(F.col("bytes") >= min_bytes)
-    groups = heads.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null").drop("n")
-    groups = materialize(groups, "warc-groups")
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    target = F.coalesce(F.col(url_col), F.lit("about:blank"))
+    target = F.replace(F.replace(target, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    heads = payload_heads(pages, id_col, html_col, target).where(F.col("bytes") >= min_bytes)
+    first = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    groups = heads.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    groups = materialize(groups.select("digest", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url")), "warc-groups")
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("about:blank")).alias("url"), html.alias("html"))
+    rows = pages.select(F.col(id_col).alias("page_id"), target.alias("url"), html.alias("html"))
     rows = rows.select("*", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("bytes"))
     rows = bounded_join(rows, groups, "digest", BROADCAST_GROUPS, "left")
     revisit = (F.col("bytes") >= min_bytes) & F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
-    ident = lambda c: F.concat(F.lit(f"<{_ID}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+
+    def record_id(page, url):
+        text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+        drawn = F.sha2(F.concat_ws("\n", text(page), F.col("digest"), url), 256)
+        return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(drawn, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+
+    page = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    refers = F.concat(
+        F.lit("\r\nWARC-Refers-To: "),
+        record_id(F.col("original"), F.col("original_url")),
+        F.lit(f"\r\n{_PAGE}-Of-Original: "),
+        page(F.col("original")),
+        F.lit("\r\nWARC-Refers-To-Target-URI: "),
+        F.col("original_url"),
+        F.lit(f"\r\nWARC-Refers-To-Date: {date}\r\nWARC-Profile: {_PROFILE}"),
+    )
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "),
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: "),
-        ident(F.col("page_id")),
+        record_id(F.col("page_id"), F.col("url")),
+        F.lit(f"\r\n{_PAGE}: "),
+        page(F.col("page_id")),
         F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
-        url,
+        F.col("url"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
         F.col("digest"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: "), ident(F.col("original")), F.lit(f"\r\nWARC-Profile: {_PROFILE}"))).otherwise(F.lit("")),
+        F.when(revisit, refers).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
         (F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))).cast("string"),
         F.lit("\r\n\r\n"),
@@ -94,8 +118,7 @@ def parse_records(stream):
 
 
 def _page(value: str | None) -> str | None:
-    found = value[len(_ID) + 1 : -1] if value else None
-    return None if found == "null" else found
+    return None if value == "null" else value
 
 
 _READ = "page_id string, record_type string, digest string, bytes long, refers_to string, warc_url string"
@@ -114,7 +137,7 @@ def _parse(batches):
                     size, found = len(payload), hashlib.sha1(payload).hexdigest()
                     if found != digest:
                         raise ValueError(f"payload digest differs: {headers['warc-record-id']}")
-                rows.append((_page(headers["warc-record-id"]), kind, digest, size, _page(headers.get("warc-refers-to")), headers["warc-target-uri"]))
+                rows.append((_page(headers[_PAGE.lower()]), kind, digest, size, _page(headers.get(f"{_PAGE}-of-original".lower())), headers["warc-target-uri"]))
             if rows:
                 kinds = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["page_id", "record_type", "digest", "bytes", "refers_to", "warc_url"])

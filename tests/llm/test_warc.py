@@ -1,4 +1,7 @@
+import glob
+import gzip
 import hashlib
+from datetime import datetime, timezone
 
 from corpusloom.llm import warc as W
 
@@ -29,19 +32,34 @@ def test_round_trip(spark):
 
 def test_archives_are_smaller_than_the_copies_and_hold_fresh_headers(spark, tmp_path):
     rows = [(i, f"http://a/{i}", "same " * 400) for i in range(9)]
-    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w", records_per_file=4)
-    import glob
-    import gzip
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w", records_per_file=4, date="2024-01-01T00:00:00Z")
 
-    kinds = []
+    kinds, records = [], {}
     for name in glob.glob(f"{tmp_path}/w/*.gz"):
         for headers, block in W.parse_records(gzip.open(name)):
             kinds.append(headers["warc-type"])
-            assert len(block) == int(headers["content-length"]) and headers["warc-date"] == W.WARC_DATE
-    assert sorted(kinds) == ["response"] + ["revisit"] * 8
+            records[headers["warc-record-id"]] = headers
+            assert len(block) == int(headers["content-length"]) and headers["warc-date"] == "2024-01-01T00:00:00Z"
+    assert sorted(kinds) == ["response"] + ["revisit"] * 8 and len(records) == 9
+    for headers in records.values():
+        if headers["warc-type"] == "revisit":
+            original = records[headers["warc-refers-to"]]
+            assert original["warc-type"] == "response" and original["x-page-id"] == "8"
+            assert headers["warc-refers-to-target-uri"] == original["warc-target-uri"] and headers["warc-refers-to-date"] == original["warc-date"]
     back = W.read_archives(spark, f"file://{tmp_path}/w").collect()
     assert {r["url"] for r in back} == {f"http://a/{i}" for i in range(9)} and {r["payload_bytes"] for r in back} == {2000}
 
 
 def test_empty(spark):
     assert W.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_repeated_pages_and_large_payloads(spark):
+    rows = [(1, "http://a", "y" * 1200), (1, "http://b", "y" * 1200), (2, "http://c", "k" * 1500), (2, "http://c", "m" * 1500)] + [(10 + i, "http://big", chr(97 + i) * 8_000_000) for i in range(6)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((tuple(r) for r in W.round_trip(frame).collect()), key=str) == want(rows)
+    when = datetime.now(timezone.utc).strftime("%Y-%m-%dT")
+    path = W.shared_path(spark, "warc-test")
+    W.write_archives(frame, path)
+    name = glob.glob(f"{path.removeprefix('file:').replace('//', '/')}/*.gz")[0]
+    assert next(W.parse_records(gzip.open(name)))[0]["warc-date"].startswith(when)
