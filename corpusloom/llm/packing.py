@@ -8,8 +8,9 @@ the token budget allows at the bucket's padded length; every batch of a bucket
 is full but its last.
 
 Sequences are numbered inside a bucket without gathering a bucket in one task:
-a bucket is dealt into SHARDS hash shards, shard counts (buckets x SHARDS rows)
-give offsets, and a shard numbers its own rows.
+equal rows (same id, piece and length) are counted, a bucket is dealt into SHARDS
+hash shards, shard counts (buckets x SHARDS rows) give offsets, a shard numbers its
+distinct rows, and a row of many copies is dealt out again by RUN copies.
 
 Defined results: a null or wordless text gives one row with n_tokens 0 and null
 bucket, batch and slot; rows that repeat an id are packed each; ties are broken
@@ -29,6 +30,8 @@ MAX_LEN = 2048
 BUCKETS = 8
 TOKEN_BUDGET = 16384
 SHARDS = 1024
+#: Copies of one row that one task numbers.
+RUN = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -84,12 +87,19 @@ def pack(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     shard = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("piece").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % shards
     rows = rows.withColumn("shard", shard)
     full = rows.where("bucket is not null")
+    same = ["bucket", "bucket_len", "shard", id_col, "piece", "first_token", "n_tokens"]
+    distinct = full.groupBy(*same).agg(F.count("*").alias("copies"))
     sizes = full.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    own = Window.partitionBy("bucket", "shard").orderBy(F.col(id_col).asc_nulls_first(), "piece", "n_tokens")
-    numbered = full.withColumn("rank", F.row_number().over(own) - 1).join(F.broadcast(offsets), ["bucket", "shard"])
-    index, room = F.col("offset") + F.col("rank"), F.floor(F.lit(token_budget) / F.col("bucket_len"))
+    own = Window.partitionBy("bucket", "shard").orderBy(F.col(id_col).asc_nulls_first(), "piece", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = distinct.withColumn("rank", F.coalesce(F.sum("copies").over(own), F.lit(0))).join(F.broadcast(offsets), ["bucket", "shard"])
+    numbered = numbered.withColumn("rank", F.col("offset") + F.col("rank"))
+    once, often = numbered.where("copies = 1"), numbered.where("copies > 1")
+    runs = often.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RUN).cast("long")))).repartition("bucket", "rank", "run")
+    runs = runs.withColumn("nth", F.explode(F.sequence("run", F.least(F.col("run") + RUN, "copies") - 1)))
+    numbered = once.unionByName(runs.withColumn("rank", F.col("rank") + F.col("nth")).drop("run", "nth"))
+    index, room = F.col("rank"), F.floor(F.lit(token_budget) / F.col("bucket_len"))
     room = F.greatest(room, F.lit(1))
     done = numbered.select(
         id_col, "piece", "first_token", "n_tokens", "bucket", "bucket_len", F.floor(index / room).cast("long").alias("batch_id"), (index % room).cast("long").alias("slot")

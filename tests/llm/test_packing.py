@@ -51,6 +51,13 @@ def test_pack(spark):
     check(rows, docs, 64, 256)
 
 
+def test_many_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(P, "RUN", 7)
+    docs = [(None, "a b c")] * 60 + [(5, "a b")] * 40 + [(5, "a")] * 3 + [(6, "w " * 130)] * 9
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    check(P.pack(frame, max_len=64, buckets=3, token_budget=256, shards=4).collect(), docs, 64, 256)
+
+
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
