@@ -6,24 +6,28 @@ Strings of one length share a searcher: a block shift table (two-word blocks,
 hashed) says how far the search may jump, suffix-hash buckets hold the strings
 that end in a block, and a direct comparison confirms each occurrence.
 
-Defined results: a null or wordless text has no words and no hit; an item that
-is null or wordless, or whose id is null, has no window; repeated rows of
-documents each give a row; repeated items count once by id; extra columns of
-either table are not read.  The benchmark is shipped to the executors in blocks
-of at most ``block_bytes`` of text; each block is one pass inside the same
-stage, so its size never depends on the documents.
+Defined results: a null or wordless text has no words and no hit; an item whose
+text is null or wordless has no window; an item whose id is null hits words but is
+not listed among the items; repeated rows of documents each give a row; repeated
+items count once by id; ids must be whole numbers (another type raises TypeError);
+extra columns of either table are not read.  The benchmark is shipped to the
+executors in blocks of about ``block_bytes`` of text (an item is never cut, so one
+above that is a block); each block is one pass, and a Python worker builds a
+block's patterns once for all its tasks.  Of CHAIN passes the state is written out,
+so a stage has a bounded number of workers.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, whole_numbers
 
 WINDOW = 10
 #: Most benchmark text in one block of patterns held by an executor's worker.
@@ -91,14 +95,16 @@ class WuManber:
 class Searcher:
     """The searchers of one block of items, one for each length of string."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int):
+    def __init__(self, items: list[tuple[int | None, bytes]], window: int):
         self.ids: dict[bytes, int] = {}
         self.owners: dict[tuple[int, ...], set[int]] = {}
         for item, text in items:
             symbols = [self.ids.setdefault(w, len(self.ids)) for w in words_of(text)]
             m = min(window, len(symbols))
             for i in range(len(symbols) - m + 1 if m else 0):
-                self.owners.setdefault(tuple(symbols[i : i + m]), set()).add(item)
+                owners = self.owners.setdefault(tuple(symbols[i : i + m]), set())
+                if item is not None:
+                    owners.add(item)
         by_length: dict[int, list[tuple[int, ...]]] = {}
         for string in self.owners:
             by_length.setdefault(len(string), []).append(string)
@@ -118,6 +124,18 @@ class Searcher:
         return merge_spans(spans), items
 
 
+_searchers: dict[tuple[str, int], Searcher] = {}
+
+
+def searcher_of(name: str, items, window: int) -> Searcher:
+    """The searcher of a block of items; a worker holds the last few that it built."""
+    if (name, window) not in _searchers:
+        while len(_searchers) >= CHAIN:
+            _searchers.pop(next(iter(_searchers)))
+        _searchers[name, window] = Searcher(items, window)
+    return _searchers[name, window]
+
+
 def merge_spans(spans) -> list[list[int]]:
     merged: list[list[int]] = []
     for start, end in sorted(map(tuple, spans)):
@@ -141,9 +159,10 @@ _STATE = T.StructType(
 
 def _searching(items, window: int, last: bool):
     """A pass over the documents for one block of items; only a pass before the last keeps the text."""
+    name = uuid.uuid4().hex
 
     def run(batches):
-        searcher = Searcher(items, window)
+        searcher = searcher_of(name, items, window)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             out = ([], [], [])
@@ -170,7 +189,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
     """Yields lists of (item_id, text): the stated query set, a bounded block at a time."""
     rows = (
         benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
-        .where("item is not null and text is not null")
+        .where("text is not null")
         .distinct()
         .orderBy("item", "text")
     )
@@ -197,6 +216,8 @@ def find_contamination(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: id, n_words, spans (flat [start, end) word offsets, merged), items (sorted ids)."""
+    whole_numbers(documents, id_col)
+    whole_numbers(benchmark, item_col)
     state = documents.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).alias("text"),
@@ -234,17 +255,21 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, text_col: s
     """The documents in which no benchmark window occurs; all their columns, whatever these are."""
     names = documents.columns
     kept = documents
-    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        kept = kept.mapInArrow(_clean(block, window, names.index(text_col)), kept.schema)
+    for n, block in enumerate(item_blocks(benchmark, item_col, item_text_col, block_bytes)):
+        if n and n % CHAIN == 0:
+            kept = materialize(kept, "decontaminate")
+        kept = kept.mapInArrow(_clean(block, window, names.index(text_col)), documents.schema)
     return kept
 
 
 def _clean(items, window: int, at: int):
+    name = uuid.uuid4().hex
+
     def run(batches):
-        searcher = Searcher(items, window)
+        searcher = searcher_of(name, items, window)
         for batch in batches:
             texts = batch.column(at)
-            keep = [not (t.is_valid and searcher.search(words_of(t.as_buffer().to_pybytes()))[1]) for t in texts]
+            keep = [not (t.is_valid and searcher.search(words_of(t.as_buffer().to_pybytes()))[0]) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -259,7 +284,7 @@ WITH dw AS (
 bw AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 pat AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS p
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM bw WHERE len(w) > 0)),
@@ -271,7 +296,7 @@ hits AS (SELECT rid, i, dwin.m AS m, item_id FROM dwin JOIN pat ON dwin.p = pat.
 pos AS (SELECT rid, count(DISTINCT k) AS n_hit
         FROM (SELECT rid, unnest(range(i, i + m)) AS k FROM (SELECT DISTINCT rid, i, m FROM hits)) GROUP BY rid),
 its AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
-        FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY rid)
+        FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated

@@ -16,12 +16,12 @@ def low(text):
 def brute(docs, items, window=10):
     strings = {}
     for item, text in items:
-        if item is None or text is None:
+        if text is None:
             continue
         w = WORD.findall(low(text))
         m = min(window, len(w))
         for i in range(len(w) - m + 1 if m else 0):
-            strings.setdefault(tuple(w[i : i + m]), set()).add(item)
+            strings.setdefault(tuple(w[i : i + m]), set()).update([] if item is None else [item])  # without an id, it hits and is not listed
     out = []
     for doc, text in docs:
         w = WORD.findall(low(text)) if text is not None else []
@@ -79,3 +79,17 @@ def test_drop_contaminated_keeps_columns_and_clean_rows(spark):
     assert kept.columns == frame.columns
     want = sorted(str(r[0]) for r in brute(docs, items) if not r[5])
     assert sorted(str(r.doc_id) for r in kept.collect()) == want
+
+
+def test_an_item_without_id_hits_but_is_not_listed(spark):
+    docs = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 tail"), (2, "none of these")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10")], "item_id long, text string")
+    found = {r["doc_id"]: r for r in D.contamination_report(docs, items).collect()}
+    assert (found[1]["n_hit"], found[1]["n_items"], found[1]["contaminated"]) == (10, 0, True) and not found[2]["contaminated"]
+    assert [r["doc_id"] for r in D.drop_contaminated(docs, items).collect()] == [2]
+
+
+def test_ids_must_be_whole_numbers(spark):
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="whole numbers"):
+        D.find_contamination(docs, spark.createDataFrame([(1, "x")], "item_id long, text string"))
