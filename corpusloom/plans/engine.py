@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __name__ as NAME
-from ..functions.paths import document_kind
+from ..functions.paths import base_name, document_kind
 from ..operators import answers, chunks, graph, pages, schemas, search, snapshot
 from ..operators.filters import STATE_DIR, is_searchable
 from ..operators.symbols import parse_files
@@ -29,6 +29,8 @@ SCHEMAS = {
     "search_documents": "path string, kind string, title string, content string, updated_at string",
     "search_chunks": "path string, chunk_id string, kind string, title string, content string, start_line long, end_line long, updated_at string",
     "chunk_embeddings": "path string, chunk_id string, vector array<double>",
+    "embeddings": "path string, dimensions int, magnitude double, vector array<double>, updated_at string",
+    "errors": "source string, path string, message string",
     "graph_files": "path string, language string, updated_at string",
     "graph_symbols": "path string, name string, kind string, parent string, source string, start_line long, start_column long, end_line long, end_column long, id string",
     "graph_contains": "file_path string, symbol_id string",
@@ -78,6 +80,15 @@ class Engine:
             rows = rows.where((F.col("path") == rel) | F.startswith("path", F.lit(rel + "/")))
         return rows
 
+    def _report(self, source: str, bad: DataFrame) -> None:
+        """Replaces the errors of a source (index or search) by those of its last run."""
+        others = self.table("errors").where(F.col("source") != source)
+        self.write("errors", others.unionByName(bad.select(F.lit(source).alias("source"), "path", F.col("error").alias("message"))))
+
+    def get_errors(self, source: str = "index") -> DataFrame:
+        """path, message of each file that the last run could not read."""
+        return self.table("errors").where(F.col("source") == source).select("path", "message")
+
     def check_inside(self, path: str) -> str:
         full = os.path.realpath(os.path.join(self.root, path))
         if full != self.root and not full.startswith(self.root + os.sep):
@@ -106,36 +117,44 @@ class Engine:
         return self.table("files").join(scanned.select("path"), "path", "left_semi")
 
     def index_path(self, path: str = ".", now: str | None = None) -> dict:
-        """Discovers, classifies, parses what is new or changed, updates files and graph; returns the run's summary."""
+        """Discovers, classifies, parses what is new or changed, updates files and graph; returns the run's summary.
+
+        The tree is scanned once.  A file to be parsed that is not UTF-8 is an error of its own (get_errors): the rest is
+        indexed, the file stays unindexed, and the run ends with status error.
+        """
         now = now or str(int(time.time() * 1000))
         runs = snapshot.begin_run(self.table("index_runs"), now)
         self.write("index_runs", runs)
         run_id = self.table("index_runs").agg(F.max("id")).first()[0]
-        source = self._source(path)
-        scanned = snapshot.describe_files(source, self.root)
+        raw = sources.written(self._source(path), "scan")
+        source = sources.decode(raw)
+        scanned = snapshot.describe_files(raw, self.root)
         old = self.table("files")
         rel = None if path in (".", self.root) else self.check_inside(path)
         known = snapshot.tracked_files(old, self.root, rel)
         scope = old.join(known, "path", "left_semi")
         changes = snapshot.classify(scanned, scope)
-        actions = snapshot.file_actions(changes, self.table("graph_files")).cache()
-        todo = actions.where("parse").select("path")
+        actions = snapshot.file_actions(changes, self.table("graph_files"))
+        actions = actions.join(source.select("path", "error"), "path", "left").withColumn("error", F.when(F.col("parse"), F.col("error")))
+        actions = sources.written(actions, "actions")
+        bad = actions.where("error is not null")
+        self._report("index", bad)
+        todo = actions.where("parse and error is null").select("path")
         symbols = parse_files(source.join(todo, "path", "left_semi").select("path", "content"))
         touched = todo.unionByName(actions.where("status = 'deleted'").select("path"))
-        new_symbols = graph.graph_symbols(symbols).cache()
+        new_symbols = sources.written(graph.graph_symbols(symbols), "symbols")
         new_files = scanned.join(todo, "path", "left_semi").select("path", "language", F.lit(now).alias("updated_at"))
         new_edges = new_symbols.select(F.col("path").alias("file_path"), F.col("id").alias("symbol_id"))
         for name, batch, key in (("graph_symbols", new_symbols, "path"), ("graph_contains", new_edges, "file_path"), ("graph_files", new_files, "path")):
             self.write(name, graph.replace_files(self.table(name), batch, touched, key))
         live = scanned.withColumn("last_indexed_at", F.lit(None).cast("string")).withColumn("status", F.lit("unchanged"))
-        indexed = actions.where("not (skipped and status = 'unchanged')").select("path")
-        merged = snapshot.mark_indexed(snapshot.upsert(old, live.join(indexed, "path", "left_semi"), ["path"]), indexed, now)
+        moved = actions.where("not (skipped and status = 'unchanged')")
+        indexed = moved.where("error is null").select("path")
+        merged = snapshot.mark_indexed(snapshot.upsert(old, live.join(moved, "path", "left_semi"), ["path"]), indexed, now)
         self.write("files", snapshot.mark_deleted(merged, actions.where("status = 'deleted'")))
         summary = snapshot.run_summary(actions).first().asDict()
         done = snapshot.finish_run(self.table("index_runs"), run_id, str(int(time.time() * 1000)), summary["files_seen"], summary["files_changed"], summary["run_status"])
         self.write("index_runs", done)
-        actions.unpersist()
-        new_symbols.unpersist()
         return {"run_id": run_id, **summary}
 
     index_file = index_path
@@ -143,7 +162,7 @@ class Engine:
     def index_file_to_graph(self, path: str) -> int:
         """Parses a file again whatever its state; returns how many symbols the graph has of it."""
         rel = self.check_inside(path)
-        source = self._source(rel).where(F.col("path") == rel)
+        source = sources.decode(self._source(rel).where(F.col("path") == rel))
         symbols = parse_files(source.select("path", "content"))
         one = self.spark.createDataFrame([(rel,)], "path string")
         for name, batch, key in (("graph_symbols", graph.graph_symbols(symbols), "path"), ("graph_contains", graph.contains(symbols), "file_path")):
@@ -160,7 +179,7 @@ class Engine:
 
     def parse_source_file(self, path: str) -> DataFrame:
         rel = self.check_inside(path)
-        return parse_files(self._source(rel, lambda _: F.lit(True)).where(F.col("path") == rel).select("path", "content"))
+        return parse_files(sources.decode(self._source(rel, lambda _: F.lit(True)).where(F.col("path") == rel)).select("path", "content"))
 
     def get_graph_symbols(self, path: str) -> DataFrame:
         return graph.symbols_of_file(self.table("graph_symbols"), self.table("graph_contains"), path)
@@ -174,18 +193,30 @@ class Engine:
     # --- search
 
     def rebuild_search_index(self, path: str = ".", now: str | None = None) -> dict:
+        """Indexes what can be searched below a path; returns documents_indexed, embeddings_indexed and errors.
+
+        A file that is not UTF-8 is an error of its own (get_errors("search")); the rest is indexed.
+        """
         now = now or str(int(time.time() * 1000))
-        source = self._source(path, is_searchable)
-        documents = source.select("path", document_kind("path").alias("kind"), F.col("path").alias("title"), "content", F.lit(now).alias("updated_at"))
-        self.write("search_documents", documents)
-        found = chunks.chunk_documents(self.table("search_documents").select("path", "title", "content")).withColumn("updated_at", F.lit(now))
+        source = sources.written(sources.decode(self._source(path, is_searchable)), "scan")
+        self._report("search", source.where("error is not null"))
+        read = source.where("error is null")
+        self.write("search_documents", read.select("path", document_kind("path").alias("kind"), base_name("path").alias("title"), "content", F.lit(now).alias("updated_at")))
+        documents, model = self.table("search_documents"), self.get_settings().embedding_model_path
+        found = chunks.chunk_documents(documents.select("path", "title", "content")).withColumn("updated_at", F.lit(now))
         self.write("search_chunks", found)
-        self.write("chunk_embeddings", search.embed_chunks(self.table("search_chunks"), self.get_settings().embedding_model_path))
+        self.write("chunk_embeddings", search.embed_chunks(self.table("search_chunks"), model))
+        self.write("embeddings", search.embed_documents(documents, model))
         self.write("postings", search.postings(self.table("search_chunks")))
-        return search.index_summary(self.table("search_documents"), self.table("search_documents")).first().asDict()
+        summary = search.index_summary(documents, self.table("embeddings")).first().asDict()
+        return {**summary, "errors": self.get_errors("search").count()}
+
+    def get_embedding(self, path: str) -> DataFrame:
+        """path, dimensions, magnitude of a document's vector."""
+        return self.table("embeddings").where(F.col("path") == path).select("path", "dimensions", "magnitude")
 
     def clear_search_index(self) -> None:
-        for name in ("chunk_embeddings", "postings", "search_chunks", "search_documents"):
+        for name in ("chunk_embeddings", "embeddings", "postings", "search_chunks", "search_documents"):
             self.write(name, self.spark.createDataFrame([], SCHEMAS[name]))
 
     def search_text(self, query: str, limit: int = 10) -> DataFrame:
@@ -214,7 +245,7 @@ class Engine:
 
     def detect_database_structure(self) -> tuple[str | None, DataFrame | None]:
         files = sources.scan_tree(self.spark, f"file://{self.root}", lambda _: F.lit(True))
-        return schemas.detect_schema(files.select("path", "content"))
+        return schemas.detect_schema(sources.decode(files).where("error is null").select("path", "content"))
 
     def reset(self) -> None:
         """Forgets all that is derived from the workspace; settings stay."""
@@ -239,20 +270,27 @@ class Engine:
 
     # --- requests
 
-    def route(self, path: str, body: dict) -> tuple[int, dict]:
-        """(status, JSON body) of an agent request: /status, /search, /find, /explain, /where, /trace, /impact, /index."""
+    def route(self, path: str, body: dict, method: str | None = None) -> tuple[int, dict]:
+        """(status, JSON body) of an agent request: GET /status, POST /search, /find, /explain, /where, /trace, /impact, /index."""
         rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  limits came first
-        query, limit = body.get("query") or body.get("path") or body.get("symbol") or "", int(body.get("limit", 10))
+        if method not in (None, "GET" if path == "/status" else "POST"):
+            return 404, {"error": "not found"}
+        needed = {"/search": "query", "/find": "query", "/explain": "query", "/where": "target", "/trace": "target", "/impact": "target", "/index": "path"}.get(path)
+        if needed and not isinstance(body.get(needed), str):
+            return 400, {"error": f"missing field `{needed}`"}
+        limit = body.get("limit")
+        if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or limit < 0):
+            return 400, {"error": "limit must be a whole number"}
         if path == "/status":
-            return 200, {"name": NAME, "root": self.root, "run": rows(self.get_index_status())}
+            return 200, {"status": "ready", "localOnly": True, "name": NAME, "root": self.root, "run": rows(self.get_index_status())}
         if path == "/search":
-            return 200, {"results": rows(self.hybrid_search(query, limit))}
+            return 200, {"results": rows(self.hybrid_search(body["query"], 10 if limit is None else limit))}
         if path == "/find":
-            return 200, {"results": rows(self.search_text(query, limit))}
+            return 200, {"results": rows(self.search_text(body["query"], 10 if limit is None else limit))}
         if path == "/explain":
-            return 200, asdict(self.ask_local(query, body.get("activePath")))
+            return 200, asdict(self.ask_local(body["query"], body.get("activePath")))
         if path in ("/where", "/trace", "/impact"):
-            return 200, {"context": rows(self.get_graph_context(query, limit))}
+            return 200, {"context": rows(self.get_graph_context(body["target"], 24 if limit is None else limit))}
         if path == "/index":
-            return 200, self.index_path(body.get("path", "."))
+            return 200, self.index_path(body["path"])
         return 404, {"error": "not found"}

@@ -110,7 +110,7 @@ FROM s WHERE score > 0 ORDER BY s.score DESC, path, chunk_id LIMIT 25"""
 @query(_HYBRID)
 def hybrid_search(spark, sf_dir):
     rows = document_chunks(spark, sf_dir)
-    found = search.hybrid_search(rows, search.embed_chunks(rows), QUESTION, 25)
+    found = search.hybrid_scan(rows, QUESTION, 25)
     return found.select("path", "chunk_id", "start_line", "end_line", F.round("text_score", 6).alias("text_score"), F.round("vector_score", 6).alias("vector_score"), F.round("score", 6).alias("score"))
 
 
@@ -130,8 +130,7 @@ SELECT path, chunk_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, pa
 
 @query(_BM25)
 def text_search(spark, sf_dir):
-    rows = document_chunks(spark, sf_dir)
-    return search.bm25_search(rows, search.postings(rows), search.field_stats(rows), "The ontion", 25).select("path", "chunk_id", F.round("score", 6).alias("score"))
+    return search.bm25_scan(document_chunks(spark, sf_dir), "The ontion", 25).select("path", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -140,7 +139,7 @@ t AS (SELECT path, chunk_id, unnest(list_filter(regexp_split_to_array(lower(cont
 SELECT term, CAST(count(*) AS BIGINT) AS occurrences, CAST(count(DISTINCT path || chunk_id) AS BIGINT) AS chunks FROM t GROUP BY term"""
 )
 def term_index(spark, sf_dir):
-    rows = search.postings(document_chunks(spark, sf_dir)).where("field = 'content'")
+    rows = search.postings(document_chunks(spark, sf_dir), fields=("content",))
     return rows.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("chunks"))
 
 
@@ -160,7 +159,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, start_
 SELECT path, chunk_id, start_line, CAST(round(score, 6) AS DOUBLE) AS score, trim(substr(content, 1, 1200), ' ' || chr(10)) AS snippet FROM k WHERE rn = 1 ORDER BY k.score DESC, path LIMIT 20"""
 )
 def project_overview(spark, sf_dir):
-    return search.project_overview(document_chunks(spark, sf_dir), 20).select("path", "chunk_id", "start_line", F.round("score", 6).alias("score"), "snippet")
+    return search.overview_scan(document_chunks(spark, sf_dir), 20).select("path", "chunk_id", "start_line", F.round("score", 6).alias("score"), "snippet")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from urllib.parse import parse_qsl, urlsplit
+from urllib.parse import urlsplit
 
 from .engine import Engine
 
@@ -22,8 +22,10 @@ class AgentServer:
                     return self.send(413, {"error": "request body is too large"})
                 url = urlsplit(self.path)
                 try:
-                    body = dict(parse_qsl(url.query)) | (json.loads(self.rfile.read(size)) if size else {})
-                    status, said = engine.route(url.path, body)
+                    body = json.loads(self.rfile.read(size)) if size else {}
+                    if not isinstance(body, dict):
+                        raise ValueError("the body must be an object")
+                    status, said = engine.route(url.path, body, self.command)
                 except ValueError as error:
                     status, said = 400, {"error": str(error)}
                 except Exception as error:

@@ -2,37 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import normalize
 from ..functions.text import redact_secrets
 from ..operators.filters import is_indexable, is_searchable
+from .tables import work_path, written  # noqa: F401
+
+
+#: What a file that is not UTF-8 is reported with (fixed value).
+NOT_TEXT = "stream did not contain valid UTF-8"
 
 
-def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); one is set only where none is."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not conf:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusloom-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        conf = held.get()
-    return f"{conf.rstrip('/')}/corpusloom/{label}-{uuid.uuid4().hex}"
+def decode(files: DataFrame, column: str = "content") -> DataFrame:
+    """The files with their bytes as text, null where these are not UTF-8, and error, null where they are."""
+    text = F.col(column).cast("string")
+    fits = F.is_valid_utf8(text)
+    error = F.when(~fits, F.concat("path", F.lit(f": {NOT_TEXT}")))
+    return files.withColumn("error", error).withColumn(column, F.when(fits, text))
 
 
 def scan_tree(spark: SparkSession, root: str, keep=is_indexable) -> DataFrame:
-    """One scan of a tree: path (relative), size_bytes, modified_at (epoch millis as text), content; kept paths only."""
+    """One scan of a tree: path (relative), size_bytes, modified_at (epoch millis as text), content (bytes); kept paths only."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.removeprefix("file://").rstrip("/")
     plain = F.regexp_replace("path", r"^file:/+", "/")
-    rows = files.select(
-        normalize(plain, base).alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").cast("string").alias("modified_at"), F.col("content").cast("string").alias("content")
-    )
+    rows = files.select(normalize(plain, base).alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").cast("string").alias("modified_at"), "content")
     return rows.where(keep("path"))
 
 

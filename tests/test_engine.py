@@ -70,6 +70,43 @@ def test_search_pages_and_answers(engine):
     assert engine.set_settings(model_path="m").model_path == "m" and engine.get_settings().model_path == "m"
 
 
+def test_files_that_are_not_utf8_are_errors_of_their_own(engine):
+    with open(os.path.join(engine.root, "src/latin.ts"), "wb") as f:
+        f.write("export const café = 1;\n".encode("latin-1"))
+    first = engine.index_path()
+    assert (first["files_seen"], first["files_changed"], first["files_skipped"], first["errors"], first["run_status"]) == (5, 3, 1, 1, "error")
+    assert [(r["path"], r["message"]) for r in engine.get_errors().collect()] == [("src/latin.ts", "src/latin.ts: stream did not contain valid UTF-8")]
+    assert engine.get_index_status().first()["status"] == "error" and engine.get_graph_symbols("src/App.tsx").count() > 0
+    assert engine.get_file_metadata("src/latin.ts").first()["last_indexed_at"] is None
+    assert engine.index_path()["errors"] == 1  # it is tried again
+    summary = engine.rebuild_search_index()
+    assert summary == {"documents_indexed": 4, "embeddings_indexed": 4, "errors": 1}
+    assert [r["path"] for r in engine.get_errors("search").collect()] == ["src/latin.ts"]
+    put(engine.root, "src/latin.ts", "export const cafe = 1;\n")
+    mended = engine.index_path()
+    assert (mended["errors"], mended["files_changed"], mended["run_status"]) == (0, 1, "complete") and engine.get_errors().count() == 0
+
+
+def test_titles_vectors_and_paths_of_documents(engine):
+    engine.rebuild_search_index()
+    titles = {r["path"]: r["title"] for r in engine.table("search_documents").collect()}
+    assert titles["src/lib/helper.ts"] == "helper.ts" and engine.table("search_chunks").where("title = 'helper.ts:L1-L1'").count() == 1
+    told = engine.get_embedding("src/App.tsx").first()
+    assert told["dimensions"] == 64 and abs(told["magnitude"] - 1) < 1e-9
+    assert engine.search_text("src/lib/helper.ts", 5).first()["path"] == "src/lib/helper.ts"
+    assert engine.search_text("tools", 5).count() == 0  # a folder is no word of a title
+
+
+def test_requests_of_agents(engine):
+    engine.index_path()
+    assert len(engine.route("/where", {"target": "src/App.tsx"})[1]["context"]) == 5
+    assert len(engine.route("/where", {"target": "src/App.tsx", "limit": 2}, "POST")[1]["context"]) == 2
+    assert engine.route("/where", {"path": "src/App.tsx"}, "POST")[0] == 400 and engine.route("/search", {"limit": 3}, "POST")[0] == 400
+    assert engine.route("/search", {"query": "x", "limit": "3"}, "POST")[0] == 400
+    assert engine.route("/index", {"path": "."}, "GET")[0] == 404 and engine.route("/status", {}, "POST")[0] == 404
+    assert engine.route("/status", {}, "GET")[1]["status"] == "ready"
+
+
 def test_unchanged_file_that_the_graph_lacks_is_parsed(engine):
     assert engine.record_file_metadata("tools/theme.go").count() == 1
     run = engine.index_path()
