@@ -18,7 +18,8 @@ Defined results: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text of
 fewer than five words is one shingle, its whole sequence; without words or text
 the set is empty and linked with nothing (component_id is its own id).  Rows
 that repeat an id are one node and each give a row.  A null id never names a
-component.  Extra columns are not read.  An empty table gives no rows.
+component.  Ids must be whole numbers (another type raises TypeError).  Extra
+columns are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, bounded_join, materialize, release
+from .common import arrow_batches, bounded_join, materialize, release, whole_numbers
 from .components import Forest, connected_components, edge_batch
 
 WORDS = 5
@@ -39,7 +40,7 @@ NUM, DEN = 4, 5
 #: Documents, about, in which frequent shingles are looked for; shingles listed at most.
 SAMPLE_DOCS, FREQUENT, FREQUENT_FROM = 4000, 50_000, 3
 #: Content of a band: shingles plus this many for each document.
-BAND_WEIGHT, ROW_WEIGHT = 1_000_000, 500
+BAND_WEIGHT, ROW_WEIGHT = 200_000, 500
 #: Classes of one block of a key.
 KEY_BLOCK = 4096
 #: Classes up to which the table of those to compare is broadcast (16 bytes each).
@@ -379,6 +380,7 @@ def _tiles(batches):
 
 def ngram_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id."""
+    whole_numbers(documents, id_col)
     kind = documents.schema[id_col].dataType
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     frequent = frequent_shingles(docs, "id", "text")
@@ -390,10 +392,11 @@ def ngram_components(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     copies = materialize(copies, "jaccard-copies")
     standing = bounded_join(full, copies, ["id", "digest"], BROADCAST_ROWS, "left_anti")
     entries = standing.select(F.explode("prefix").alias("key"), "n", F.col("id").alias("rep"))
-    shared = entries.repartition(F.col("key")).sortWithinPartitions("key", "n", "rep").mapInArrow(_shared, "key long, n long, rep long")
-    shared = materialize(shared, "jaccard-shared")
-    # a key of many classes is dealt into blocks; each pair of blocks is a tile of its own
-    hot = materialize(shared.groupBy("key").agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "jaccard-hot")
+    # a key of many classes is dealt into blocks before anything is sorted; each pair of blocks is a tile of its own
+    hot = materialize(entries.groupBy("key").agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "jaccard-hot")
+    tagged = bounded_join(entries, hot.select("key", F.lit(True).alias("many")), "key", BROADCAST_ROWS, "left")
+    few = tagged.where("many is null").select("key", "n", "rep").repartition(F.col("key")).sortWithinPartitions("key", "n", "rep").mapInArrow(_shared, "key long, n long, rep long")
+    shared = materialize(few.unionByName(tagged.where("many").select("key", "n", "rep")), "jaccard-shared")
     dealt = bounded_join(shared, hot, "key", BROADCAST_ROWS, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("side", F.pmod(F.hash("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "n", "rep")
@@ -442,7 +445,9 @@ def keep_one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     kept = bounded_join(documents, leave, id_col, BROADCAST_ROWS, "left_anti")
     twice = materialize(found.where("id is not null").groupBy(F.col("id").alias(id_col)).agg(F.count("*").alias("k")).where("k > 1").select(id_col), "jaccard-twice")
     if twice.limit(1).count():
-        own = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]))
+        # xxhash64 takes no maps; their JSON stands in
+        content = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in documents.schema]
+        own = Window.partitionBy(id_col).orderBy(F.xxhash64(*content))
         again = bounded_join(kept, twice, id_col, BROADCAST_ROWS, "left_semi").select("*", F.row_number().over(own).alias("_nth of its id")).where("`_nth of its id` = 1")
         kept = bounded_join(kept, twice, id_col, BROADCAST_ROWS, "left_anti").select(*documents.columns).unionByName(again.select(*documents.columns))
     return kept.select(*documents.columns)
