@@ -50,6 +50,8 @@ PLAN = (3, 9, 8)
 MISSES = {64: (0, 20_000), 384: (9, 4_000), 768: (21, 4_000)}
 #: Bits of a sketch, and how many may differ in a pair that is compared.
 SKETCH, APART = 256, 96
+#: Members up to which tiles are compared together.
+LAGS = 24
 ROUNDS = 3
 
 
@@ -152,46 +154,56 @@ def _coded(hashes: int, tables: int, probes: int):
     return run
 
 
-def _near(batches):
-    """Rows (bucket, low, high, side, cid, sketch), together by tile, to those of members whose sketch is near another's."""
-
-    def flush(keys, sides, cids, bits):
-        sides = np.array(sides)
-        two = sides.min() != sides.max()
-        bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(cids), -1)
-        hit = np.zeros(len(cids), bool)
-        rows = np.flatnonzero(sides == sides.min()) if two else np.arange(len(cids))
-        cols = np.flatnonzero(sides != sides.min()) if two else rows
+def _near_members(keys: np.ndarray, sides: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which rows have a sketch near that of another row of their tile; keys (rows, 3) are together by tile, low < high pairs two sides."""
+    n = len(keys)
+    starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+    sizes = np.diff(np.append(starts, n))
+    tile, two, hit = np.repeat(np.arange(len(starts)), sizes), keys[:, 1] != keys[:, 2], np.zeros(n, bool)
+    small = np.repeat(sizes <= LAGS, sizes)
+    # rows of small tiles are compared with the next, the next but one, ... for all tiles at once
+    for lag in range(1, min(LAGS, int(sizes.max()))):
+        i = np.flatnonzero(small[:-lag] & (tile[lag:] == tile[:-lag]))
+        i = i[~two[i] | (sides[i] != sides[i + lag])]
+        close = i[np.bitwise_count(bits[i] ^ bits[i + lag]).sum(axis=1, dtype=np.int64) <= APART]
+        hit[close] = hit[close + lag] = True
+    for t in np.flatnonzero(sizes > LAGS):
+        own = np.arange(starts[t], starts[t] + sizes[t])
+        apart = two[own[0]]
+        rows, cols = (own[sides[own] == keys[own[0], 1]], own[sides[own] == keys[own[0], 2]]) if apart else (own, own)
         for at in range(0, len(rows), 256):
             some = rows[at : at + 256]
             close = np.bitwise_count(bits[some][:, None, :] ^ bits[cols][None, :, :]).sum(axis=2, dtype=np.int64) <= APART
-            if not two:
+            if not apart:
                 close[np.arange(len(some)), np.arange(at, at + len(some))] = False
             hit[some] |= close.any(axis=1)
             hit[cols] |= close.any(axis=0)
-        return [(*keys, int(sides[i]), cids[i]) for i in np.flatnonzero(hit)]
+    return hit
+
+
+def _near(batches):
+    """Rows (bucket, low, high, side, cid, sketch), together by tile, to those of members whose sketch is near another's."""
 
-    def out(rows):
+    def found(columns):
+        hit = np.flatnonzero(_near_members(np.stack(columns[:3], axis=1), columns[3], columns[5]))
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "low", "high", "side", "cid"])
+        return pa.RecordBatch.from_arrays([pa.array(c[hit], k) for c, k in zip(columns, kinds)], names=["bucket", "low", "high", "side", "cid"])
 
-    held, members, found = None, ([], [], []), []
+    held = None
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(6)]
-        for *key, side, cid, bits in zip(*columns):
-            if key != held:
-                if len(members[1]) > 1:
-                    found += flush(held, *members)
-                held, members = key, ([], [], [])
-            for values, x in zip(members, (side, cid, bits)):
-                values.append(x)
-        if len(found) > 10_000:
-            yield out(found)
-            found = []
-    if len(members[1]) > 1:
-        found += flush(held, *members)
-    if found:
-        yield out(found)
+        if not batch.num_rows:
+            continue
+        now = [batch.column(i).to_numpy().astype(np.int64) for i in range(5)]
+        now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, SKETCH // 64))
+        if held is not None:
+            now = [np.concatenate((x, y)) for x, y in zip(held, now)]
+        same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
+        last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # where the last tile, which may go on, begins
+        if last:
+            yield found([x[:last] for x in now])
+        held = [x[last:] for x in now]
+    if held is not None:
+        yield found(held)
 
 
 def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import embedding_dedup as E
@@ -79,6 +80,28 @@ def test_stated_misses(dim):
     assert (far <= E.APART).mean() <= 0.01
 
 
+@pytest.mark.parametrize("size", [1, 7, 500])
+def test_near_members(size):
+    rng = np.random.default_rng(3)
+    centres = E.sketches(rng.normal(size=(12, 16)))
+    rows = []
+    for tile in range(60):
+        low, high = (0, 0) if tile % 2 else (1, 3)
+        for i in range(int(rng.integers(1, 60))):
+            rows.append((tile // 3, low, high, low if rng.random() < 0.5 else high, 1000 * tile + i, centres[rng.integers(12)].tobytes()))
+    rows.sort(key=lambda r: r[:3])
+    want = set()
+    for r in rows:
+        for q in rows:
+            apart = sum(int(x).bit_count() for x in np.frombuffer(r[5], np.uint64) ^ np.frombuffer(q[5], np.uint64))
+            if r[:3] == q[:3] and r[4] != q[4] and apart <= E.APART and (r[1] == r[2] or r[3] != q[3]):
+                want.add(r[:5])
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    names = ["bucket", "low", "high", "side", "cid", "sketch"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + size]), kinds)], names=names) for i in range(0, len(rows), size)]
+    assert {tuple(r.values()) for b in E._near(iter(batches)) for r in b.to_pylist()} == want and len(want) > 100
+
+
 @pytest.mark.parametrize("dim", [1, 2, 3, 5, 8])
 def test_few_dimensions(spark, dim):
     rows = corpus(7, 120, dim, 0.3)
