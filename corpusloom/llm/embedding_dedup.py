@@ -102,27 +102,30 @@ def bucket_codes(unit: np.ndarray, hashes: int, tables: int, probes: int) -> np.
     return out
 
 
-def _describe(batches):
-    """(id, embedding array<double>) to (id, digest, vector); digest is null where the vector is not usable."""
-    for batch in arrow_batches(batches):
-        digests, vectors = [], []
-        for id_, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            digest, raw = None, None
-            values = value.values if value.is_valid else None
-            if id_ is not None and values is not None and len(values) and not values.null_count:
-                x = values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                with np.errstate(over="ignore", invalid="ignore"):
-                    norm = np.linalg.norm(x / max(np.abs(x).max(), 1e-300)) if np.isfinite(x).all() else 0.0
-                if norm > 0:
-                    raw = x.tobytes()
-                    digest = hashlib.blake2b(raw, digest_size=16).digest()
-            digests.append(digest)
-            vectors.append(raw)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], names=["id", "digest", "vector"])
-
-
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _describe(kind):
+    """(id, embedding) to (id, digest, vector as bytes of numpy type kind); digest is null where the vector is not usable."""
+
+    def run(batches):
+        for batch in arrow_batches(batches):
+            digests, vectors = [], []
+            for id_, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                digest, raw = None, None
+                values = value.values if value.is_valid else None
+                if id_ is not None and values is not None and len(values) and not values.null_count:
+                    x = values.to_numpy(zero_copy_only=False).astype(kind) + kind(0)
+                    if np.isfinite(x).all() and x.any():
+                        raw = x.tobytes()
+                        digest = hashlib.blake2b(raw, digest_size=16).digest()
+                digests.append(digest)
+                vectors.append(raw)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], names=["id", "digest", "vector"])
+
+    return run
+
+
+def _unit(raw: list[bytes], kind) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -133,7 +136,7 @@ def sketches(unit: np.ndarray) -> np.ndarray:
     return np.packbits(unit @ planes > 0, axis=1).view(np.uint64)
 
 
-def _coded(hashes: int, tables: int, probes: int):
+def _coded(hashes: int, tables: int, probes: int, kind):
     """(cid, weight, vector) to these, their buckets and their sketch."""
 
     def run(batches):
@@ -144,7 +147,7 @@ def _coded(hashes: int, tables: int, probes: int):
             for i, r in enumerate(raw):
                 lengths[len(r)].append(i)
             for at in lengths.values():
-                unit = _unit([raw[i] for i in at])
+                unit = _unit([raw[i] for i in at], kind)
                 for i, c, bits in zip(at, bucket_codes(unit, hashes, tables, probes), sketches(unit)):
                     codes[i], drawn[i] = c.ravel(), bits.tobytes()
             offsets = np.arange(len(raw) + 1, dtype=np.int32) * (tables * probes)
@@ -154,17 +157,28 @@ def _coded(hashes: int, tables: int, probes: int):
     return run
 
 
-def _near_members(keys: np.ndarray, sides: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which rows have a sketch near that of another row of their tile; keys (rows, 3) are together by tile, low < high pairs two sides."""
-    n = len(keys)
+def _runs(keys: np.ndarray):
+    """Where each tile starts, its size, and the number of each row's tile; keys (rows, 3) are together by tile."""
     starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
-    sizes = np.diff(np.append(starts, n))
-    tile, two, hit = np.repeat(np.arange(len(starts)), sizes), keys[:, 1] != keys[:, 2], np.zeros(n, bool)
-    small = np.repeat(sizes <= LAGS, sizes)
-    # rows of small tiles are compared with the next, the next but one, ... for all tiles at once
+    sizes = np.diff(np.append(starts, len(keys)))
+    return starts, sizes, np.repeat(np.arange(len(starts)), sizes)
+
+
+def _small_pairs(keys: np.ndarray, sides: np.ndarray, sizes: np.ndarray, tile: np.ndarray):
+    """The pairs of all tiles of at most LAGS rows, as (rows, distance): rows with the next, then the next but one, ..."""
+    small, two = sizes[tile] <= LAGS, keys[:, 1] != keys[:, 2]
     for lag in range(1, min(LAGS, int(sizes.max()))):
         i = np.flatnonzero(small[:-lag] & (tile[lag:] == tile[:-lag]))
         i = i[~two[i] | (sides[i] != sides[i + lag])]
+        if len(i):
+            yield i, lag
+
+
+def _near_members(keys: np.ndarray, sides: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which rows have a sketch near that of another row of their tile; keys (rows, 3) are together by tile, low < high pairs two sides."""
+    starts, sizes, tile = _runs(keys)
+    two, hit = keys[:, 1] != keys[:, 2], np.zeros(len(keys), bool)
+    for i, lag in _small_pairs(keys, sides, sizes, tile):
         close = i[np.bitwise_count(bits[i] ^ bits[i + lag]).sum(axis=1, dtype=np.int64) <= APART]
         hit[close] = hit[close + lag] = True
     for t in np.flatnonzero(sizes > LAGS):
@@ -181,6 +195,12 @@ def _near_members(keys: np.ndarray, sides: np.ndarray, bits: np.ndarray) -> np.n
     return hit
 
 
+def _last_tile(columns) -> int:
+    """Where the last tile, which may go on in the next batch, begins; its keys are the first three columns."""
+    same = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1]) & (columns[2] == columns[2][-1])
+    return 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+
+
 def _near(batches):
     """Rows (bucket, low, high, side, cid, sketch), together by tile, to those of members whose sketch is near another's."""
 
@@ -197,8 +217,7 @@ def _near(batches):
         now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, SKETCH // 64))
         if held is not None:
             now = [np.concatenate((x, y)) for x, y in zip(held, now)]
-        same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
-        last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # where the last tile, which may go on, begins
+        last = _last_tile(now)
         if last:
             yield found([x[:last] for x in now])
         held = [x[last:] for x in now]
@@ -223,9 +242,8 @@ def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(found, out, far)
 
 
-def compare_bucket(bucket: int, cids, weights, sides, vectors, codes, threshold: float, degree, forest) -> None:
+def compare_bucket(bucket: int, two: bool, cids, weights, sides, vectors, codes, threshold: float, degree, forest) -> None:
     """Adds what one tile finds: partners' weights to degree, spanning links to forest."""
-    two = sides.min() != sides.max()
     rows = np.flatnonzero(sides == sides.min()) if two else np.arange(len(cids))
     cols = np.flatnonzero(sides != sides.min()) if two else rows
     for at in range(0, len(rows), 512):
@@ -240,10 +258,7 @@ def compare_bucket(bucket: int, cids, weights, sides, vectors, codes, threshold:
             here = _first_common(codes[a], codes[b]) == bucket
             a, b = a[here], b[here]
             if len(a):
-                for x, w in zip(*_sums(a, weights[b])):
-                    degree[int(cids[x])] += int(w)
-                for x, w in zip(*_sums(b, weights[a])):
-                    degree[int(cids[x])] += int(w)
+                _add(degree, cids, weights, a, b)
                 label = np.arange(len(cids))
                 while True:
                     least = np.minimum(label[a], label[b])
@@ -255,23 +270,42 @@ def compare_bucket(bucket: int, cids, weights, sides, vectors, codes, threshold:
                     forest.join(int(cids[x]), int(cids[label[x]]))
 
 
-def _sums(keys, values):
-    at, inverse = np.unique(keys, return_inverse=True)
-    return at, np.bincount(inverse, values).round().astype(np.int64)
+def _add(degree, cids, weights, a, b) -> None:
+    """Adds the weights of the partners of pairs (a, b) of rows to degree, by cid."""
+    keys, inverse = np.unique(cids[np.concatenate((a, b))], return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, inverse, weights[np.concatenate((b, a))])
+    for x, w in zip(keys.tolist(), sums.tolist()):
+        degree[x] += w
+
+
+def compare_tiles(keys, cids, weights, sides, vectors, codes, threshold: float, degree, forest) -> None:
+    """Adds what tiles find; rows are together by tile.  Small tiles are compared together, large ones by themselves."""
+    starts, sizes, tile = _runs(keys)
+    for i, lag in _small_pairs(keys, sides, sizes, tile):
+        i = i[np.einsum("ij,ij->i", vectors[i], vectors[i + lag]) >= threshold]
+        i = i[_first_common(codes[i], codes[i + lag]) == keys[i, 0]]
+        _add(degree, cids, weights, i, i + lag)
+        for x, y in zip(cids[i].tolist(), cids[i + lag].tolist()):
+            forest.join(x, y)
+    for t in np.flatnonzero(sizes > LAGS):
+        own = slice(starts[t], starts[t] + sizes[t])
+        bucket, low, high = keys[starts[t]].tolist()
+        compare_bucket(bucket, low != high, cids[own], weights[own], sides[own], vectors[own], codes[own], threshold, degree, forest)
+
 
+def _tiles(threshold: float, tables: int, probes: int, kind):
+    """Rows (bucket, low, high, side, cid, weight, vector, codes), together by tile, to degrees and spanning links."""
 
-def _tiles(threshold: float, tables: int, probes: int):
     def run(batches):
-        degree, forest, held, rows = defaultdict(int), Forest(), None, []
+        degree, forest, held = defaultdict(int), Forest(), None
 
-        def flush():
-            by_length = defaultdict(list)
-            for r in rows:
-                by_length[len(r[4])].append(r)
-            for same in by_length.values():
-                if len(same) > 1:
-                    bucket, cids, weights, sides, raw, codes = zip(*same)
-                    compare_bucket(bucket[0], np.array(cids), np.array(weights), np.array(sides), _unit(list(raw)), np.stack(codes), threshold, degree, forest)
+        def compare(columns):
+            bytes_each = np.fromiter(map(len, columns[6]), np.int64, len(columns[6]))
+            for size in np.unique(bytes_each):
+                own = np.flatnonzero(bytes_each == size)
+                keys = np.stack(columns[:3], axis=1)[own]
+                compare_tiles(keys, columns[4][own], columns[5][own], columns[3][own], _unit(columns[6][own].tolist(), kind), columns[7][own], threshold, degree, forest)
 
         def out():
             a, b = forest.stars()
@@ -279,18 +313,23 @@ def _tiles(threshold: float, tables: int, probes: int):
             return pa.RecordBatch.from_arrays(kinds, names=["a", "b", "w"])
 
         for batch in batches:
-            tile, bucket, cid, weight, side, raw = (batch.column(i).to_pylist() for i in range(6))
-            codes = batch.column(6).values.to_numpy().reshape(-1, tables, probes)
-            for i in range(batch.num_rows):
-                key = tile[i]
-                if key != held:
-                    flush()
-                    held, rows = key, []
-                rows.append((bucket[i], cid[i], weight[i], side[i], raw[i], codes[i]))
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy().astype(np.int64) for i in range(6)]
+            raw = np.empty(batch.num_rows, dtype=object)
+            raw[:] = batch.column(6).to_pylist()
+            now += [raw, batch.column(7).flatten().to_numpy().reshape(-1, tables, probes)]
+            if held is not None:
+                now = [np.concatenate((x, y)) for x, y in zip(held, now)]
+            last = _last_tile(now)
+            if last:
+                compare([x[:last] for x in now])
+            held = [x[last:] for x in now]
             if len(degree) > 500_000 or len(forest.parent) > 500_000:
                 yield out()
                 degree, forest = defaultdict(int), Forest()
-        flush()
+        if held is not None:
+            compare(held)
         yield out()
 
     return run
@@ -300,12 +339,15 @@ def near_duplicates(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col
     """One row per vector: id, n_links, component_id, kept."""
     whole_numbers(embeddings, id_col)
     kind = embeddings.schema[id_col].dataType
-    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = materialize(rows.mapInArrow(_describe, "id long, digest binary, vector binary"), "vectors")
+    # vectors of single precision travel as such; all is computed in double
+    single = embeddings.schema[vector_col].dataType.simpleString() == "array<float>"
+    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
+    number = np.float32 if single else np.float64
+    rows = materialize(rows.mapInArrow(_describe(number), "id long, digest binary, vector binary"), "vectors")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     hashes, tables, probes = plan
-    coded = classes.select("cid", "weight", "vector").mapInArrow(_coded(hashes, tables, probes), "cid long, weight long, vector binary, codes array<long>, sketch binary")
+    coded = classes.select("cid", "weight", "vector").mapInArrow(_coded(hashes, tables, probes, number), "cid long, weight long, vector binary, codes array<long>, sketch binary")
     coded = materialize(coded, "vector-codes")
     entries = coded.select("cid", "sketch", F.explode(F.array_distinct("codes")).alias("bucket"))
     hot = entries.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
@@ -317,8 +359,8 @@ def near_duplicates(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col
     near = dealt.repartition(*tile).sortWithinPartitions(*tile, "cid").mapInArrow(_near, "bucket long, low int, high int, side int, cid long")
     near = materialize(near, "vector-near")
     # float noise of one dot product stays below 1e-15 in any order of summing
-    placed = near.join(coded.select("cid", "weight", "vector", "codes"), "cid").select(F.concat_ws(":", *tile).alias("tile"), "bucket", "cid", "weight", "side", "vector", "codes")
-    found = placed.repartition(F.col("tile")).sortWithinPartitions("tile", "cid").mapInArrow(_tiles(cosine, tables, probes), "a long, b long, w long")
+    placed = near.join(coded.select("cid", "weight", "vector", "codes"), "cid").select(*tile, "side", "cid", "weight", "vector", "codes")
+    found = placed.repartition(*tile).sortWithinPartitions(*tile, "cid").mapInArrow(_tiles(cosine, tables, probes, number), "a long, b long, w long")
     found = materialize(found, "vector-links")
     release(coded, hot, near)
     degree = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("w").alias("degree"))
