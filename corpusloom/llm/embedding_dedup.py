@@ -56,28 +56,32 @@ ROUNDS = 3
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows, orthonormal; their length is a power of 2."""
-    n, width, h = len(x), x.shape[1], 1
+    """Fast Walsh-Hadamard transform of the columns, orthonormal; their length is a power of 2.  Overwrites x."""
+    width, n = x.shape
+    out, h = np.empty_like(x), 1
     while h < width:
-        pairs = x.reshape(n, width // (2 * h), 2, h)
-        x = np.stack((pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]), axis=2).reshape(n, width)
-        h *= 2
-    return x / np.sqrt(width)
+        pairs, into = x.reshape(width // (2 * h), 2, h, n), out.reshape(width // (2 * h), 2, h, n)
+        np.add(pairs[:, 0], pairs[:, 1], out=into[:, 0])
+        np.subtract(pairs[:, 0], pairs[:, 1], out=into[:, 1])
+        x, out, h = out, x, h * 2
+    x /= np.sqrt(width)
+    return x
 
 
 def rotate(x: np.ndarray, table: int, which: int) -> np.ndarray:
+    """The rows rotated; x holds them as columns, which keeps the butterflies of many vectors contiguous."""
     for r in range(ROUNDS):
-        signs = np.random.default_rng([SEED, table, which, r, x.shape[1]]).choice(np.array([-1.0, 1.0]), x.shape[1])
-        x = hadamard(x * signs)
-    return x
+        signs = np.random.default_rng([SEED, table, which, r, x.shape[0]]).choice(np.array([-1.0, 1.0]), x.shape[0])
+        x = hadamard(x * signs[:, None])
+    return np.ascontiguousarray(x.T)
 
 
 def bucket_codes(unit: np.ndarray, hashes: int, tables: int, probes: int) -> np.ndarray:
     """Bucket ids (rows, tables, probes) of unit vectors of one length; no two of a row and table are equal."""
     n, dim = unit.shape
     width = 1 << max(1, (dim - 1).bit_length())
-    padded = np.zeros((n, width))
-    padded[:, :dim] = unit
+    padded = np.zeros((width, n))
+    padded[:dim] = unit.T
     near = min(width, max(2, probes))
     out = np.zeros((n, tables, probes), dtype=np.int64)
     for t in range(tables):
