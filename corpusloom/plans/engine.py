@@ -74,11 +74,9 @@ class Engine:
         os.replace(self._pointer(name) + ".new", self._pointer(name))
 
     def _source(self, path: str | None = None, keep=None) -> DataFrame:
-        rows = sources.scan_tree(self.spark, f"file://{self.root}", *([keep] if keep else []))
-        if path and path not in (".", self.root):
-            rel = os.path.relpath(os.path.join(self.root, path), self.root)
-            rows = rows.where((F.col("path") == rel) | F.startswith("path", F.lit(rel + "/")))
-        return rows
+        whole = not path or path in (".", self.root)
+        below = None if whole else os.path.relpath(os.path.join(self.root, path), self.root)
+        return sources.scan_tree(self.spark, f"file://{self.root}", *([keep] if keep else []), below=below)
 
     def _report(self, source: str, bad: DataFrame) -> None:
         """Replaces the errors of a source (index or search) by those of its last run."""

@@ -23,13 +23,29 @@ def decode(files: DataFrame, column: str = "content") -> DataFrame:
     return files.withColumn("error", error).withColumn(column, F.when(fits, text))
 
 
-def scan_tree(spark: SparkSession, root: str, keep=is_indexable) -> DataFrame:
-    """One scan of a tree: path (relative), size_bytes, modified_at (epoch millis as text), content (bytes); kept paths only."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def at_or_below(path: Column, top: str) -> Column:
+    """Whether a path is top or lies below it."""
+    return (path == top) | F.startswith(path, F.lit(top + "/"))
+
+
+def scan_tree(spark: SparkSession, root: str, keep=is_indexable, below: str | None = None) -> DataFrame:
+    """One scan of a tree: path (relative), size_bytes, modified_at (epoch millis as text), content (bytes); kept paths only.
+
+    The filters stand on the files' metadata, by which Spark prunes files as it lists them: content is read of kept
+    files only.  Metadata has paths URL-encoded; one with an escape is filtered after its read.
+    """
     base = root.removeprefix("file://").rstrip("/")
-    plain = F.regexp_replace("path", r"^file:/+", "/")
-    rows = files.select(normalize(plain, base).alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").cast("string").alias("modified_at"), "content")
-    return rows.where(keep("path"))
+
+    def relative(path) -> Column:
+        return normalize(F.regexp_replace(path, r"^file:/+", "/"), base)
+
+    def wanted(path) -> Column:
+        return keep(path) & at_or_below(path, below) if below else keep(path)
+
+    listed = F.col("_metadata.file_path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.contains(listed, F.lit("%")) | wanted(relative(listed)))
+    rows = files.select(relative("path").alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").cast("string").alias("modified_at"), "content")
+    return rows.where(wanted(F.col("path")))
 
 
 def search_tree(spark: SparkSession, root: str) -> DataFrame:

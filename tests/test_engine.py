@@ -28,6 +28,29 @@ def engine(spark, tmp_path):
     return Engine(spark, root)
 
 
+def test_content_is_read_of_kept_files_only(spark, tmp_path):
+    root = str(tmp_path / "a tree")
+    for path in ("src/a.py", "src/b c.py", "src/50%.py", "src2/d.py"):
+        put(root, path, "x = 1\n")
+    for path in (".git/objects.py", "node_modules/p/i.ts", "picture.bin"):
+        put(root, path, "y" * 4000)
+    plain = str(tmp_path / "tree")
+    os.rename(root, plain)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)  # to read a longer file's content is an error
+    try:
+        found = lambda **k: sorted(r["path"] for r in sources.scan_tree(spark, f"file://{plain}", **k).select("path", "content").collect())
+        assert found() == ["src/50%.py", "src/a.py", "src/b c.py", "src2/d.py"]
+        assert found(below="src") == ["src/50%.py", "src/a.py", "src/b c.py"]
+        assert found(below="src/b c.py") == ["src/b c.py"] and found(below="src/a") == []
+        with pytest.raises(Exception, match="(?i)max"):
+            found(keep=lambda _: F.lit(True))
+        os.rename(plain, root)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    spaced = sources.scan_tree(spark, f"file://{root}").select("path").collect()
+    assert sorted(r["path"] for r in spaced) == ["src/50%.py", "src/a.py", "src/b c.py", "src2/d.py"]
+
+
 def test_index_run(engine):
     first = engine.index_path()
     assert (first["files_seen"], first["files_changed"], first["files_skipped"], first["run_status"]) == (4, 3, 1, "complete")
