@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embedding_dedup, language, ngram_join, packing, secrets, training_order, url_filter, warc
+from . import bpe, chat, decontaminate, embedding_dedup, language, merkle, ngram_join, packing, secrets, training_order, url_filter, warc
 from .common import table
 
 
@@ -46,6 +46,14 @@ def op10_training_order(spark, sf_dir):
     return training_order.training_order(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark, sf_dir):
+    return bpe.encoding_report(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
