@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, embedding_dedup, language, merkle, ngram_join, packing, secrets, training_order, url_filter, warc
+from . import bpe, chat, decontaminate, embedding_dedup, language, merkle, ngram_join, packing, ranked_search, secrets, training_order, url_filter, warc
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op10_training_order(spark, sf_dir):
     return training_order.training_order(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.search_report(spark, sf_dir)
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.manifest_report(table(spark, sf_dir, "documents"))
 
@@ -59,4 +63,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_url_filter": url_filter.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op4_packing": packing.ORACLE, "op5_chat": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE}
+    return {"op1_url_filter": url_filter.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op4_packing": packing.ORACLE, "op5_chat": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op11_ranked_search": ranked_search.ORACLE}
