@@ -16,6 +16,7 @@ from ..functions import labels
 from ..functions.paths import base_name, contains_any, line_label
 from ..functions.text import _WHITE, clean_summary, col, trim_white, truncate_snippet
 from . import graph, search
+from .scans import without_adjacent_repeats
 
 # Phrases that show what a question asks for, in order of trial.
 FILE_LIST = ("give me the files", "list files", "show files", "what files", "which files", "files in this project", "file list")
@@ -92,25 +93,36 @@ def number_citations(citations: DataFrame, active_path: str | None = None) -> Da
 
 
 def drop_adjacent(contexts: DataFrame, order: list[str], key: list[str], group: str | None = None) -> DataFrame:
-    """Rows in order without those whose key equals that of the row before."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(*order)
-    same = F.lit(True)
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.lag(k).over(w))
-    return contexts.withColumn("_same", same & (F.row_number().over(w) > 1)).where("not _same").drop("_same")
+    """Rows in order without those whose key equals that of the row before; a group of any size is spread over range partitions."""
+    return without_adjacent_repeats(contexts, order, key, group)
+
+
+_CONTEXT_ORDER = ["path", "name", "n", "relation", "start_line", "start_column"]
+
+
+def contexts_of_results(results: DataFrame, symbols: DataFrame, edges: DataFrame, question: str = "question") -> DataFrame:
+    """Graph contexts for a table of questions: question, place (from 1), relation and the symbols' columns, CONTEXT_LIMIT rows
+    a question at most.
+
+    results has question, path and ord.  The first CONTEXT_RESULTS paths of each question are looked up, each path once
+    whatever the number of questions that name it; then each question's rows are sorted, adjacent repeats go, and the first
+    stay.
+    """
+    first = Window.partitionBy(question).orderBy("ord", "path")
+    asked = results.withColumn("n", F.row_number().over(first) - 1).where(F.col("n") < CONTEXT_RESULTS).select(question, "n", F.col("path").alias("target"))
+    found = graph.graph_contexts(symbols, edges, asked.select("target").distinct(), CONTEXT_LIMIT)
+    rows = asked.join(found, "target").select(question, "n", "relation", *graph.SYMBOL_COLUMNS)
+    # at most CONTEXT_RESULTS * CONTEXT_LIMIT rows a question: its own window holds them
+    own = Window.partitionBy(question).orderBy(*_CONTEXT_ORDER)
+    key = F.struct("path", "relation", "name", "start_line")
+    kept = rows.withColumn("_same", key.eqNullSafe(F.lag(key).over(own)) & (F.row_number().over(own) > 1)).where("not _same")
+    return kept.withColumn("place", F.row_number().over(own)).where(F.col("place") <= CONTEXT_LIMIT).drop("_same", "n")
 
 
 def context_of_results(results: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """Graph context of the first results, sorted and without adjacent repeats."""
-    paths = [r["path"] for r in results.orderBy("ord").limit(CONTEXT_RESULTS).collect()]
-    found = None
-    for n, path in enumerate(paths):
-        part = graph.graph_context(symbols, edges, path, CONTEXT_LIMIT).withColumn("n", F.lit(n))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return graph.graph_context(symbols, edges, "", 1).limit(0)
-    kept = drop_adjacent(found, ["path", "name", "n", "relation", "start_line", "start_column"], ["path", "relation", "name", "start_line"])
-    return kept.orderBy("path", "name", "n", "relation", "start_line", "start_column").limit(CONTEXT_LIMIT).drop("n")
+    """Graph context of one question's first results, sorted and without adjacent repeats."""
+    found = contexts_of_results(results.withColumn("question", F.lit(0)), symbols, edges).drop("question")
+    return found.orderBy("place").drop("place")
 
 
 def with_focus(results: DataFrame, focused: DataFrame, query: str, path: str, is_overview: bool) -> DataFrame:

@@ -59,6 +59,16 @@ def graph_context(symbols: DataFrame, edges: DataFrame, target: str, limit: int)
     return inside.unionByName(named).orderBy("branch", first, "start_line", "start_column", "name").limit(limit).drop("branch")
 
 
+def graph_contexts(symbols: DataFrame, edges: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+    """graph_context for a table of targets: target, relation and the symbols' columns, at most limit rows a target."""
+    limit = max(1, limit)
+    inside = targets.join(edges, F.col("target") == F.col("file_path")).join(symbols, F.col("symbol_id") == F.col("id"))
+    inside = inside.select("target", F.lit(0).alias("branch"), F.lit("contains").alias("relation"), *SYMBOL_COLUMNS)
+    named = targets.join(symbols, F.col("target") == F.col("name")).select("target", F.lit(1).alias("branch"), F.lit("matches_symbol").alias("relation"), *SYMBOL_COLUMNS)
+    first = Window.partitionBy("target").orderBy("branch", F.when(F.col("branch") == 1, F.col("path")), "start_line", "start_column", "name")
+    return inside.unionByName(named).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= limit).drop("_rank", "branch")
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports (id, source) with target and local: the first form of the source that is a file, else lib::source."""
     forms = F.array(*[F.struct(F.lit(i).alias("rank"), F.format_string(f.replace("{}", "%s"), F.col("source")).alias("form")) for i, f in enumerate(IMPORT_FORMS)])

@@ -46,6 +46,12 @@ def query_words(spark: SparkSession, query: str) -> list[str]:
     return spark.range(1).select(query_terms(F.lit(query)).alias("t")).first()["t"]
 
 
+def no_results(chunks: DataFrame) -> DataFrame:
+    """Results without rows."""
+    score = [F.lit(0.0).alias(c) for c in ("text_score", "vector_score", "score")]
+    return chunks.limit(0).select("path", "chunk_id", "kind", "title", F.col("content").alias("snippet"), "start_line", "end_line", *score)
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 

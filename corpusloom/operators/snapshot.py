@@ -6,11 +6,12 @@ batch does not name), which is how plain Parquet takes upserts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import language
 from .filters import is_graph_source
+from .scans import running_totals
 
 FILE_COLUMNS = ["path", "workspace_root", "language", "size_bytes", "modified_at", "content_hash", "last_indexed_at", "status"]
 
@@ -121,17 +122,11 @@ def run_summary(actions: DataFrame) -> DataFrame:
 
 
 def progress(actions: DataFrame, group: str | None = None) -> DataFrame:
-    """Running counters in path order, one row per file; with group, of each group on its own."""
-    order = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(order).cast("long")
-    return actions.withColumns(
-        {
-            "files_seen": count(F.lit(True)),
-            "files_changed": count(~F.col("skipped")),
-            "files_skipped": count(F.col("skipped")),
-            "files_deleted": count(~F.col("skipped") & (F.col("status") == "deleted")),
-        }
-    )
+    """Running counters in path order, one row per file; with group, of each group on its own.  Spread over range partitions."""
+    moved = ~F.col("skipped")
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    counters = {"files_seen": F.lit(1), "files_changed": flag(moved), "files_skipped": flag(F.col("skipped")), "files_deleted": flag(moved & (F.col("status") == "deleted"))}
+    return running_totals(actions, ["path"], counters, group)
 
 
 def begin_run(runs: DataFrame, started_at: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """The engine: one method per command, over tables in a state folder.
 
-Tables are Parquet snapshots; a write makes a new version beside the old one
-and then names it in a pointer file, so readers always see a whole table.
+Tables are Parquet, cut into buckets of their path (sources/store.py): a change
+writes the buckets it touches, and one commit names the versions of all tables
+that it changes, so readers never see a run's files without its graph.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 import time
-import uuid
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from .. import __name__ as NAME
 from ..functions.paths import base_name, document_kind
-from ..operators import answers, chunks, graph, pages, schemas, search, snapshot
+from ..operators import answers, chunks, graph, pages, schemas, search, snapshot, term_index
 from ..operators.filters import STATE_DIR, is_searchable
 from ..operators.symbols import parse_files
 from ..sources import files as sources
+from ..sources.store import BUCKETS, Tables
 
 SCHEMAS = {
     "files": "path string, workspace_root string, language string, size_bytes long, modified_at string, content_hash string, last_indexed_at string, status string",
@@ -35,8 +36,10 @@ SCHEMAS = {
     "graph_symbols": "path string, name string, kind string, parent string, source string, start_line long, start_column long, end_line long, end_column long, id string",
     "graph_contains": "file_path string, symbol_id string",
     "pages": "file_name string, path string, markdown string",
-    "postings": "term string, field string, path string, chunk_id string, length long, tf long",
 }
+#: The column by whose hash a table is cut into buckets.
+KEYS = {n: "path" for n in ("files", "search_documents", "search_chunks", "chunk_embeddings", "embeddings", "graph_files", "graph_symbols", "pages")} | {"graph_contains": "file_path"}
+SEARCH_TABLES = ("search_documents", "search_chunks", "chunk_embeddings", "embeddings")
 
 
 @dataclass
@@ -49,39 +52,29 @@ class Settings:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, state: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, state: str | None = None, buckets: int = BUCKETS):
         self.spark, self.root = spark, str(Path(root).resolve())
         self.state = state or os.path.join(self.root, STATE_DIR)
         os.makedirs(self.state, exist_ok=True)
+        self.store = Tables(spark, f"file://{self.state}/tables", SCHEMAS, KEYS, buckets)
 
     # --- tables
 
-    def _pointer(self, name: str) -> str:
-        return os.path.join(self.state, f"{name}.version")
-
     def table(self, name: str) -> DataFrame:
-        if not os.path.exists(self._pointer(name)):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        with open(self._pointer(name)) as f:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"file://{self.state}/{name}/{f.read().strip()}")
+        return self.store.read(name)
 
     def write(self, name: str, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        columns = self.spark.createDataFrame([], SCHEMAS[name]).schema
-        df.select(*[F.col(c.name).cast(c.dataType).alias(c.name) for c in columns]).write.parquet(f"file://{self.state}/{name}/{version}")
-        with open(self._pointer(name) + ".new", "w") as f:
-            f.write(version)
-        os.replace(self._pointer(name) + ".new", self._pointer(name))
+        self.store.commit(whole={name: df})
 
     def _source(self, path: str | None = None, keep=None) -> DataFrame:
         whole = not path or path in (".", self.root)
         below = None if whole else os.path.relpath(os.path.join(self.root, path), self.root)
         return sources.scan_tree(self.spark, f"file://{self.root}", *([keep] if keep else []), below=below)
 
-    def _report(self, source: str, bad: DataFrame) -> None:
-        """Replaces the errors of a source (index or search) by those of its last run."""
+    def _errors(self, source: str, bad: DataFrame) -> DataFrame:
+        """The table of errors, those of a source (index or search) replaced by those of its last run."""
         others = self.table("errors").where(F.col("source") != source)
-        self.write("errors", others.unionByName(bad.select(F.lit(source).alias("source"), "path", F.col("error").alias("message"))))
+        return others.unionByName(bad.select(F.lit(source).alias("source"), "path", F.col("error").alias("message")))
 
     def get_errors(self, source: str = "index") -> DataFrame:
         """path, message of each file that the last run could not read."""
@@ -111,13 +104,14 @@ class Engine:
         status = snapshot.classify(scanned, old).select("path", "status")
         kept = old.select("path", "last_indexed_at")
         batch = scanned.join(status, "path").join(kept, "path", "left")
-        self.write("files", snapshot.upsert(old, batch, ["path"]))
+        self.store.commit(merged={"files": (batch, scanned.select("path"))})
         return self.table("files").join(scanned.select("path"), "path", "left_semi")
 
     def index_path(self, path: str = ".", now: str | None = None) -> dict:
         """Discovers, classifies, parses what is new or changed, updates files and graph; returns the run's summary.
 
-        The tree is scanned once.  A file to be parsed that is not UTF-8 is an error of its own (get_errors): the rest is
+        The tree is scanned once, and files, graph, errors and the run's end are one commit: a failure before it leaves
+        all tables as they were.  A file to be parsed that is not UTF-8 is an error of its own (get_errors): the rest is
         indexed, the file stays unindexed, and the run ends with status error.
         """
         now = now or str(int(time.time() * 1000))
@@ -136,23 +130,29 @@ class Engine:
         actions = actions.join(source.select("path", "error"), "path", "left").withColumn("error", F.when(F.col("parse"), F.col("error")))
         actions = sources.written(actions, "actions")
         bad = actions.where("error is not null")
-        self._report("index", bad)
         todo = actions.where("parse and error is null").select("path")
         symbols = parse_files(source.join(todo, "path", "left_semi").select("path", "content"))
         touched = todo.unionByName(actions.where("status = 'deleted'").select("path"))
         new_symbols = sources.written(graph.graph_symbols(symbols), "symbols")
         new_files = scanned.join(todo, "path", "left_semi").select("path", "language", F.lit(now).alias("updated_at"))
         new_edges = new_symbols.select(F.col("path").alias("file_path"), F.col("id").alias("symbol_id"))
-        for name, batch, key in (("graph_symbols", new_symbols, "path"), ("graph_contains", new_edges, "file_path"), ("graph_files", new_files, "path")):
-            self.write(name, graph.replace_files(self.table(name), batch, touched, key))
         live = scanned.withColumn("last_indexed_at", F.lit(None).cast("string")).withColumn("status", F.lit("unchanged"))
         moved = actions.where("not (skipped and status = 'unchanged')")
         indexed = moved.where("error is null").select("path")
         merged = snapshot.mark_indexed(snapshot.upsert(old, live.join(moved, "path", "left_semi"), ["path"]), indexed, now)
-        self.write("files", snapshot.mark_deleted(merged, actions.where("status = 'deleted'")))
+        merged = snapshot.mark_deleted(merged, actions.where("status = 'deleted'"))
+        changed = moved.select("path").unionByName(touched).distinct()
         summary = snapshot.run_summary(actions).first().asDict()
         done = snapshot.finish_run(self.table("index_runs"), run_id, str(int(time.time() * 1000)), summary["files_seen"], summary["files_changed"], summary["run_status"])
-        self.write("index_runs", done)
+        self.store.commit(
+            whole={"index_runs": done, "errors": self._errors("index", bad)},
+            merged={
+                "graph_symbols": (new_symbols, touched),
+                "graph_contains": (new_edges, touched.withColumnRenamed("path", "file_path")),
+                "graph_files": (new_files, touched),
+                "files": (merged.join(changed, "path", "left_semi"), changed),
+            },
+        )
         return {"run_id": run_id, **summary}
 
     index_file = index_path
@@ -163,8 +163,7 @@ class Engine:
         source = sources.decode(self._source(rel).where(F.col("path") == rel))
         symbols = parse_files(source.select("path", "content"))
         one = self.spark.createDataFrame([(rel,)], "path string")
-        for name, batch, key in (("graph_symbols", graph.graph_symbols(symbols), "path"), ("graph_contains", graph.contains(symbols), "file_path")):
-            self.write(name, graph.replace_files(self.table(name), batch, one, key))
+        self.store.commit(merged={"graph_symbols": (graph.graph_symbols(symbols), one), "graph_contains": (graph.contains(symbols), one.withColumnRenamed("path", "file_path"))})
         return self.table("graph_contains").where(F.col("file_path") == rel).count()
 
     def get_index_status(self) -> DataFrame:
@@ -190,36 +189,56 @@ class Engine:
 
     # --- search
 
+    def _searched(self, source: DataFrame, now: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+        """The merges that put decoded files (path, content) into the search tables in place of what these hold of them."""
+        documents = source.select("path", document_kind("path").alias("kind"), base_name("path").alias("title"), "content", F.lit(now).alias("updated_at"))
+        documents, model = sources.written(documents, "documents"), self.get_settings().embedding_model_path
+        found = sources.written(chunks.chunk_documents(documents.select("path", "title", "content")).withColumn("updated_at", F.lit(now)), "chunks")
+        batches = (documents, found, search.embed_chunks(found, model), search.embed_documents(documents, model))
+        return {name: (batch, documents.select("path")) for name, batch in zip(SEARCH_TABLES, batches)}
+
     def rebuild_search_index(self, path: str = ".", now: str | None = None) -> dict:
         """Indexes what can be searched below a path; returns documents_indexed, embeddings_indexed and errors.
 
-        A file that is not UTF-8 is an error of its own (get_errors("search")); the rest is indexed.
+        Documents elsewhere stay; the term index is made anew of all chunks.  A file that is not UTF-8 is an error of its
+        own (get_errors("search")); the rest is indexed.
         """
         now = now or str(int(time.time() * 1000))
         source = sources.written(sources.decode(self._source(path, is_searchable)), "scan")
-        self._report("search", source.where("error is not null"))
         read = source.where("error is null")
-        self.write("search_documents", read.select("path", document_kind("path").alias("kind"), base_name("path").alias("title"), "content", F.lit(now).alias("updated_at")))
-        documents, model = self.table("search_documents"), self.get_settings().embedding_model_path
-        found = chunks.chunk_documents(documents.select("path", "title", "content")).withColumn("updated_at", F.lit(now))
-        self.write("search_chunks", found)
-        self.write("chunk_embeddings", search.embed_chunks(self.table("search_chunks"), model))
-        self.write("embeddings", search.embed_documents(documents, model))
-        self.write("postings", search.postings(self.table("search_chunks")))
-        summary = search.index_summary(documents, self.table("embeddings")).first().asDict()
-        return {**summary, "errors": self.get_errors("search").count()}
+        self.store.commit(whole={"errors": self._errors("search", source.where("error is not null"))}, merged=self._searched(read, now))
+        self.rebuild_term_index()
+        n = read.count()
+        return {"documents_indexed": n, "embeddings_indexed": n, "errors": self.get_errors("search").count()}
+
+    def rebuild_term_index(self) -> None:
+        """Writes the term index of all chunks and names it in one commit."""
+        path = self.store.new_folder("term_index")
+        term_index.write_index(self.table("search_chunks"), path)
+        self.store.commit(folders={"term_index": path})
+
+    def index_document(self, path: str, now: str | None = None) -> dict:
+        """Indexes one file for search in one commit, which writes its buckets only; the term index follows at its next rebuild."""
+        rel = self.check_inside(path)
+        self.record_file_metadata(path)
+        read = sources.written(sources.decode(self._source(rel, lambda _: F.lit(True)).where(F.col("path") == rel)), "scan")
+        bad = read.where("error is not null").head(1)
+        if bad or not read.head(1):
+            raise ValueError(bad[0]["error"] if bad else f"{rel}: no such file")
+        self.store.commit(merged=self._searched(read, now or str(int(time.time() * 1000))))
+        return self.get_embedding(rel).first().asDict()
 
     def get_embedding(self, path: str) -> DataFrame:
         """path, dimensions, magnitude of a document's vector."""
         return self.table("embeddings").where(F.col("path") == path).select("path", "dimensions", "magnitude")
 
     def clear_search_index(self) -> None:
-        for name in ("chunk_embeddings", "embeddings", "postings", "search_chunks", "search_documents"):
-            self.write(name, self.spark.createDataFrame([], SCHEMAS[name]))
+        self.store.commit(whole={name: self.spark.createDataFrame([], SCHEMAS[name]) for name in SEARCH_TABLES}, folders={"term_index": None})
 
     def search_text(self, query: str, limit: int = 10) -> DataFrame:
-        rows = self.table("search_chunks")
-        return search.bm25_search(rows, self.table("postings"), search.field_stats(rows), query, limit)
+        """Terms and quoted phrases over the term index."""
+        rows, path = self.table("search_chunks"), self.store.folder_of("term_index")
+        return term_index.text_results(rows, path, query, limit) if path else search.no_results(rows)
 
     def hybrid_search(self, query: str, limit: int = 10) -> DataFrame:
         return search.hybrid_search(self.table("search_chunks"), self.table("chunk_embeddings"), query, limit, model_path=self.get_settings().embedding_model_path)
@@ -247,8 +266,7 @@ class Engine:
 
     def reset(self) -> None:
         """Forgets all that is derived from the workspace; settings stay."""
-        for name in SCHEMAS:
-            self.write(name, self.spark.createDataFrame([], SCHEMAS[name]))
+        self.store.commit(whole={name: self.spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}, folders={"term_index": None})
 
     # --- settings
 

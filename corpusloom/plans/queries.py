@@ -10,6 +10,7 @@ from ..operators import answers, chunks, filters, graph, pages, schemas, search,
 from ..operators.symbols import parse_files
 from ..operators.symbols.lines import import_of, symbol_of
 from ..sources.files import resolve_root, root_scores, work_path
+from ..sources.tables import written
 from ..streaming import watch
 
 QUERIES: dict = {}
@@ -109,8 +110,8 @@ FROM s WHERE score > 0 ORDER BY s.score DESC, path, chunk_id LIMIT 25"""
 
 @query(_HYBRID)
 def hybrid_search(spark, sf_dir):
-    rows = document_chunks(spark, sf_dir)
-    found = search.hybrid_scan(rows, QUESTION, 25)
+    rows = written(document_chunks(spark, sf_dir), "chunks")
+    found = search.hybrid_search(rows, written(search.embed_chunks(rows), "vectors"), QUESTION, 25)
     return found.select("path", "chunk_id", "start_line", "end_line", F.round("text_score", 6).alias("text_score"), F.round("vector_score", 6).alias("vector_score"), F.round("score", 6).alias("score"))
 
 
@@ -130,7 +131,9 @@ SELECT path, chunk_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, pa
 
 @query(_BM25)
 def text_search(spark, sf_dir):
-    return search.bm25_scan(document_chunks(spark, sf_dir), "The ontion", 25).select("path", "chunk_id", F.round("score", 6).alias("score"))
+    rows = written(document_chunks(spark, sf_dir), "chunks")
+    index = written(search.postings(rows), "postings")
+    return search.bm25_search(rows, index, search.field_stats(rows), "The ontion", 25).select("path", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -152,14 +155,15 @@ _PRIORITY = """
  + CASE WHEN start_line = 1 OR ends_with(chunk_id, '-0080') THEN 0.25 ELSE 0 END)"""
 
 
-@query(
-    f"""WITH RECURSIVE {CHUNKS},
+_OVERVIEW = f"""WITH RECURSIVE {CHUNKS},
 s AS (SELECT *, {_PRIORITY} AS score FROM chunks),
 k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, start_line, chunk_id) AS rn FROM s WHERE score > 0)
 SELECT path, chunk_id, start_line, CAST(round(score, 6) AS DOUBLE) AS score, trim(substr(content, 1, 1200), ' ' || chr(10)) AS snippet FROM k WHERE rn = 1 ORDER BY k.score DESC, path LIMIT 20"""
-)
+
+
+@query(_OVERVIEW)
 def project_overview(spark, sf_dir):
-    return search.overview_scan(document_chunks(spark, sf_dir), 20).select("path", "chunk_id", "start_line", F.round("score", 6).alias("score"), "snippet")
+    return search.project_overview(written(document_chunks(spark, sf_dir), "chunks"), 20).select("path", "chunk_id", "start_line", F.round("score", 6).alias("score"), "snippet")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import normalize
 from ..functions.text import redact_secrets
 from ..operators.filters import is_indexable, is_searchable
+from .page_files import export_pages  # noqa: F401
 from .tables import work_path, written  # noqa: F401
 
 
@@ -68,22 +69,6 @@ def read_page(spark: SparkSession, path: str, source: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("path") == source)
 
 
-def export_pages(pages: DataFrame, folder: str) -> None:
-    """One markdown file per page in a folder that all executors share."""
-
-    def write(rows):
-        import os
-
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            temporary = os.path.join(folder, f".{r['file_name']}.{os.getpid()}")
-            with open(temporary, "w", encoding="utf-8") as f:
-                f.write(r["markdown"])
-            os.replace(temporary, os.path.join(folder, r["file_name"]))
-
-    pages.select("file_name", "markdown").foreachPartition(write)
-
-
 def append_log(lines: DataFrame, path: str) -> None:
     """Appends (at, message) rows as text, secrets redacted."""
     lines.select(F.concat(F.lit("["), F.col("at").cast("string"), F.lit("] "), redact_secrets("message"))).write.mode("append").text(path)

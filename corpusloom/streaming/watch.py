@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.filters import is_watched
 
@@ -63,6 +64,71 @@ def throttle(events: DataFrame, *, key: str = "run_id", time: str = "ts", phase:
     return events.repartition(F.col(key)).sortWithinPartitions(key, time, phase).mapInArrow(run, events.schema)
 
 
+def throttle_stream(events: DataFrame, *, key: str = "run_id", time: str = "ts", phase: str = "phase", least_ms: int = THROTTLE_MS, late: str = "10 seconds") -> DataFrame:
+    """throttle() over a stream: the same rows, each once the watermark has passed it.
+
+    A key's state is the time of the row shown last and the rows that the watermark has not passed yet, which a timer takes
+    up in time order; so rows that come out of order within `late` are judged as throttle() judges them, and a restart goes on
+    from the checkpoint.  Rows later than that are dropped.  Needs the RocksDB state store, which this sets for the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    fields = ", ".join(f"`{f.name}` {'long' if f.name == time else f.dataType.simpleString()}" for f in rows.schema.fields)
+    processor = _Throttle(rows.columns.index(time), rows.columns.index(phase), rows.columns, least_ms * 1000, fields)
+    return rows.groupBy(key).transformWithStateInPandas(processor, rows.schema, "Append", "EventTime")
+
+
+class _Throttle(StatefulProcessor):
+    """One key's rows in time order, behind the watermark."""
+
+    def __init__(self, time: int, phase: int, columns: list[str], least: int, fields: str):
+        self.time, self.phase, self.columns, self.least, self.fields = time, phase, columns, least, fields
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+        self.waiting = handle.getListState("waiting", self.fields)
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        name = self.columns[self.time]
+        for part in rows:
+            part = part[part[name].notna()]
+            if len(part):
+                at = part[name].astype("datetime64[us]").astype("int64")
+                part = part.assign(**{name: at}).astype(object).where(part.notna(), None)
+                self.waiting.appendList([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in part.itertuples(index=False, name=None)])
+                for ms in {t // 1000 + 1 for t in at.tolist()}:
+                    self.handle.registerTimer(int(ms))
+        yield pd.DataFrame(columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        edge = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        held = list(self.waiting.get())
+        due = sorted((r for r in held if r[self.time] < edge), key=lambda r: (r[self.time], r[self.phase] is not None, r[self.phase] or ""))
+        last = self.last.get()[0] if self.last.exists() else None
+        shown = []
+        for row in due:
+            if last is None or row[self.phase] == "complete" or row[self.time] - last >= self.least:
+                shown.append(row)
+                last = row[self.time]
+        if due:
+            self.waiting.clear()
+            if rest := [tuple(r) for r in held if r[self.time] >= edge]:
+                self.waiting.appendList(rest)
+        if shown:
+            self.last.update((last,))
+        found = pd.DataFrame([tuple(r) for r in shown], columns=self.columns)
+        name = self.columns[self.time]
+        yield found.assign(**{name: pd.to_datetime(found[name].astype("int64"), unit="us")})
+
+    def close(self) -> None:
+        pass
+
+
 def replace_messages(log: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
     """A message log after the batch: equal ids replaced in place, new ones appended."""
     return batch.select(*log.columns).unionByName(log.join(batch.select(key).distinct(), key, "left_anti"))
