@@ -108,6 +108,29 @@ def bounded_join(left: DataFrame, right: DataFrame, on, most_rows: int, how: str
     return left.join(F.broadcast(right) if few else right, on, how)
 
 
+#: Parts of a sort up to which the table of their offsets is broadcast (12 bytes each), and the bits of Spark's row ids that number a part's rows.
+BROADCAST_PARTS, PART_BITS = 2_000_000, 33
+
+
+def sort_and_number(rows: DataFrame, label: str, *order) -> tuple[DataFrame, DataFrame]:
+    """rows, range-sorted and written with part and local (the place in the part), and (part, before): rows of the parts before."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    done = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    done = done.withColumn("part", F.shiftright("_at", PART_BITS).cast("int")).withColumn("local", F.col("_at").bitwiseAND((1 << PART_BITS) - 1)).drop("_at")
+    held = materialize(done, label)
+    before, total = [], 0
+    for part, n in sorted(held.groupBy("part").count().collect()):  # as many rows as the sort has partitions
+        before.append((part, total))
+        total += n
+    return held, spark.createDataFrame(before, "part int, before long")
+
+
+def with_place(held: DataFrame, offsets: DataFrame) -> DataFrame:
+    """The rows of sort_and_number with place, their number in the whole order, in place of part and local."""
+    return bounded_join(held, offsets, "part", BROADCAST_PARTS).withColumn("place", F.col("before") + F.col("local")).drop("part", "before", "local")
+
+
 def ascii_lower(col):
     """Lower-case A-Z only, as the contracts ask; other letters stay."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

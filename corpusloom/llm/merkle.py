@@ -30,17 +30,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_join, materialize, release
+from .common import bounded_join, materialize, release, sort_and_number, with_place
 
 #: Consecutive nodes that make one of the next level.
 FAN = 3
 #: The upper tree's number; sources have 0 and up.
 TOP = -1
-#: Sources, parts of the sort, or targets of a jump up to which their table is broadcast.
-BROADCAST_SOURCES, BROADCAST_PARTS, BROADCAST_TARGETS = 200_000, 2_000_000, 20_000
+#: Sources, or targets of a jump, up to which their table is broadcast.
+BROADCAST_SOURCES, BROADCAST_TARGETS = 200_000, 20_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-#: Local row numbers within a part of the sort take this many bits of Spark's row ids.
-PART_BITS = 33
 _SEGMENTS = "array<struct<left:array<binary>,right:array<binary>>>"
 
 
@@ -64,25 +62,6 @@ def leaf_digest(text: Column | None = None, fields: tuple[str, ...] = FIELDS, te
     return digest(*[field(text if text is not None and c == text_col else c) for c in fields])
 
 
-def _numbered(rows: DataFrame, *order) -> tuple[DataFrame, DataFrame]:
-    """rows, written in the given order with part and local (place in the part), and (part, before): rows of the parts before."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    held = sorted_rows.withColumn("part", F.shiftright("_at", PART_BITS).cast("int")).withColumn("local", F.col("_at").bitwiseAND((1 << PART_BITS) - 1)).drop("_at")
-    held = materialize(held, "merkle-sorted")
-    # as many rows as the sort has partitions
-    sizes, before, total = sorted(held.groupBy("part").count().collect()), [], 0
-    for part, n in sizes:
-        before.append((part, total))
-        total += n
-    return held, spark.createDataFrame(before, "part int, before long")
-
-
-def _place(held: DataFrame, offsets: DataFrame) -> DataFrame:
-    return bounded_join(held, offsets, "part", BROADCAST_PARTS).withColumn("place", F.col("before") + F.col("local")).drop("part", "before", "local")
-
-
 def _levels(n: int) -> int:
     """Levels above a level of n nodes."""
     up = 0
@@ -171,16 +150,16 @@ def manifest(rows: DataFrame, *, source_col: str = "source", id_col: str = "doc_
     named = rows.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), "leaf", *keep)
     # written first: the sort samples its input, and texts are hashed once.  _row parts rows that are equal in all else
     named = materialize(named.withColumn("_row", F.monotonically_increasing_id()), "merkle-rows")
-    sorted_rows, offsets = _numbered(named, "source", "id", "leaf", "_row")
+    sorted_rows, offsets = sort_and_number(named, "merkle-sorted", "source", "id", "leaf", "_row")
     release(named)
     held = sorted_rows.drop("_row")
-    counted = _place(held.select("source", "part", "local"), offsets).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
-    source_rows, source_offsets = _numbered(counted, "source")
-    sources = _place(source_rows, source_offsets).select("source", "n", "first", F.col("place").alias("tree"), _height(F.col("n")).alias("height"))
+    counted = with_place(held.select("source", "part", "local"), offsets).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    source_rows, source_offsets = sort_and_number(counted, "merkle-sorted", "source")
+    sources = with_place(source_rows, source_offsets).select("source", "n", "first", F.col("place").alias("tree"), _height(F.col("n")).alias("height"))
     sources = materialize(sources, "merkle-sources")
     n_sources, most = sources.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     named_sources = sources.withColumnRenamed("source", "_source")
-    placed = _place(held, offsets)
+    placed = with_place(held, offsets)
     few = n_sources <= BROADCAST_SOURCES
     placed = placed.join(F.broadcast(named_sources) if few else named_sources, F.col("source").eqNullSafe(F.col("_source")))
     leaves = materialize(placed.select("tree", (F.col("place") - F.col("first")).alias("idx"), "source", "id", "leaf", "height", *keep), "merkle-leaves")

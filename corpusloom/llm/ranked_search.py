@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, bounded_join, materialize, release, small_batches, table, whole_numbers
+from .common import arrow_batches, bounded_join, materialize, release, small_batches, sort_and_number, table, whole_numbers, with_place
 
 #: Results an item.
 BEST = 10
@@ -136,13 +136,10 @@ def _postings(tokens: DataFrame, known: DataFrame) -> DataFrame:
     return bounded_join(each, known, "term", BROADCAST_TERMS)
 
 
-def _cut(rows: DataFrame, parts: int, size: int, name: str, *order) -> DataFrame:
-    """rows with a number for each run of size rows of the given order (runs end with a part of the sort), and their place in the run; written."""
-    at = F.monotonically_increasing_id()
-    done = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", at)
-    local = F.col("_at").bitwiseAND((1 << 33) - 1)
-    done = done.withColumn(name, F.shiftleft(F.shiftright("_at", 33), 33) + F.floor(local / size)).withColumn("place", (local % size).cast("int")).drop("_at")
-    return materialize(done, f"search-{name}")
+def _cut(rows: DataFrame, size: int, name: str, *order) -> DataFrame:
+    """rows with the number of their run of size rows in the given order, and their place in the run."""
+    numbered = with_place(*sort_and_number(rows, f"search-{name}", *order))
+    return numbered.withColumn(name, F.floor(F.col("place") / size)).withColumn("place", (F.col("place") % size).cast("int"))
 
 
 def _maxima(rows: DataFrame, name: str, values: str) -> DataFrame:
@@ -297,19 +294,17 @@ def rank_documents(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     hits = _postings(tokens, weights).withColumn("impact", impact)
     vectors = hits.groupBy("row").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.collect_list(F.struct("term", "impact")).alias("e"), F.max_by("term", F.struct("w", "term")).alias("rarest"))
     vectors = vectors.select("row", "id", "n", "rarest", F.col("e.term").alias("terms"), F.col("e.impact").alias("impacts"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vectors = materialize(vectors, "search-vectors")  # the sort samples its input
     release(tokens)
-    chunks = _cut(vectors, parts, CHUNK, "chunk", "rarest", "n", "row")
+    chunks = _cut(vectors, CHUNK, "chunk", "rarest", "n", "row")
     release(vectors)
 
     of_item = bounded_join(item_tokens.select("row", "id", F.explode("terms").alias("term")), weights, "term", BROADCAST_TERMS)
     of_item = of_item.groupBy("row").agg(F.first("id").alias("item_id"), F.collect_list(F.struct("term", "w")).alias("e"), F.max_by("term", F.struct("w", "term")).alias("rarest"))
     of_item = materialize(of_item.select(F.col("row").alias("irow"), "item_id", "rarest", F.col("e.term").alias("terms"), F.col("e.w").alias("weights")), "search-weighed")
-    n_items = of_item.count()
-    if not n_items:
+    if of_item.isEmpty():
         return empty
-    blocks = _cut(of_item, -(-n_items // BLOCK), BLOCK, "block", "rarest", "irow")
+    blocks = _cut(of_item, BLOCK, "block", "rarest", "irow")
 
     of_chunk, of_block = materialize(_maxima(chunks, "chunk", "impacts"), "search-maxima"), materialize(_maxima(blocks, "block", "weights"), "search-heaviest")
     products = bounded_join(of_chunk, of_block.withColumnRenamed("most", "heaviest"), "term", BROADCAST_TERMS)

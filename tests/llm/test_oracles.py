@@ -28,4 +28,4 @@ def test_same_rows(spark, sf_dir, name):
 
 def test_one_query_for_each_operator():
     names = sorted(llm.queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
