@@ -66,8 +66,8 @@ def phrase_search(spark, sf_dir):
 
 @query(
     f"""WITH RECURSIVE {_FIELDS},
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')[1:2] AS p FROM benchmark),
-h AS (SELECT item_id, path, chunk_id, len(list_filter(range(1, len(a)), lambda i: a[i:i + 1] = p)) AS tf FROM tk, b WHERE field = 'content' AND len(p) = 2)
+asked AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')[1:2] AS p FROM benchmark),
+h AS (SELECT item_id, path, chunk_id, len(list_filter(range(1, len(a)), lambda i: a[i:i + 1] = p)) AS tf FROM tk, asked WHERE field = 'content' AND len(p) = 2)
 SELECT item_id, path, chunk_id, CAST(tf AS BIGINT) AS occurrences FROM h WHERE tf > 0"""
 )
 def phrase_matches(spark, sf_dir):

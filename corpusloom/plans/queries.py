@@ -641,9 +641,9 @@ def adjacent_repeats(spark, sf_dir):
 def overview_answer(spark, sf_dir):
     """The text of an overview question's answer."""
     files = document_files(spark, sf_dir).select("path", paths.document_kind("path").alias("kind"), F.col("path").alias("title"), "content")
-    rows = chunks.chunk_documents(files.select("path", "content"))
+    rows = written(chunks.chunk_documents(files.select("path", "content")), "chunks")
     _, symbols, edges = _nation_graph(spark, sf_dir)
-    said = answers.ask(rows, search.embed_chunks(rows), files, symbols, edges, "What does this project do? thing")
+    said = answers.ask(rows, written(search.embed_chunks(rows), "vectors"), files, symbols, edges, "What does this project do? thing")
     return spark.createDataFrame([(said.provider, said.answer, len(said.citations))], "provider string, answer string, citations int")
 
 
