@@ -11,6 +11,10 @@ roles, which end at the first line feed, ``%``, line feed and ``<`` become
 ``%25``, ``%0A`` and ``%3C``.  The loss mask is a list of [start, end) code-point
 spans of the output, one for each non-empty assistant text.
 
+Work is linear in a conversation's turns and characters: a turn is held against
+the one before it, offsets are prefix sums by blocks, and texts under the mask are
+cut from pieces of PIECE characters.
+
 Defined results: null role and null text are empty; turns sort by turn, role
 and text, null turns first; repeated rows are turns of their own; rows with a
 null conversation id form one conversation; an empty table gives no rows.  A
@@ -22,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .secrets import PIECE, _let, _running
+
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 LEARNED_ROLE = "assistant"
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -55,55 +61,29 @@ def format_conversations(rows: DataFrame, *, id_col: str = "conv_id", turn_col:
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     turns = rows.select(F.col(id_col).alias("id"), turn.alias("t")).groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    # 1-based places at which a block of one role starts, then one past the end
-    firsts = F.filter(
-        F.sequence(F.lit(1), F.size("turns")),
-        lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]),
-    )
-    turns = turns.select("id", "turns", F.concat(firsts, F.array(F.size("turns") + 1)).alias("firsts"))
-    blocks = F.transform(
-        F.sequence(F.lit(1), F.size("firsts") - 1),
-        lambda b: F.slice("turns", F.element_at("firsts", b), F.element_at("firsts", b + 1) - F.element_at("firsts", b)),
-    )
-    merged = turns.select("id", blocks.alias("blocks")).select(
-        "id",
-        F.transform(
-            "blocks",
-            lambda b: F.struct(
-                F.element_at(b, 1)["role"].alias("role"),
-                F.concat(F.lit(START), escape_role(F.element_at(b, 1)["role"]), F.lit("\n")).alias("head"),
-                F.transform(b, lambda t: escape_text(t["text"])).alias("texts"),
-            ),
-        ).alias("blocks"),
-    )
-    # per text: code points before it since the last text, its own code points, whether it is learned
-    steps = F.flatten(
-        F.transform(
-            "blocks",
-            lambda b, i: F.transform(
-                b["texts"],
-                lambda x, j: F.struct(
-                    F.when(j > 0, F.lit(len(SEP))).otherwise(F.length(b["head"]) + F.when(i > 0, F.lit(len(END))).otherwise(F.lit(0))).alias("skip"),
-                    F.length(x).alias("take"),
-                    (b["role"] == LEARNED_ROLE).alias("learn"),
-                ),
-            ),
-        )
-    )
-    spans = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["skip"] + s["take"]).alias("at"),
-            F.when(
-                s["learn"] & (s["take"] > 0),
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + s["skip"]).alias("start"), (acc["at"] + s["skip"] + s["take"]).alias("stop")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    formatted = F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["texts"], SEP), F.lit(END))), "")
-    return merged.select(F.col("id").alias(id_col), formatted.alias("formatted"), spans.alias("loss_spans"), F.size("blocks").alias("n_blocks"))
+    # each turn beside the one before it: a turn of the same role goes on with its block, another ends it and starts one
+    kind = turns.schema["turns"].dataType.elementType
+    beside = lambda t: F.zip_with(t, F.concat(F.array(F.lit(None).cast(kind)), F.slice(t, F.lit(1), F.size(t) - 1)), _part)
+    parts = turns.select("id", _let(F.col("turns"), beside).alias("parts"))
+    # code points before each part, by blocks of prefix sums
+    lengths = F.transform("parts", lambda p: F.length(p["mark"]) + F.length(p["text"]))
+    placed = F.zip_with("parts", _running(lengths, 0, lambda a, x: a + x), _span)
+    spans = F.transform(F.filter(placed, lambda s: s["learn"] & (s["stop"] > s["start"])), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    formatted = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["mark"], p["text"])), ""), F.lit(END))
+    return parts.select(F.col("id").alias(id_col), formatted.alias("formatted"), spans.alias("loss_spans"), F.size(F.filter("parts", lambda p: p["opens"])).alias("n_blocks"))
+
+
+def _part(turn, before):
+    """What a turn adds to the text: the mark before it, its escaped text; and whether it opens a block and is learned."""
+    same = before.isNotNull() & (before["role"] == turn["role"])
+    head = F.concat(F.lit(START), escape_role(turn["role"]), F.lit("\n"))
+    mark = F.when(before.isNull(), head).when(same, F.lit(SEP)).otherwise(F.concat(F.lit(END), head))
+    return F.struct(mark.alias("mark"), escape_text(turn["text"]).alias("text"), (~same).alias("opens"), (turn["role"] == LEARNED_ROLE).alias("learn"))
+
+
+def _span(part, at):
+    start = at + F.length(part["mark"])
+    return F.struct(start.alias("start"), (start + F.length(part["text"])).alias("stop"), part["learn"].alias("learn"))
 
 
 def read_turns(formatted):
@@ -127,8 +107,16 @@ def _body(block):
 
 
 def read_loss_text(formatted, spans):
-    """Column of the text under the loss mask, unescaped span by span."""
-    return F.array_join(F.transform(spans, lambda s: unescape_text(formatted.substr(s["start"] + 1, s["stop"] - s["start"]))), "")
+    """Column of the text under the loss mask, unescaped span by span; cut from pieces, so that no cut walks the text from its start."""
+
+    def cut(pieces, start, stop):
+        a, b = F.floor(start / PIECE).cast("int"), F.floor(stop / PIECE).cast("int")
+        part = lambda i, at, n: F.coalesce(F.get(pieces, i).substr(at + 1, n), F.lit(""))
+        across = F.concat(part(a, start - a * PIECE, F.lit(PIECE)), F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), part(b, F.lit(0), stop - b * PIECE))
+        return F.when(a == b, part(a, start - a * PIECE, stop - start)).otherwise(across)
+
+    pieces = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return _let(pieces, lambda p: F.array_join(F.transform(spans, lambda s: unescape_text(cut(p, s["start"], s["stop"]))), ""))
 
 
 def conversation_report(conversations: DataFrame) -> DataFrame:

@@ -68,3 +68,17 @@ def test_escape_is_reversible(spark):
     for there, back in ((C.escape_text, C.unescape_text), (C.escape_role, C.unescape_role)):
         assert [r[0] for r in frame.select(back(there(F.col("t")))).collect()] == texts
         assert not any("<|" in r[0] for r in frame.select(there(F.col("t"))).collect())
+
+
+def test_many_turns_take_linear_time(spark):
+    import time
+
+    n = 100_000
+    rows = spark.range(n).selectExpr("CAST(1 AS LONG) AS conv_id", "id AS turn", "CASE WHEN id % 3 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('t<|', id) AS text")
+    nulls = spark.range(n).selectExpr("CAST(NULL AS LONG) AS conv_id", "CAST(NULL AS LONG) AS turn", "'assistant' AS role", "concat('n', id) AS text")
+    began = time.time()
+    got = {r[0]: tuple(r)[1:5] for r in C.conversation_report(rows.unionByName(nulls)).collect()}
+    took = time.time() - began
+    texts = [(1, i, "user" if i % 3 == 0 else "assistant", f"t<|{i}") for i in range(n)] + [(None, None, "assistant", f"n{i}") for i in range(n)]
+    assert {k: got[k] for k in (1, None)} == want(texts)
+    assert took < 60
