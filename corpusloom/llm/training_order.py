@@ -28,6 +28,7 @@ Extra columns are not read.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -36,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import NO_SHUFFLE_LEFT, arrow_batches, bounded_join, materialize, release, settings, shared_path, small_batches, whole_numbers
 
 SEQ_LEN = 256
@@ -52,6 +54,11 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: White-space characters in a row from which a text goes to the array tokeniser.
+LONG_RUN = 50_000
+_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
+
+
 class Feistel:
     """A keyed bijection of [0, n)."""
 
@@ -102,7 +109,13 @@ class Vocabulary:
         self.kind = np.dtype(id_type_of(self.end + 1))
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+        self.path = path
+
     def encode(self, text: str) -> np.ndarray:
+        """The ids of a text; one with a long run of white space, on which the pattern's back-tracking overflows, is cut by the array tokeniser."""
+        if len(text) > LONG_RUN and _RUN.search(text):
+            raw = text.encode("utf-8", "replace")
+            return bpe.load(self.path).encode(raw, np.array([0, len(raw)]))[0].astype(self.kind)
         return np.array(self.encoding.encode_ordinary(text), self.kind)
 
 

@@ -101,3 +101,18 @@ def test_whole_table(spark, sf_dir):
     slots = [r[0] for r in found.select("slot").collect()]
     assert sorted(slots) == list(range(len(slots)))
     assert found.select("doc_id").distinct().count() == spark.read.parquet(f"{sf_dir}/documents.parquet").where("text <> ''").count()
+
+
+@pytest.mark.parametrize("text", ["a" + "\n" * 5_000_000 + "b", " " * 1_000_000 + "a", " " * 3_000_000, "x" * 200_000, "-" * 200_000, "é " * 100_000])
+def test_long_runs_are_encoded_whole(text):
+    words = T.load_vocabulary(T.DEFAULT_VOCABULARY)
+    assert b"".join(words.encoding.decode_tokens_bytes(words.encode(text).tolist())).decode() == text
+
+
+def test_the_two_tokenisers_agree_on_runs(monkeypatch):
+    words = T.load_vocabulary(T.DEFAULT_VOCABULARY)
+    texts = ["a" + c * n + end for c in " \n\t\u3000" for n in (1, 2, 3, 700, 20_000) for end in ("", "b", "\n")]
+    plain = [words.encode(t).tolist() for t in texts]
+    monkeypatch.setattr(T, "LONG_RUN", 0)
+    monkeypatch.setattr(T, "_RUN", T.re.compile(r"\s"))
+    assert [words.encode(t).tolist() for t in texts] == plain
