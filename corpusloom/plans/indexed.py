@@ -36,6 +36,24 @@ def overview_scan(spark, sf_dir):
     return search.overview_scan(document_chunks(spark, sf_dir), 20).select("path", "chunk_id", "start_line", F.round("score", 6).alias("score"), "snippet")
 
 
+_RECENT = CHUNKS.replace("chunks AS (", "every AS (") + ", chunks AS (SELECT * FROM every ORDER BY md5(path) DESC, path, chunk_id LIMIT 2000)"
+
+
+@query(_HYBRID.replace(CHUNKS, _RECENT))
+def recent_hybrid_search(spark, sf_dir):
+    """Over the last updated 2000 chunks only, times being a hash of the path."""
+    rows = written(document_chunks(spark, sf_dir).withColumn("updated_at", F.md5(F.col("path").cast("binary"))), "chunks")
+    found = search.hybrid_search(rows, written(search.embed_chunks(rows), "vectors"), QUESTION, 25, exact=False)
+    return found.select("path", "chunk_id", "start_line", "end_line", *[F.round(c, 6).alias(c) for c in ("text_score", "vector_score", "score")])
+
+
+@query(_OVERVIEW.replace(CHUNKS, CHUNKS.replace("chunks AS (", "every AS (") + ", chunks AS (SELECT * FROM every ORDER BY path, start_line LIMIT 2000)"))
+def first_overview(spark, sf_dir):
+    """Over the first 2000 chunks only."""
+    found = search.project_overview(written(document_chunks(spark, sf_dir), "chunks"), 20, exact=False)
+    return found.select("path", "chunk_id", "start_line", F.round("score", 6).alias("score"), "snippet")
+
+
 @query(_BM25)
 def block_max_search(spark, sf_dir):
     """text_search through the term index: the same rows, from the blocks that can hold them."""
@@ -49,8 +67,9 @@ tk AS (SELECT path, chunk_id, field, a, len(list_filter(a, lambda w: strlen(w) <
 st AS (SELECT field, count(*) AS n, avg(dl) AS ml FROM tk GROUP BY field)"""
 
 
-@query(
-    f"""WITH RECURSIVE {_FIELDS},
+#: Two phrases and a word.
+PHRASES = '"of the" "The and the" ontion'
+PHRASES_SQL = f"""WITH RECURSIVE {_FIELDS},
 c AS (SELECT 0 AS c, ['of', 'the'] AS p UNION ALL SELECT 1, ['the', 'and', 'the'] UNION ALL SELECT 2, ['ontion']),
 h AS (SELECT c, p, path, chunk_id, field, dl, len(list_filter(range(1, len(a) - len(p) + 2), lambda i: a[i:i + len(p) - 1] = p)) AS tf FROM tk, c),
 w AS (SELECT DISTINCT unnest(p) AS term FROM c),
@@ -58,10 +77,12 @@ df AS (SELECT field, term, count(*) AS df FROM tk, w WHERE list_contains(a, term
 i AS (SELECT c, field, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf FROM (SELECT c, unnest(p) AS term FROM c) JOIN df USING (term) JOIN st USING (field) GROUP BY ALL),
 s AS (SELECT path, chunk_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / ml))) AS score FROM h JOIN i USING (c, field) JOIN st USING (field) WHERE tf > 0 GROUP BY path, chunk_id)
 SELECT path, chunk_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, path, chunk_id LIMIT 25"""
-)
+
+
+@query(PHRASES_SQL)
 def phrase_search(spark, sf_dir):
     """Two phrases and a word, by positions."""
-    return _scores(term_index.search(spark, chunk_index(spark, sf_dir), '"of the" "The and the" ontion', 25))
+    return _scores(term_index.search(spark, chunk_index(spark, sf_dir), PHRASES, 25))
 
 
 @query(

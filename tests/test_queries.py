@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from corpusloom.plans import answered, derived, indexed, scanned  # noqa: F401
+from corpusloom.plans import answered, derived, indexed, scanned, trees, varied  # noqa: F401
 from corpusloom.plans.queries import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
