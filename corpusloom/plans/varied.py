@@ -1,9 +1,10 @@
-"""Registered query of sources that differ from row to row: how many declarations, where they stand, and what stands before them."""
+"""Registered queries of sources that differ from row to row (how many declarations, where they stand, what stands before them), and of projects whose schemas are detected."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import schemas
 from ..operators.symbols import parse_files
 from .queries import query, table
 
@@ -45,3 +46,34 @@ def varied_symbols(spark, sf_dir):
     made = [F.struct(F.concat(F.lit("src/"), k.cast("string"), F.lit(f".{end}")).alias("path"), F.concat(F.repeat(F.lit(noise), (k % 4).cast("int")), text(unit)).alias("content")) for end, (noise, unit, _) in UNITS.items()]
     files = table(spark, sf_dir, "part").select(F.explode(F.array(*made)).alias("f")).select("f.*")
     return parse_files(files).select("path", "name", "kind", "parent", F.col("start_line").cast("long").alias("start_line"))
+
+
+_PRISMA = 'datasource db {\n  provider = "mysql"\n}\nmodel A {\n  id Int @id\n}\n'
+_PARTS = (
+    ("prisma/schema.prisma", _PRISMA, "a", False),
+    ("db/p{k}.sql", "CREATE TABLE t{k} (id INTEGER PRIMARY KEY);\n", "ab", True),
+    ("node_modules/db/p{k}.sql", "CREATE TABLE no{k} (id INTEGER PRIMARY KEY);\n", "abcde", True),
+    ("a/b/c/d/e/f/schema{k}.sql", "CREATE TABLE deep{k} (id INTEGER PRIMARY KEY);\n", "abcde", True),
+    ("models/m{k}.model.ts", "export interface IM{k} extends Document {\n  name: string;\n}\nexport default model('M{k}', new Schema({ name: String }));\n", "abc", True),
+    (".env", "DATABASE_URL=postgres://host/db\n", "abcd", False),
+    ("notes/n{k}.md", "postgres://host/db\n", "abcde", True),
+)
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS n FROM part)
+SELECT project, provider, CAST(CASE project WHEN 'a' THEN 1 WHEN 'b' THEN n WHEN 'c' THEN n ELSE 0 END AS BIGINT) AS schemas FROM n, (VALUES ('a', 'mysql'), ('b', 'sql'), ('c', 'mongodb'), ('d', 'postgresql'), ('e', NULL)) v(project, provider)"""
+)
+def detected_schemas(spark, sf_dir):
+    """What is found in five projects: each lacks what goes first in the one before it (Prisma, SQL, models, a connection)."""
+    keys, found = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k")), []
+    for project in "abcde":
+        files = None
+        for path, content, held, each in _PARTS:
+            if project in held:
+                put = lambda t: F.replace(F.lit(t), F.lit("{k}"), F.col("k"))
+                rows = (keys if each else spark.range(1).select(F.lit("").alias("k"))).select(put(path).alias("path"), put(content).alias("content"))
+                files = rows if files is None else files.unionByName(rows)
+        provider, schemas_found = schemas.detect_schema(files)
+        found.append((project, provider, schemas_found.count() if schemas_found is not None else 0))
+    return spark.createDataFrame(found, "project string, provider string, schemas long")
