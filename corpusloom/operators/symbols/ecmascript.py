@@ -5,7 +5,17 @@ Recognised: function, class, interface, type and enum declarations; imports
 lists with aliases, default, re-exports); functions, components and objects
 bound to names; methods of classes and functions of objects.  Not recognised:
 decorators with bodies, computed member names, and declarations built at run
-time.  Text in JSX is skipped as text only where braces and quotes balance.
+time.
+
+The lexer keeps apart what looks alike: a template literal is one token however
+its ``${}`` parts nest; a slash begins a regular expression where a value may
+stand, else it divides; and in files that may hold JSX an element is taken up
+where a value may stand and its end is found, its text skipped and its ``{}``
+parts lexed as code.
+
+Broken sources give the declarations around the fault: a closing bracket that
+opens nothing is passed over, one that does not fit closes no brace, and a
+bracket that is never closed ends where the next declaration begins a line.
 """
 
 from __future__ import annotations
@@ -17,38 +27,165 @@ from pyspark.sql import DataFrame
 from .python_source import SCHEMA, emit
 
 _TOKEN = re.compile(
-    r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<word>[A-Za-z_$\u0080-￿][\w$]*)|(?P<number>\d[\w.]*)|(?P<arrow>=>)|(?P<dots>\.\.\.)|(?P<sign>.)""",
+    r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<word>[A-Za-z_$\u0080-￿][\w$]*)|(?P<number>\d[\w.]*)|(?P<arrow>=>)|(?P<dots>\.\.\.)|(?P<sign>.)""",
     re.S,
 )
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+_TAG = re.compile(r"<(?:>|([A-Za-z_$][\w$.:-]*)(?=[\s/>]))")
+_CLOSING = re.compile(r"</([A-Za-z_$][\w$.:-]*|(?=>))")
+#: Words after which a value stands.
+_BEFORE_VALUE = frozenset("return typeof case in of delete void throw new else do await yield instanceof default".split())
+#: Declarations that begin a line; and how deep literals and elements are followed into one another.
+_STARTS = frozenset("import export function class interface enum type const let var async abstract declare".split())
+_DEPTH = 60
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 _MODIFIERS = {"async", "static", "public", "private", "protected", "readonly", "get", "set", "override", "abstract", "declare"}
 _NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "function", "super", "await", "typeof", "new", "with"}
 
 
+def _value_may_stand(tokens: list[tuple]) -> bool:
+    """Whether a value, and so no operator, is next."""
+    if not tokens:
+        return True
+    kind, text, _ = tokens[-1]
+    if kind == "word":
+        return text in _BEFORE_VALUE
+    return kind in ("arrow", "dots") or (kind == "sign" and text not in (")", "]"))
+
+
+def _code(source: str, at: int, out: list[tuple], jsx: dict[str, int] | None, depth: int = 0, inner: bool = False) -> int:
+    """Lexes code from at; inner code ends before the brace that closes it.  Returns where it ends.
+
+    jsx has the last place of each closing tag, or is None where there are no elements.
+    """
+    open_braces = 0
+    while at < len(source):
+        m = _TOKEN.match(source, at)
+        kind, text = m.lastgroup, m.group()
+        if kind in ("space", "comment"):
+            at = m.end()
+        elif text == "`":
+            end = _template(source, at + 1, jsx, depth)
+            out.append(("string", source[at:end], at))
+            at = end
+        elif text == "/" and _value_may_stand(out) and (found := _REGEX.match(source, at)):
+            out.append(("string", found.group(), at))
+            at = found.end()
+        elif text == "<" and jsx is not None and depth < _DEPTH and _value_may_stand(out) and _closes(source, at, jsx):
+            at = _element(source, at, out, jsx, depth)
+        else:
+            if inner and text == "}" and kind == "sign":
+                if not open_braces:
+                    return at
+                open_braces -= 1
+            open_braces += text == "{"
+            out.append((kind, text, at))
+            at = m.end()
+    return at
+
+
+def _template(source: str, at: int, jsx: dict[str, int] | None, depth: int) -> int:
+    """The end of a template literal whose content begins at at."""
+    while at < len(source):
+        if source[at] == "\\":
+            at += 2
+        elif source[at] == "`":
+            return at + 1
+        elif source.startswith("${", at) and depth < _DEPTH:
+            at = _code(source, at + 2, [], jsx, depth + 1, True) + 1
+        else:
+            at += 1
+    return len(source)
+
+
+def _closes(source: str, at: int, jsx: dict[str, int]) -> bool:
+    """Whether what begins at at is an element: a tag that is closed at once or further on."""
+    tag = _TAG.match(source, at)
+    if not tag:
+        return False
+    if jsx.get(tag.group(1) or "", -1) > at:
+        return True
+    end = source.find(">", at)
+    return end > 0 and source[end - 1] == "/"
+
+
+def _element(source: str, at: int, out: list[tuple], jsx: dict[str, int], depth: int) -> int:
+    """An element and its children: its first and last sign and its braced parts are tokens, text and tags are not."""
+    level = 0
+    out.append(("sign", "<", at))
+    while at < len(source):
+        if source.startswith("</", at):
+            end = source.find(">", at)
+            at, level = (len(source) if end < 0 else end + 1), level - 1
+        elif source[at] == "<":
+            at, level = at + 1, level + 1
+            while at < len(source):
+                c = source[at]
+                if c == "{":
+                    at = _braced(source, at, out, jsx, depth)
+                elif c in "\"'":
+                    end = source.find(c, at + 1)
+                    at = len(source) if end < 0 else end + 1
+                elif c == ">":
+                    level -= source[at - 1] == "/"
+                    at += 1
+                    break
+                else:
+                    at += 1
+        else:
+            at = _braced(source, at, out, jsx, depth) if source[at] == "{" else at + 1
+            continue
+        if level <= 0:
+            break
+    out.append(("sign", ">", max(at - 1, 0)))
+    return at
+
+
+def _braced(source: str, at: int, out: list[tuple], jsx: dict[str, int], depth: int) -> int:
+    out.append(("sign", "{", at))
+    end = _code(source, at + 1, out, jsx, depth + 1, True)
+    if end < len(source):
+        out.append(("sign", "}", end))
+    return end + 1
+
+
 class Scan:
-    def __init__(self, source: str):
+    def __init__(self, source: str, jsx: bool = True):
         self.source = source
-        self.tokens = [(m.lastgroup, m.group(), m.start()) for m in _TOKEN.finditer(source) if m.lastgroup not in ("space", "comment")]
+        self.tokens: list[tuple] = []
+        _code(source, 0, self.tokens, {m.group(1): m.start() for m in _CLOSING.finditer(source)} if jsx else None)
         self.match = self._brackets()
         self.starts = [0] + [i + 1 for i, c in enumerate(source) if c == "\n"]
         self.out: list[tuple] = []
 
     def _brackets(self) -> dict[int, int]:
-        """Index of the closing token of each opening one; an unclosed one closes at the end."""
+        """Index of the closing token of each opening one."""
         stack, match = [], {}
         for i, (kind, text, _) in enumerate(self.tokens):
-            if kind == "sign" and text in _OPEN:
+            if kind != "sign":
+                continue
+            if text in _OPEN:
                 stack.append(i)
-            elif kind == "sign" and text in _CLOSE:
-                while stack:
-                    j = stack.pop()
-                    match[j] = i
-                    if _OPEN[self.tokens[j][1]] == text:
+            elif text in _CLOSE:
+                # a brace closes what was left open in it; another bracket closes nothing beyond the brace it is in
+                for at in range(len(stack) - 1, -1, -1):
+                    opened = self.tokens[stack[at]][1]
+                    if _OPEN[opened] == text:
+                        for j in stack[at:]:
+                            match[j] = i
+                        del stack[at:]
+                        break
+                    if opened == "{":
                         break
+        lines = self._line_starts() if stack else []
         for j in stack:
-            match[j] = len(self.tokens) - 1
+            match[j] = next((i - 1 for i in lines if i > j), len(self.tokens) - 1)
         return match
 
+    def _line_starts(self) -> list[int]:
+        """Tokens that begin a line with a declaration."""
+        return [i for i, (kind, text, at) in enumerate(self.tokens) if kind == "word" and text in _STARTS and (at == 0 or self.source[at - 1] == "\n")]
+
     def text(self, i: int) -> str:
         return self.tokens[i][1] if 0 <= i < len(self.tokens) else ""
 
@@ -299,15 +436,19 @@ class Scan:
         return at
 
 
-def symbols_of(source: str) -> list[tuple]:
-    scan = Scan(source)
+def symbols_of(source: str, jsx: bool = True) -> list[tuple]:
+    scan = Scan(source, jsx)
     scan.block(0, len(scan.tokens))
     return scan.out
 
 
+#: Files in which an angle bracket before a value is a type.
+_NO_JSX = (".ts", ".mts", ".cts")
+
+
 def _run(batches):
     for batch in batches:
-        yield emit([(path, *row) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in symbols_of(text)])
+        yield emit([(path, *row) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in symbols_of(text, not path.endswith(_NO_JSX))])
 
 
 def ecmascript_symbols(files: DataFrame) -> DataFrame:

@@ -50,8 +50,44 @@ def test_script_symbols():
     assert where["save"][:2] == (16, 8) and where["save"][2] == 16
 
 
+def names(text, kind="function", **how):
+    return [r[0] for r in ecmascript.symbols_of(text, **how) if r[1] == kind]
+
+
+def test_literals_that_look_like_code():
+    assert names("const a = `x ${ `}` + `${ {a: '}'}.a } function no() {` } function no() {`;\nfunction yes() {}\n") == ["yes"]
+    assert names("const r = /[/'\"`]function no() {/g;\nfunction yes() { return /}/.test('x'); }\nfunction also() {}\n") == ["yes", "also"]
+    assert names("const half = total / 2; function one() {} const x = (a) / b / c; function two() {}\n") == ["one", "two"]
+    assert names("const s = 'it\\'s'; const t = \"}\"; function yes() {}\n") == ["yes"]
+    assert names("const t = `open ${ x\nfunction lost() {}\n") in ([], ["lost"])
+
+
+def test_elements():
+    page = """
+export const Page = ({ rows }) => {
+  const shown = <ul title='a > b'>{rows.map((r) => <li key={r.id}>don't } function no() {}</li>)}</ul>;
+  function inner() { return <>it's {shown} <br/> here</>; }
+  return cond ? <Empty /> : inner();
+};
+function after() { return 1; }
+"""
+    assert names(page) == ["inner", "after"] and names(page, "component") == ["Page"]
+    assert names("const f = <T,>(x: T) => x;\nfunction g<T>(x: T) { return <T>x; }\nfunction h() {}\n", jsx=False) == ["f", "g", "h"]
+    assert names("type M = <T>(x: T) => void;\nfunction g() {}\n") == ["g"] and names("if (a < b) { }\nfunction g() {}\n") == ["g"]
+
+
+def test_declarations_around_a_fault():
+    open_body = "function a() {\n  if (x) {\n    call(;\n  }\n\nfunction b() { return 1; }\n\nclass C {\n  run() { return [1; }\n}\nexport const d = () => 2;\n"
+    assert names(open_body) == ["a", "b", "d"] and names(open_body, "class") == ["C"] and names(open_body, "method") == ["C.run"]
+    where = {r[0]: r[6] for r in ecmascript.symbols_of(open_body) if r[1] == "function"}
+    assert where["a"] == 4 and where["b"] == 6  # a ends before the line of b
+    assert names("function a() { return (1)); }\nfunction b() {} }\nfunction c() {}\n") == ["a", "b", "c"]
+    assert names("import { x from './x';\nfunction a() {}\n") == ["a"]
+    assert names("const t = {\n  a: [1, 2,\n\nexport function b() {}\n") == ["b"]
+
+
 def test_broken_script_does_not_fail():
-    for text in ("", "{", "export", "import {", "class A {", "const x = (", "`", "function", "export default"):
+    for text in ("", "{", "export", "import {", "class A {", "const x = (", "`", "function", "export default", "<a", "<a>{", "`${" * 200, "<a>{" * 200, "/", "/[", "const x = <", "((((" * 500, "}" * 50, "<A/><B", "`${`"):
         ecmascript.symbols_of(text)
 
 
