@@ -126,6 +126,9 @@ def constraints(primary, unique, nullable, default, to_table, to_column) -> Colu
     return F.when(said == "", "-").otherwise(said)
 
 
+# The words, sentences and hints of the functions that follow, which shown texts are compared by.
+
+
 def citation_kind(snippet) -> Column:
     return first_hint(F.lower(col(snippet)), ((("struct ",), "Struct"), (("enum ",), "Enum"), (("trait ",), "Trait"), (("fn ",), "Function")), "Code Block")
 
@@ -158,6 +161,9 @@ def provider_of(text) -> Column:
     return F.when(found != "", found)
 
 
+# The questions' wording.
+
+
 def suggested_questions(path, node, kind, most: int = 3) -> Column:
     """The first distinct questions about a file or a node of it."""
     file = base_name(F.when(F.coalesce(col(path), F.lit("")) == "", "this file").otherwise(col(path)))

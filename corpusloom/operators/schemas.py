@@ -52,11 +52,12 @@ def group_columns(text: str) -> list[str]:
     return [n for n in (_unquote(x.strip()) for x in m[1].split(",")) if n] if m else []
 
 
+_TABLE_HEAD = re.compile(r"""create\x20table\s*(?:if\x20not\x20exists\s*)?"*`*\[*(?P<name>[^ (]*?)\]*`*"*(?=[ (]|$)""", re.I)
+
+
 def table_name(line: str) -> str:
-    rest = line[line.lower().index("create table") + 12 :].strip()
-    rest = re.sub(r"^if not exists", "", rest, flags=re.I).strip()
-    rest = re.split(r"[ (]", rest.lstrip('"').lstrip("`").lstrip("["), maxsplit=1)[0]
-    return rest.rstrip('"').rstrip("`").rstrip("]")
+    """The name in a table's head, without the signs that quote it."""
+    return _TABLE_HEAD.search(line)["name"]
 
 
 def foreign_key(text: str, own: str) -> tuple[str, str, str] | None:
@@ -70,6 +71,7 @@ def foreign_key(text: str, own: str) -> tuple[str, str, str] | None:
     return local[0], _unquote(re.split(r"[ (]", target, maxsplit=1)[0]) if target else own, there[0] if there else "id"
 
 
+# How a line of a table begins that is no column.
 _CONSTRAINT = ("constraint ", "foreign key", "unique", "check", "exclude", "index", "key ")
 
 
@@ -120,26 +122,30 @@ def _in_brackets(text: str) -> list[str]:
     return [x.strip() for x in text.strip().lstrip("[").rstrip("]").split(",") if x.strip()]
 
 
+_FIELD = re.compile(r"(?P<name>\S+)\s+(?P<type>\S+)")
+# The attributes that are read.
+_ATTRIBUTES = ("id", "unique", "default(", "relation(")
+
+
 def prisma_field(line: str, model: str) -> tuple[dict, list[dict]] | None:
-    words = line.split()
-    if len(words) < 2:
+    """A field's column and relations; of a repeated attribute the first counts, and a list is cut at its first comma."""
+    head = _FIELD.match(line.lstrip())
+    if not head:
         return None
-    name, raw = words[0], words[1]
-    attributes = ["@" + x.strip() for x in line.split("@")[1:]]
-    first = lambda start: next((x for x in attributes if x.startswith(start)), None)
-    column = _column(name, raw.rstrip("?"), is_primary_key=first("@id") is not None, is_unique=first("@unique") is not None, is_nullable=raw.endswith("?"))
-    if said := first("@default("):
-        column["default_value"] = said.removeprefix("@default(").rstrip(")")
-    relations = []
-    if said := first("@relation("):
-        # items are cut at every comma, so a list keeps its first member only
-        items = [x.strip() for x in said.removeprefix("@relation(").rstrip(")").split(",")]
-        listed = {key: _in_brackets(x.removeprefix(key)) for x in items for key in ("fields:", "references:") if x.startswith(key)}
-        local, there = listed.get("fields:", []), listed.get("references:", [])
-        if local and there:
-            relations = [_relation(model, x, column["data_type"], there[0]) for x in local]
-            column |= {"references_table": column["data_type"], "references_column": there[0]}
-    return column, relations
+    said: dict[str, str] = {}
+    for part in map(str.strip, line.split("@")[1:]):
+        for known in _ATTRIBUTES:
+            if part.startswith(known):
+                said.setdefault(known, part[len(known) :].rstrip(")"))
+    kind = head["type"].rstrip("?")
+    column = _column(head["name"], kind, is_primary_key="id" in said, is_unique="unique" in said, is_nullable=head["type"].endswith("?"))
+    if "default(" in said:
+        column["default_value"] = said["default("]
+    ends = dict(re.findall(r"(?:^|,)\s*(fields|references):([^,]*)", said.get("relation(", "")))
+    local, there = (_in_brackets(ends.get(x, "")) for x in ("fields", "references"))
+    if not local or not there:
+        return column, []
+    return column | {"references_table": kind, "references_column": there[0]}, [_relation(model, x, kind, there[0]) for x in local]
 
 
 def parse_prisma(text: str) -> dict:

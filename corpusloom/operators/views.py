@@ -71,6 +71,7 @@ def line_chip(start, end) -> Column:
 
 def status_progress(status) -> dict[str, Column]:
     """percent and detail of a status line such as `35% · Parsing`; 5 for other lines."""
+    # fixed value
     pattern = r"^(\d+(?:\.\d+)?)%\s*·\s*(.+)$"
     hit = col(status).rlike(pattern)
     percent = F.when(hit, F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.regexp_extract(col(status), pattern, 1).try_cast("double")))).otherwise(5.0)
