@@ -35,7 +35,7 @@ from array import array
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, small_batches
@@ -406,12 +406,17 @@ def decode(encoded: DataFrame, *, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", BinaryType())]))
 
 
+def unsigned_at(c, i) -> Column:
+    """The i-th (from 0) little-endian unsigned 32-bit integer of a binary column."""
+    digits = F.hex(F.substring(c, i * 4 + 1, F.lit(4)))
+    return F.conv(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
+
+
 def tokens_between(encoded: DataFrame, begin: int, end: int) -> DataFrame:
     """The id column, token, offset of the tokens that start in bytes [begin, end) of each text: what the offsets are kept for."""
-    four = lambda c, i: F.conv(F.hex(F.reverse(F.substring(c, i * 4 + 1, 4))), 16, 10).cast("long")
     rows = encoded.select(encoded.columns[0], "token_ids", "token_offsets", F.posexplode(F.sequence(F.lit(0), F.greatest(F.col("n_tokens") - 1, F.lit(0)))).alias("i", "_"))
     rows = rows.where(F.octet_length("token_ids") > F.col("i") * 4)
-    return rows.select(encoded.columns[0], four(F.col("token_ids"), F.col("i")).alias("token"), four(F.col("token_offsets"), F.col("i")).alias("offset")).where((F.col("offset") >= begin) & (F.col("offset") < end))
+    return rows.select(encoded.columns[0], unsigned_at("token_ids", F.col("i")).alias("token"), unsigned_at("token_offsets", F.col("i")).alias("offset")).where((F.col("offset") >= begin) & (F.col("offset") < end))
 
 
 def encoding_report(docs: DataFrame, *, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

@@ -11,9 +11,12 @@ language.  The bound lies halfway between the largest loss of the sample's
 rightly decoded texts and log 2, the loss of a text that says nothing.
 
 The classifiers learn from a bounded sample: about ``sample_per_language``
-labelled texts of each of the ``most_languages`` labels with the most rows, drawn
-row by row (repeated rows are drawn each on their own).  Only the text is an
-input of a prediction.
+labelled texts of each label, drawn row by row (repeated rows are drawn each on
+their own).  Every label is learned, unless a caller asks for the
+``most_languages`` with the most rows.  N-grams are counted and turned into the
+bits' weights by tasks that own buckets, so the driver holds 2^BITS rows of as many
+numbers as the code has bits, which grow with the logarithm of the labels.  Only
+the text is an input of a prediction.
 
 Defined results: text null or without a letter gives ``und`` and score 0; a
 table without labelled rows gives ``und`` everywhere; with one learned language
@@ -23,21 +26,21 @@ Repeated rows each give a row; extra columns are not read.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, release
+from .common import arrow_batches, bounded_join, materialize, release
 
 UNKNOWN = "und"
 #: Labelled texts of a language that are learned from, about.
 SAMPLE_PER_LANGUAGE = 1500
-#: Labels that are learned: those with the most rows.  Bounds the model, which is languages x 2^BITS.
-MOST_LANGUAGES = 128
+#: Labels up to which the table of their sizes is broadcast.
+BROADCAST_LABELS = 200_000
+#: Cells of the table of losses that a task holds at a time: texts x labels x bits.
+MOST_CELLS = 1 << 22
 SEED = 20240607
 ORDERS = (2, 3, 4)
 BITS = 15
@@ -62,11 +65,12 @@ def codewords(k: int) -> np.ndarray:
         return np.array(rows, dtype=np.int8)
     rng, best, far = np.random.default_rng(k), None, -1
     n = 6 * int(np.ceil(np.log2(k)))
-    for _ in range(200):
+    for _ in range(200 if k <= 256 else 4):
         code = rng.choice(np.array([-1, 1], dtype=np.int8), size=(k, n))
-        if (np.abs(code.sum(axis=0)) == k).any():
+        if (np.abs(code.sum(axis=0, dtype=np.int64)) == k).any():
             continue
-        least = min(int((a != b).sum()) for a, b in itertools.combinations(code, 2))
+        wide = code.astype(np.float32)
+        least = min(int((n - (wide[i] @ wide[i + 1 :].T).max()) // 2) for i in range(k - 1))
         if least > far:
             best, far = code, least
     return best
@@ -117,16 +121,10 @@ def _count(batches):
 class Model:
     """Codewords, bit classifiers and decoding weights."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    def __init__(self, languages: list[str], weights: np.ndarray | None = None):
         self.languages, self.code = languages, codewords(len(languages))
-        # counts are scaled to one total, so that an n-gram that no language has says nothing
-        scaled = counts * (counts.sum() / max(len(counts), 1) / np.maximum(counts.sum(axis=1, keepdims=True), 1))
-        prob = (scaled + SMOOTHING) / (scaled.sum(axis=1, keepdims=True) + SMOOTHING * counts.shape[1])
-        if len(languages) > 1:
-            bits = [np.log(prob[c > 0].mean(axis=0) / prob[c < 0].mean(axis=0)) for c in self.code.T]
-            self.weights = np.stack(bits, axis=1).astype(np.float32)
-        else:
-            self.weights = np.zeros((counts.shape[1], 1), np.float32)
+        #: Log-odds of each n-gram bucket and bit.
+        self.weights = np.zeros((1 << BITS, self.code.shape[1]), np.float32) if weights is None else weights
         self.trust = np.ones(self.code.shape)
         self.bound = np.inf
 
@@ -140,8 +138,9 @@ class Model:
 
     def losses(self, odds: np.ndarray) -> np.ndarray:
         """Loss of each language, from rows of log-odds: weighted mean of the logistic losses of its bits."""
-        margin = odds[:, None, :] * self.code[None, :, :] * SLOPE
-        return (np.logaddexp(0, -margin) * self.trust).sum(axis=2) / np.maximum(self.trust.sum(axis=1), 1e-9)
+        step = max(1, MOST_CELLS // self.code.size)
+        parts = [np.logaddexp(0, -(odds[i : i + step, None, :] * self.code[None, :, :] * SLOPE)) * self.trust for i in range(0, len(odds), step)]
+        return np.concatenate([p.sum(axis=2) for p in parts]) / np.maximum(self.trust.sum(axis=1), 1e-9)
 
     def predict(self, column) -> tuple[list, list, list, list]:
         """Language, score, ambiguity of each text of an Arrow column, and whether its loss is within the bound."""
@@ -164,6 +163,29 @@ class Model:
         return lang, score, doubt, near
 
 
+def _bit_weights(languages: list[str], totals: dict[str, int]):
+    """(lang, bucket, n), whole buckets a task, to (bucket, weights): log-odds of each bit, from each language's counts scaled to one total."""
+    code = codewords(len(languages))
+    mean = sum(totals.values()) / len(totals)
+    scale = {k: mean / n for k, n in totals.items()}
+    place = {k: i for i, k in enumerate(languages)}
+    up, down = (code > 0).sum(axis=0), (code < 0).sum(axis=0)
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for lang, bucket, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                mine = held.setdefault(bucket, np.zeros((2, code.shape[1])))
+                word = code[place[lang]]
+                mine[0, word > 0] += n * scale[lang]
+                mine[1, word < 0] += n * scale[lang]
+        if held:
+            found = [np.log((SMOOTHING + m[0] / up) / (SMOOTHING + m[1] / down)).tolist() for m in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(found, pa.list_(pa.float64()))], names=["bucket", "weights"])
+
+    return run
+
+
 def _bit_hits(model: Model):
     """Rows (lang, hits, n): how often each bit's classifier was right on a language's sample."""
 
@@ -199,23 +221,29 @@ def _largest_loss(model: Model):
 
 
 def train(
-    documents: DataFrame, *, where=None, text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, seed: int = SEED
+    documents: DataFrame, *, where=None, text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int | None = None, seed: int = SEED
 ) -> Model:
     """Learns from labelled rows (of those, the ones that meet the condition ``where``)."""
     rows = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = (rows.where(where) if where is not None else rows).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
-    if not sizes:
-        return Model([], np.zeros((0, 1 << BITS)))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_per_language / n))])
-    sample = materialize(rows.where(F.rand(seed) < F.element_at(share, F.col("lang"))).repartition(8), "language-sample")
-    counted = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    sizes = materialize(sizes if most_languages is None else sizes.orderBy(F.desc("size"), "lang").limit(most_languages), "language-sizes")
+    known = bounded_join(rows, sizes, "lang", BROADCAST_LABELS)
+    sample = materialize(known.where(F.rand(seed) < F.lit(float(sample_per_language)) / F.col("size")).select("lang", "text").repartition(8), "language-sample")
+    counted = materialize(sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
+    totals = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}  # a row a label
+    release(sizes)
+    if not totals:
+        release(sample, counted)
+        return Model([])
+    languages = sorted(totals)
     where_is = {name: i for i, name in enumerate(languages)}
-    counts = np.zeros((len(languages), 1 << BITS))
-    found = counted.toPandas()  # languages x 2^BITS rows at most
-    counts[found["lang"].map(where_is).to_numpy(int), found["bucket"].to_numpy(int)] = found["n"].to_numpy()
-    model = Model(languages, counts)
+    model = Model(languages)
+    if len(languages) > 1:
+        owned = counted.repartition("bucket").mapInArrow(_bit_weights(languages, totals), "bucket int, weights array<double>")
+        for bucket, weights in owned.toLocalIterator():  # 2^BITS rows at most, of a number a bit
+            model.weights[bucket] = weights
+    release(counted)
     hits, seen = np.zeros(model.code.shape), np.zeros(len(languages))
     for lang, h, n in sample.mapInArrow(_bit_hits(model), "lang string, hits array<double>, n long").collect():
         hits[where_is[lang]] += h

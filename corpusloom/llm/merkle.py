@@ -216,3 +216,36 @@ def manifest_report(docs: DataFrame) -> DataFrame:
     done = manifest(rows, keep=("tampered",))
     done = done.select(F.col("id").alias("doc_id"), *[as_text(c).alias(c) for c in ("leaf", "subroot", "root")], F.sha2(proof_text(F.col("segments")), 256).alias("proof_sha256"), as_text(fold(F.col("tampered"), F.col("segments"))).alias("folded_root"))
     return done.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: The low bit of a CRC-32 by its definition; levels, runs and proofs by recursion.
+ORACLE = r"""
+WITH RECURSIVE
+w AS (
+  SELECT *, text IS NOT NULL AND doc_id IS NOT NULL AND list_reduce(
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, b: list_reduce(range(8), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(a, b)), CAST(4294967295 AS BIGINT)) & 1 = 1 AS odd FROM documents),
+h AS (SELECT doc_id, source, text, odd, concat_ws('', CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+  CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END) AS head FROM w),
+d AS (SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+  sha256(head || CASE WHEN text IS NULL THEN '-' WHEN odd THEN strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') ELSE strlen(text) || ':' || text END) AS forged FROM h),
+l AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM d),
+t AS (
+  SELECT tree, 0 AS level, idx, leaf AS digest FROM l
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM t) WHERE c > 1 GROUP BY tree, level, idx // 3),
+s AS MATERIALIZED (SELECT tree, arg_max(digest, level) AS subroot, max(level) AS height FROM t GROUP BY tree),
+u AS (
+  SELECT 0 AS level, tree AS idx, subroot AS digest FROM s
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER () AS c FROM u) WHERE c > 1 GROUP BY level, idx // 3),
+r AS (SELECT tree, level + 1 AS level, idx // 3 AS run, list(digest ORDER BY idx) AS ds FROM t JOIN s USING (tree) WHERE level < height GROUP BY tree, level, idx // 3),
+top AS (SELECT level + 1 AS level, idx // 3 AS run, list(digest ORDER BY idx) AS ds FROM u WHERE level < (SELECT max(level) FROM u) GROUP BY level, idx // 3),
+p AS (
+  SELECT rid, level AS ord, ds, CAST(idx // CAST(pow(3, level - 1) AS BIGINT) % 3 AS INTEGER) AS own FROM l JOIN r ON r.tree = l.tree AND r.run = l.idx // CAST(pow(3, level) AS BIGINT)
+  UNION ALL
+  SELECT rid, 100 + level, ds, CAST(tree // CAST(pow(3, level - 1) AS BIGINT) % 3 AS INTEGER) FROM l JOIN top ON top.run = tree // CAST(pow(3, level) AS BIGINT)),
+k AS (SELECT rid, list(array_to_string(ds[1:own], '') || '|' || array_to_string(ds[own + 2:], '') ORDER BY ord) AS steps FROM p GROUP BY rid),
+f AS (SELECT l.*, subroot, (SELECT arg_max(digest, level) FROM u) AS root, coalesce(steps, []) AS steps FROM l JOIN s USING (tree) LEFT JOIN k USING (rid)),
+g AS (SELECT *, list_reduce(steps, lambda a, b: sha256(split_part(b, '|', 1) || a || split_part(b, '|', 2)), forged) AS folded FROM f)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, coalesce(folded, forged) AS folded_root, coalesce(folded, forged) = root AS verified FROM g"""

@@ -12,6 +12,9 @@ equal rows (same id, piece and length) are counted, a bucket is dealt into SHARD
 hash shards, shard counts (buckets x SHARDS rows) give offsets, a shard numbers its
 distinct rows, and a row of many copies is dealt out again by RUN copies.
 
+A token of pack() is a word; pack_tokens() packs the ids of a byte-level vocabulary
+and gives them, and padded_batches() the batches as matrices.
+
 Defined results: a null or wordless text gives one row with n_tokens 0 and null
 bucket, batch and slot; rows that repeat an id are packed each; ties are broken
 by row content (equal rows are interchangeable); an empty table gives no rows.
@@ -24,6 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import materialize
 
 MAX_LEN = 2048
@@ -67,7 +71,11 @@ def optimal_boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> lis
 
 def sequences(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN) -> DataFrame:
     """One row per sequence: id, piece, first_token, n_tokens."""
-    counted = documents.select(F.col(id_col).alias("id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("words"))
+    return _pieces(documents.select(F.col(id_col).alias("id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("words")), id_col, max_len)
+
+
+def _pieces(counted: DataFrame, id_col: str, max_len: int) -> DataFrame:
+    """(id, words) cut into pieces of max_len."""
     pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("words") / max_len).cast("long"), F.lit(1)) - 1)
     return counted.select("id", "words", F.explode(pieces).alias("piece")).select(
         F.col("id").alias(id_col), "piece", (F.col("piece") * max_len).alias("first_token"), F.least(F.col("words") - F.col("piece") * max_len, F.lit(max_len)).alias("n_tokens")
@@ -77,6 +85,11 @@ def sequences(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def pack(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, shards: int = SHARDS) -> DataFrame:
     """One row per sequence: id, piece, first_token, n_tokens, bucket, bucket_len, batch_id, slot."""
     rows = materialize(sequences(documents, id_col=id_col, text_col=text_col, max_len=max_len), "pack-sequences")
+    return _assign(rows, id_col, buckets, token_budget, shards)
+
+
+def _assign(rows: DataFrame, id_col: str, buckets: int, token_budget: int, shards: int) -> DataFrame:
+    """Written sequences (id, piece, first_token, n_tokens) with their bucket, bucket_len, batch_id and slot."""
     histogram = {r[0]: r[1] for r in rows.where("n_tokens > 0").groupBy("n_tokens").count().collect()}
     ends = optimal_boundaries(histogram, buckets)
     bucket, length = F.lit(None).cast("int"), F.lit(None).cast("long")
@@ -108,6 +121,34 @@ def pack(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return done.unionByName(none)
 
 
+def pack_tokens(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = bpe.DEFAULT_VOCABULARY, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, shards: int = SHARDS) -> DataFrame:
+    """pack() by the ids of a byte-level vocabulary: one row per sequence with its ids.
+
+    Columns: id, piece, first_token, first_byte (where the sequence starts in its text), n_tokens, bucket, bucket_len,
+    batch_id, slot, token_ids (little-endian unsigned 32-bit integers).  A row is told from others of its id by its place in
+    the encoded table, so texts of a repeated id keep their own ids.
+    """
+    encoded = bpe.encode(documents, id_col=id_col, text_col=text_col, vocabulary=vocabulary).withColumn("_row", F.monotonically_increasing_id())
+    encoded = materialize(encoded, "pack-tokens")
+    rows = materialize(_pieces(encoded.select(F.col("_row").alias("id"), F.col("n_tokens").alias("words")), "_row", max_len), "pack-pieces")
+    placed = _assign(rows, "_row", buckets, token_budget, shards)
+    at, n = F.col("first_token") * 4 + 1, F.col("p.n_tokens") * 4
+    first = bpe.unsigned_at("token_offsets", F.col("first_token"))
+    both = placed.alias("p").join(encoded.select("_row", F.col(id_col).alias("_id"), "token_ids", "token_offsets"), "_row")
+    return both.select(F.col("_id").alias(id_col), "piece", "first_token", F.coalesce(first, F.lit(0)).alias("first_byte"), "p.n_tokens", "bucket", "bucket_len", "batch_id", "slot", F.substring("token_ids", at, n).alias("token_ids"))
+
+
+def padded_batches(packed: DataFrame, pad: int, *, id_col: str = "doc_id") -> DataFrame:
+    """One row per batch of pack_tokens(): bucket, batch_id, bucket_len, its sequences (id, piece, n_tokens) by slot, and tokens, their ids padded to bucket_len.
+
+    A batch holds no more ids than the token budget, or one sequence.
+    """
+    held = packed.where("bucket is not null").withColumn("row", F.expr(f"rpad(token_ids, CAST(bucket_len * 4 AS INT), X'{pad.to_bytes(4, 'little').hex()}')"))
+    of = F.struct("slot", F.struct(F.col(id_col), "piece", "n_tokens").alias("sequence"), F.hex("row").alias("row"))
+    batches = held.groupBy("bucket", "batch_id", "bucket_len").agg(F.sort_array(F.collect_list(of)).alias("b"))
+    return batches.select("bucket", "batch_id", "bucket_len", F.col("b.sequence").alias("sequences"), F.unhex(F.array_join("b.row", "")).alias("tokens"))
+
+
 def _oracle() -> str:
     """DuckDB SQL of pack() with its default parameters: one step of the dynamic programming for each further bucket."""
     steps = []

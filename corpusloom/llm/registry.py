@@ -63,4 +63,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_url_filter": url_filter.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op4_packing": packing.ORACLE, "op5_chat": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op11_ranked_search": ranked_search.ORACLE}
+    return {"op1_url_filter": url_filter.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op4_packing": packing.ORACLE, "op5_chat": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op11_ranked_search": ranked_search.ORACLE, "op12_merkle_manifest": merkle.ORACLE}

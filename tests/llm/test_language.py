@@ -18,7 +18,7 @@ def test_codewords_are_far_apart():
 
 
 def test_one_wrong_bit_is_corrected():
-    model = L.Model(["a", "b", "c", "d"], np.ones((4, 1 << L.BITS)))
+    model = L.Model(["a", "b", "c", "d"])
     for k in range(4):
         for bit in range(model.code.shape[1]):
             odds = model.code[k].astype(float)
@@ -67,7 +67,7 @@ def test_without_labels_and_with_one_language(spark):
 
 
 def test_long_texts_are_read_whole():
-    model = L.Model(["a", "b"], np.ones((2, 1 << L.BITS)))
+    model = L.Model(["a", "b"])
     text = np.frombuffer(b"x" * 300_000, np.uint8)
     grams = sum(len(b) for b in L.ngram_buckets(text))
     assert grams >= len(L.ORDERS) * len(text)
@@ -156,3 +156,12 @@ def test_the_sample_is_bounded(spark):
     rows = spark.range(6000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the cat and the dog").alias("text"), F.when(F.col("id") % 3 == 0, "en").otherwise(F.concat(F.lit("x"), F.col("id") % 500)).alias("lang"))
     model = L.train(rows, sample_per_language=100, most_languages=5)
     assert "en" in model.languages and len(model.languages) == 5
+
+
+def test_every_label_is_learned(spark):
+    """More labels than any fixed number: each has a word of its own."""
+    rows = spark.range(300 * 4).select("id", (F.col("id") % 300).alias("k")).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("qz"), F.conv("k", 10, 26)), F.substring(F.sha2(F.col("k").cast("string"), 256), 1, 24)).alias("text"), F.concat(F.lit("l"), "k").alias("lang"))
+    model = L.train(rows)
+    assert len(model.languages) == 300
+    found = L.identify(rows, model).join(rows.select("doc_id", "lang"), "doc_id")
+    assert found.where("lang = lang_pred").count() > 0.95 * 1200

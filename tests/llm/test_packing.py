@@ -1,7 +1,7 @@
 import itertools
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from corpusloom.llm import packing as P
 
@@ -65,3 +65,35 @@ def test_empty(spark):
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     check(P.pack(docs).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], P.MAX_LEN, P.TOKEN_BUDGET)
+
+
+def test_token_ids_in_padded_batches(spark):
+    import numpy as np
+
+    from corpusloom.llm import bpe
+
+    texts = [(1, "one two three four five six seven"), (1, "other text of the same id"), (2, ""), (3, None), (None, "isn't it"), (4, "ñandú " * 30), (5, "x"), (5, "x")]
+    docs = spark.createDataFrame([(*t, "clash") for t in texts], "doc_id long, text string, bucket string")
+    words = bpe.load(bpe.DEFAULT_VOCABULARY)
+    encode = lambda t: words.encode((t or "").encode(), np.array([0, len((t or "").encode())]))[:2]
+    packed = P.pack_tokens(docs, max_len=16, buckets=3, token_budget=32)
+    rows = packed.collect()
+    want = []
+    for i, t in texts:
+        ids, offsets = encode(t)
+        for piece in range(max(1, -(-len(ids) // 16))):
+            part = slice(piece * 16, piece * 16 + 16)
+            want.append((i, piece, int(offsets[piece * 16]) if len(ids) else 0, tuple(ids[part].tolist())))
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["piece"], r["first_byte"], tuple(np.frombuffer(r["token_ids"] or b"", "<u4").tolist()))) for r in rows)
+    histogram = Counter(r["n_tokens"] for r in rows if r["n_tokens"])
+    ends = P.optimal_boundaries(histogram, 3)
+    batches = P.padded_batches(packed, 50_256).collect()
+    seen = []
+    for b in batches:
+        matrix = np.frombuffer(b["tokens"], "<u4").reshape(len(b["sequences"]), b["bucket_len"])
+        assert b["bucket_len"] in ends and matrix.size <= max(32, b["bucket_len"])
+        for s, line in zip(b["sequences"], matrix):
+            assert (line[s["n_tokens"] :] == 50_256).all() and not (line[: s["n_tokens"]] == 50_256).any()
+            seen.append((s["doc_id"], s["piece"], tuple(line[: s["n_tokens"]].tolist())))
+    assert sorted(map(str, seen)) == sorted(str((w[0], w[1], w[3])) for w in want if w[3])
+    assert P.padded_batches(P.pack_tokens(docs.limit(0)), 0).count() == 0
