@@ -88,8 +88,8 @@ def phrase_search(spark, sf_dir):
 @query(
     f"""WITH RECURSIVE {_FIELDS},
 asked AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')[1:2] AS p FROM benchmark),
-h AS (SELECT item_id, path, chunk_id, len(list_filter(range(1, len(a)), lambda i: a[i:i + 1] = p)) AS tf FROM tk, asked WHERE field = 'content' AND len(p) = 2)
-SELECT item_id, path, chunk_id, CAST(tf AS BIGINT) AS occurrences FROM h WHERE tf > 0"""
+q AS (SELECT path, chunk_id, a[i] AS one, a[i + 1] AS two FROM (SELECT path, chunk_id, a, unnest(range(1, len(a))) AS i FROM tk WHERE field = 'content'))
+SELECT item_id, path, chunk_id, CAST(count(*) AS BIGINT) AS occurrences FROM q JOIN asked ON one = p[1] AND two = p[2] GROUP BY item_id, path, chunk_id"""
 )
 def phrase_matches(spark, sf_dir):
     """Where the first two words of each benchmark item stand side by side, in all chunks: a table of phrases at once."""
