@@ -63,3 +63,23 @@ def test_repeated_pages_and_large_payloads(spark):
     W.write_archives(frame, path)
     name = glob.glob(f"{path.removeprefix('file:').replace('//', '/')}/*.gz")[0]
     assert next(W.parse_records(gzip.open(name)))[0]["warc-date"].startswith(when)
+
+
+def test_marks_that_collide_keep_every_record(spark, monkeypatch):
+    monkeypatch.setattr(W, "MARK_BITS", 8)
+    rows = [(i, f"http://a/{i}", f"{i % 60} " * 600) for i in range(150)] + [(None, None, "0 " * 600), (None, None, "n" * 1200), (7, "http://again", "s")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((tuple(r) for r in W.round_trip(frame).collect()), key=str) == want(rows)
+
+
+def test_files_are_bounded_by_the_size_of_their_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "SIZE_CLASSES", ((2000, 50), (20_000, 4), (None, 1)))
+    rows = [(i, f"http://a/{i}", chr(97 + i % 26) * (1500 + i) if i % 3 else f"{i} " * 4000) for i in range(60)] + [(90 + i, "http://b", f"{i} " * 30_000) for i in range(3)]
+    rows += [(99, "http://b", "0 " * 30_000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    W.write_archives(frame, f"file://{tmp_path}/w")
+    for name in glob.glob(f"{tmp_path}/w/*.gz"):
+        sizes = [len(b) for h, b in W.parse_records(gzip.open(name)) if h["warc-type"] == "response"]
+        assert len(sizes) <= (1 if max(sizes, default=0) > 21_000 else 4 if max(sizes, default=0) > 2100 else 50)
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted((tuple(r) for r in W.read_archives(spark, f"file://{tmp_path}/w").select(names).collect()), key=str) == want(rows)
