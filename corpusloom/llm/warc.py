@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_join, materialize, release, shared_path
+from .common import _path, bounded_join, materialize, release, shared_path
 
 MIN_BYTES = 1000
 #: Upper bound of payload bytes of a size class, and records of that class in a file: none holds more than about 512 MB.
@@ -43,6 +43,8 @@ SIZE_CLASSES = ((1 << 17, 4096), (1 << 21, 256), (1 << 25, 16), (None, 1))
 BROADCAST_GROUPS = 100_000
 #: Bits of a table of marks, which is broadcast: 8 MB at every size of the input.
 MARK_BITS = 1 << 26
+#: Bytes of a gzip stream, below which it holds no record: an empty one has 20, a record's id and digest alone have more.
+EMPTY_FILE = 64
 _RECORD_END = "\r\n\r\n"
 _PAGE = "X-Page-Id"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -137,6 +139,14 @@ def _record(kind: str, date: str, more, payload):
     ).alias("value")
 
 
+def _drop_empty(spark: SparkSession, path: str) -> None:
+    """Deletes the files of tasks without a row."""
+    files, folder = _path(spark, path)
+    for status in files.listStatus(folder):
+        if status.getPath().getName().endswith(".gz") and status.getLen() < EMPTY_FILE:
+            files.delete(status.getPath(), False)
+
+
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, records_per_file: int | None = None, date: str | None = None) -> None:
     """Writes one WARC record per row of pages below path; records_per_file lowers the bounds of SIZE_CLASSES."""
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -167,6 +177,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
         out = out.unionByName(revisits) if least < 0 else out  # revisits are headers only: they go with the smallest
         out.write.mode("append").option("lineSep", _RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", min(records, records_per_file or records)).text(path)
         least = most
+    _drop_empty(pages.sparkSession, path)
     release(decided, marks, doubtful)
 
 
