@@ -23,6 +23,8 @@ rows each give a row; extra columns are not read by the scan.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_, or_
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +42,15 @@ BASE = (
     ("access", r"()(AKIA[A-Z0-9]{14,})", r"AKIA[A-Z0-9]{14,}", 18),
     ("hex", r"()([0-9a-f]{16,})", r"[0-9a-f]{16,}", 16),
 )
+#: What a text with an assignment has, of each group one, in lower case.
+ASSIGN_SIGNS = ((":", "="), ("password", "passwd", "secret", "token", "apikey", "api_key"))
 MARKOV = "markov"
 #: Characters of a run that the models score, at least.
 RUN = 20
-TOKEN = rf"[A-Za-z0-9+/_=-]{{{RUN},}}"
+_TOKEN_CHAR = "[A-Za-z0-9+/_=-]"
+TOKEN = f"{_TOKEN_CHAR}{{{RUN},}}"
+#: Access keys, hexadecimal strings and scored runs all lie in such a run, tried only where one starts.
+LONG = f"(?<!{_TOKEN_CHAR}){_TOKEN_CHAR}{{{min(RUN, *(least for _, _, _, least in BASE[1:]))},}}"
 #: Labelled strings of each class that the models learn from and are tested on.
 SAMPLE = 4000
 #: Documents, about, that labelled strings are taken from, and what counts as an ordinary string there.
@@ -86,12 +93,27 @@ def generated_samples(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
     return rows.select(F.lit(True).alias("random"), strange.alias("text")).unionByName(rows.select(F.lit(False).alias("random"), plain.alias("text")))
 
 
+def _may_hold(text, kind: str, long):
+    """Cheap condition that every text with a span of the kind meets; long: whether the text has a long run."""
+    if kind != "assign":
+        return long
+    lower = F.lower(text)
+    groups = [[F.contains(lower, F.lit(sign)) for sign in signs] for signs in ASSIGN_SIGNS]
+    return reduce(and_, [reduce(or_, group) for group in groups])
+
+
 def document_samples(documents: DataFrame, *, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Rows (random boolean, text), distinct, from about sample_docs texts: the values of base matches, and words without a digit that are no such value."""
     share = sample_docs / max(documents.count(), 1)
     text = F.coalesce(F.col(text_col), F.lit(""))
     some = documents.where(F.pmod(F.xxhash64(text), F.lit(1_000_003)) < share * 1_000_003).select(text.alias("text"))
-    values = F.concat(*[F.filter(F.regexp_extract_all("text", F.lit(pattern), F.lit(2)), lambda v, least=least: F.length(v) >= least) for _, pattern, _, least in BASE])
+    some = some.withColumn("long", F.col("text").rlike(LONG))
+    values = F.concat(
+        *[
+            F.when(_may_hold(F.col("text"), kind, F.col("long")), F.filter(F.regexp_extract_all("text", F.lit(pattern), F.lit(2)), lambda v, least=least: F.length(v) >= least)).otherwise(F.array().cast("array<string>"))
+            for kind, pattern, _, least in BASE
+        ]
+    )
     words = F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))
     found = some.select(F.explode(F.array(F.struct(F.lit(True).alias("random"), values.alias("texts")), F.struct(F.lit(False).alias("random"), words.alias("texts")))).alias("x"))
     return found.select("x.random", F.explode("x.texts").alias("text")).groupBy("text").agg(F.max("random").alias("random")).select("random", "text")
@@ -219,13 +241,15 @@ def scan(documents: DataFrame, model: Model, *, text_col: str = "text", base_as:
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, "\x02")).otherwise(text)  # neither is in any pattern
     none = F.array().cast(_NO_SPANS)
-    base = F.sort_array(F.concat(*[F.when(text.rlike(likely), _spans(text, kind, rank, pattern, least)).otherwise(none) for rank, (kind, pattern, likely, least) in enumerate(BASE)]))
+    long_as = "_secret_long_" + "_".join(documents.columns)
+    long = F.col(long_as)
+    base = F.sort_array(F.concat(*[F.when(_may_hold(text, kind, long) & text.rlike(likely), _spans(text, kind, rank, pattern, least)).otherwise(none) for rank, (kind, pattern, likely, least) in enumerate(BASE)]))
     weights = _literal(model.pairs)
-    runs = F.when(text.rlike(TOKEN), _spans(text, MARKOV, len(BASE), f"()({TOKEN})", RUN)).otherwise(none)
-    found = documents.withColumn(base_as, base)
+    runs = F.when(long & text.rlike(TOKEN), _spans(text, MARKOV, len(BASE), f"()({TOKEN})", RUN)).otherwise(none)
+    found = documents.withColumn(long_as, text.rlike(LONG)).withColumn(base_as, base)
     random = _let(runs, lambda r: F.filter(r, lambda s: score(s["value"], weights) >= model.threshold))
     every = _let(random, lambda r: F.when(F.size(r) > 0, _apart(F.sort_array(F.concat(F.col(base_as), r)))).otherwise(F.col(base_as)))
-    return found.withColumn(all_as, every)
+    return found.withColumn(all_as, every).drop(long_as)
 
 
 def _joined(spans):

@@ -132,3 +132,14 @@ def test_redaction_covers_overlaps_and_gaps(spark):
 def test_plan_is_native(spark, sf_dir):
     plan = S.secret_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_guards_leave_no_match_out(spark):
+    edges = ["a" * 15, "a" * 16, "=" + "b" * 15, "=" + "b" * 16, "Zz/" + "0f" * 8 + "+Q", "xAKIA" + "A" * 13, "xAKIA" + "A" * 14, "AKIA" + "A" * 14 + "é"]
+    edges += [f"{k}{sep}{'v' * n}" for k in ("PassWord", "PASSWD", "Secret", "tokeN", "API_KEY", "apikey", "ApI_kEy") for sep in (":", " = '", "\n=") for n in (11, 12)]
+    edges += ["İ" + "token=" + "v" * 12, "pass word: " + "v" * 20, ". ".join(["ab" * 7] * 50) + " " + "c" * 17]
+    frame = spark.createDataFrame(list(enumerate(edges)), "doc_id long, text string")
+    model = S.train(S.generated_samples(spark))
+    found = {r["doc_id"]: [tuple(s)[:4] for s in r["base_spans"]] for r in S.scan(frame, model).collect()}
+    assert [found[i] for i in range(len(edges))] == [brute(t) for t in edges]
+    assert S.scan(frame, model).columns == ["doc_id", "text", "base_spans", "all_spans"]
