@@ -221,8 +221,13 @@ models/{k}.model.ts|Note{k}|owner|Person{k}|_id|many-to-one
 
 
 def keys(spark, sf_dir: str):
-    """k: six digits of each part's number."""
-    return table(spark, sf_dir, "part").select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("k"))
+    """k, rest: six digits of each part's number, and those behind them (for the first million of parts none).
+
+    Narrow numbers are dealt out before any text is made of them: part may be one small file, which is one task.
+    """
+    number = F.col("p_partkey").cast("string")
+    dealt = table(spark, sf_dir, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.select(F.lpad(number, 6, "0").alias("k"), F.substring(number, 7, 20).alias("rest"))
 
 
 def filled(rows, **templates: str):
@@ -231,8 +236,8 @@ def filled(rows, **templates: str):
 
 
 def files(spark, sf_dir: str, sources: dict[str, str]):
-    """path, content: every source for every key."""
-    put = lambda t: F.replace(F.lit(t), F.lit("{k}"), F.col("k"))
+    """path, content: every source for every key; {rest} stands for the digits that the key lacks."""
+    put = lambda t: F.replace(F.replace(F.lit(t), F.lit("{k}"), F.col("k")), F.lit("{rest}"), F.col("rest"))
     made = F.array(*[F.struct(put(p).alias("path"), put(c).alias("content")) for p, c in sources.items()])
     return keys(spark, sf_dir).select(F.explode(made).alias("f")).select("f.path", "f.content")
 
@@ -270,11 +275,18 @@ def source_symbols(spark, sf_dir):
 _SCHEMAS = (("sql", "db/{k}.sql", SQL), ("prisma", "prisma/{k}.prisma", PRISMA), ("model", "models/{k}.model.ts", MODEL))
 
 
-def _schemas(spark, sf_dir):
-    found = [schemas.parse_schema_files(files(spark, sf_dir, {path: source}), kind) for kind, path, source in _SCHEMAS]
+def _schemas(spark, sf_dir, below: str = ""):
+    found = [schemas.parse_schema_files(files(spark, sf_dir, {below + path: source}), kind) for kind, path, source in _SCHEMAS]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+def _merged(spark, sf_dir):
+    """Every schema mentioned twice and merged.  From part 1,000,000 on several parts share six digits: the digits behind them are the project that a schema lies in."""
+    found = _schemas(spark, sf_dir, "{rest}/")
+    again = found.withColumn("path", F.regexp_replace("path", "^([^/]*)/", "$1/z/"))
+    return schemas.merge_schemas(found.unionByName(again), F.split("path", "/")[0])
+
+
 @query(expected(told(COLUMNS), "path table_name position name data_type is_primary_key is_nullable is_unique default_value references_table references_column", "position"))
 def source_columns(spark, sf_dir):
     """Columns of DDL, Prisma schemas and document models."""
@@ -296,16 +308,13 @@ def source_providers(spark, sf_dir):
 @query(expected([("buyers{k}", "id"), ("orders{k}", "id"), ("Author{k}", "id"), ("Book{k}", "id")], "table_name value"))
 def merged_keys(spark, sf_dir):
     """Primary keys of the schemas of all files, each mentioned twice."""
-    found = _schemas(spark, sf_dir)
-    twice = found.unionByName(found.withColumn("path", F.concat(F.lit("z/"), "path")))
-    return schemas.merge_schemas(twice)["primary_keys"].select("table_name", "value")
+    return _merged(spark, sf_dir)["primary_keys"].select("table_name", "value")
 
 
 @query(expected([r[1:] for r in told(RELATIONS)], "from_table from_column to_table to_column kind"))
 def merged_relations(spark, sf_dir):
     """Relationships of the merged schemas whose own column exists."""
-    found = _schemas(spark, sf_dir)
-    merged = schemas.merge_schemas(found.unionByName(found.withColumn("path", F.concat(F.lit("z/"), "path"))))
+    merged = _merged(spark, sf_dir)
     return schemas.existing_relationships(merged["relationships"], merged["columns"]).select(*schemas.RELATION)
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from corpusloom.operators import schemas as S
 
 SQL = """-- shop
@@ -91,3 +93,19 @@ def test_models(spark):
 def test_provider_only_and_nothing(spark):
     assert S.detect_schema(frame(spark, {".env": "URL=postgresql://u@h/app\n"})) == ("postgresql", None)
     assert S.detect_schema(frame(spark, {"a/b.txt": "postgres://"})) == (None, None)
+
+
+def test_equal_paths_are_not_paired_and_nothing_is_broadcast(spark):
+    files = spark.createDataFrame([("db/a.sql", SQL)] * 3, "path string, content string")
+    found = S.parse_schema_files(files, "sql")
+    assert [r["provider"] for r in found.select("provider").collect()] == ["sql"] * 3
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_by_project_and_first_mention_in_one_file(spark):
+    twice = "CREATE TABLE t (\n  a INTEGER,\n  b INTEGER PRIMARY KEY\n);\nCREATE TABLE t (\n  b TEXT\n);\n"
+    found = S.parse_schema_files(frame(spark, {"p/1.sql": twice, "q/1.sql": twice}), "sql")
+    assert {r["name"]: r["data_type"] for r in S.merge_schemas(found)["columns"].collect()} == {"a": "INTEGER", "b": "INTEGER"}
+    merged = S.merge_schemas(found, F.split("path", "/")[0])
+    assert sorted((r["project"], r["table_name"], r["value"]) for r in merged["primary_keys"].collect()) == [("p", "t", "b"), ("q", "t", "b")]
+    assert sorted(r["project"] for r in merged["summary"].collect()) == ["p", "q"]
