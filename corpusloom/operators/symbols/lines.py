@@ -6,6 +6,9 @@ language that gives a name decides a line.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +20,8 @@ _IDENT = r"[&*$@]*([\p{IsAlphabetic}\p{N}_\-.:\\]+)"
 
 
 def _after(keyword: str) -> str:
-    """The identifier after the first place of a keyword."""
-    return rf"^(?:(?!{keyword}).)*{keyword}{_IDENT}"
+    """The identifier after the first place of a keyword; the group is atomic, so a later place is never tried and a long line costs no stack."""
+    return rf"^(?>.*?{keyword}){_IDENT}"
 
 
 def _starts(*words: str) -> str:
@@ -42,13 +45,13 @@ RULES: dict[str, list[tuple[str, str]]] = {
     "ruby": [(_starts("def "), "function"), (_starts("class "), "class"), (_starts("module "), "object")],
     "php": [(_after("function "), "function"), (_after("class "), "class"), (_after("interface "), "interface"), (_after("trait "), "interface")],
     "shell": [(_starts("function "), "function"), (rf"^\s*{_IDENT}[^(]*?\(\)", "function")],
-    "sql": [(rf"(?i)^(?:(?!create table ).)*create table {_IDENT}", "object"), (rf"(?i)^(?!.*create table )(?:(?!create view ).)*create view {_IDENT}", "object"), (rf"(?i)^(?!.*create (?:table|view) )(?:(?!create function ).)*create function {_IDENT}", "function")],
+    "sql": [(rf"(?i)^(?>.*?create table ){_IDENT}", "object"), (rf"(?i)^(?!.*create table )(?>.*?create view ){_IDENT}", "object"), (rf"(?i)^(?!.*create (?:table|view) )(?>.*?create function ){_IDENT}", "function")],
     "json": [(r'^"([^"]*)"\s*:', "object")],
     "yaml": [(r"^(?!-)([^:]*[^:\s])\s*:(?!\s*//)", "object")],
     "toml": [(r"^\[([^\]]*)\]", "object"), (r"^(?!\[)([^=]*[^=\s])\s*=", "object")],
     "xml": [(rf"^<(?![/?!]){_IDENT}", "object")],
     "css": [(r"^(?!@)([^{]*[^{\s])\s*\{", "object")],
-    "vue": [(rf"^(?=<script|<style)<{_IDENT}", "object"), (rf"^(?!<script|<style)(?:(?!function ).)*function {_IDENT}", "function"), (rf"^(?!<script|<style)(?:(?!class ).)*class {_IDENT}", "class"), (rf"^<(?![/?!]){_IDENT}", "object")],
+    "vue": [(rf"^(?=<script|<style)<{_IDENT}", "object"), (rf"^(?!<script|<style)(?>.*?function ){_IDENT}", "function"), (rf"^(?!<script|<style)(?>.*?class ){_IDENT}", "class"), (rf"^<(?![/?!]){_IDENT}", "object")],
 }
 _JVM = [(_after("class "), "class"), (_after("interface "), "interface"), (_after("enum "), "enum"), (_BEFORE_PAREN, "function")]
 _C = [(_after("struct "), "class"), (_after("enum "), "enum"), (_BEFORE_PAREN, "function")]
@@ -59,50 +62,71 @@ IMPORTS = {"go": r"^import (.*)$", "java": r"^import (.*)$", "kotlin": r"^import
 COMMENTS = {"python": ("#",), "ruby": ("#",), "shell": ("#",), "yaml": ("#",), "sql": ("--",), "xml": ("<!--",)}
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is evaluated once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _given(name: Column) -> Column:
+    return _let(name, lambda n: F.when(n != "", n))
+
+
 def _clean(name: Column) -> Column:
     """Without white space and then quotes and brackets at both ends; null if nothing is left."""
-    out = F.regexp_replace(trim_white(name), r"^[\"'`;:{()]+|[\"'`;:{()]+$", "")
-    return F.when(out != "", out)
+    ends = r"^[\"'`;:{()]+|[\"'`;:{()]+$"
+    return _let(name, lambda n: F.when(n != "", _given(F.regexp_replace(trim_white(n), ends, ""))))
 
 
-def is_comment(line: Column, language: Column) -> Column:
-    out = F.startswith(line, F.lit("//")) | F.startswith(line, F.lit("/*"))
-    for name, marks in COMMENTS.items():
-        hit = F.lit(False)
-        for m in marks:
-            hit = hit | F.startswith(line, F.lit(m))
-        out = F.when(language == name, hit).otherwise(out)
+def _by_language(names, language: Column | str, make, otherwise: Column) -> Column:
+    """make(name) for the language; with one given as a string, of that alone."""
+    if isinstance(language, str):
+        return make(language) if language in names else otherwise
+    out = otherwise
+    for name in names:
+        out = F.when(language == name, make(name)).otherwise(out)
     return out
 
 
+def is_comment(line: Column, language: Column | str) -> Column:
+    starts = lambda marks: reduce(or_, [F.startswith(line, F.lit(m)) for m in marks])
+    return _by_language(COMMENTS, language, lambda name: starts(COMMENTS[name]), starts(("//", "/*")))
+
+
+def _named(given: Column, kind: str) -> Column:
+    return _let(given, lambda g: F.when(g.isNotNull(), F.struct(g.alias("name"), F.lit(kind).alias("kind"))))
+
+
+def _ruled(line: Column, name: str) -> Column:
+    """struct<name, kind> by the first rule of a language that gives a name; a rule is tried once, and only after those before it."""
+    found = []
+    for pattern, kind in RULES[name]:
+        text = F.regexp_extract(line, pattern, 1)
+        if name in ("json", "toml", "ini") and pattern in (RULES["json"][0][0], RULES["toml"][0][0]):
+            given = F.when(line.rlike(pattern), text)
+        else:
+            given = _given(text) if name in _RAW else _clean(text)
+        found.append(_named(given, kind))
+    return F.coalesce(*found)
+
+
 def symbol_of(line: Column, language: Column | str) -> Column:
     """struct<name, kind> of a line without white space before it, or null; of one language if it is given as a string."""
-    out = F.lit(None).cast("struct<name:string,kind:string>")
-    for name, rules in RULES.items():
-        if isinstance(language, str) and name != language:
-            continue
-        found = F.lit(None).cast("struct<name:string,kind:string>")
-        for pattern, kind in reversed(rules):
-            text = F.regexp_extract(line, pattern, 1)
-            given = F.when(text != "", text) if name in _RAW else _clean(text)
-            if name in ("json", "toml", "ini") and pattern in (RULES["json"][0][0], RULES["toml"][0][0]):
-                given = F.when(line.rlike(pattern), text)
-            found = F.coalesce(F.when(given.isNotNull(), F.struct(given.alias("name"), F.lit(kind).alias("kind"))), found)
-        out = found if isinstance(language, str) else F.when(language == name, found).otherwise(out)
-    return out
+    return _by_language(RULES, language, lambda name: _ruled(line, name), F.lit(None).cast("struct<name:string,kind:string>"))
+
+
+def _imported(line: Column, name: str) -> Column:
+    pattern = IMPORTS[name]
+    said = F.regexp_extract(line, pattern, 1)
+    if name == "python":
+        said = F.concat(said, F.regexp_extract(line, pattern, 2))
+    if name in ("go", "java", "kotlin", "swift"):
+        said = F.regexp_replace(said, "^[\"';]+|[\"';]+$", "")
+    return _clean(said)
 
 
-def import_of(line: Column, language: Column) -> Column:
+def import_of(line: Column, language: Column | str) -> Column:
     """Name that a line imports, or null."""
-    out = F.lit(None).cast("string")
-    for name, pattern in IMPORTS.items():
-        said = F.regexp_extract(line, pattern, 1)
-        if name == "python":
-            said = F.concat(said, F.regexp_extract(line, pattern, 2))
-        if name in ("go", "java", "kotlin", "swift"):
-            said = F.regexp_replace(said, "^[\"';]+|[\"';]+$", "")
-        out = F.when(language == name, _clean(said)).otherwise(out)
-    return out
+    return _by_language(IMPORTS, language, lambda name: _imported(line, name), F.lit(None).cast("string"))
 
 
 def _symbol(name: Column, kind: Column, line: Column, number: Column) -> Column:
@@ -118,29 +142,30 @@ def _symbol(name: Column, kind: Column, line: Column, number: Column) -> Column:
     )
 
 
+def _tried(name: str) -> Column:
+    """Of the lines of a file of one language, those that declare or import something: line, number, s, i."""
+    nothing = F.lit(None).cast("struct<line:string,number:int,s:struct<name:string,kind:string>,i:string>")
+
+    def one(line, at):
+        told = lambda t: F.struct(line.alias("line"), (at + 1).alias("number"), symbol_of(t, name).alias("s"), import_of(t, name).alias("i"))
+        return _let(trim_white_start(line), lambda t: F.when((t != "") & ~is_comment(t, name), told(t)).otherwise(nothing))
+
+    return F.filter(F.transform("lines", one), lambda x: x["s"].isNotNull() | x["i"].isNotNull())
+
+
 def line_symbols(files: DataFrame) -> DataFrame:
     """path, language, content to symbols; a file without any gives one named after it."""
     split = files.select("path", "language", lines("content").alias("lines"))
-    # rules are tried inside an array function: as plain columns their generated code would be too long to compile
-    tried = F.transform(
-        "lines",
-        lambda line, i: F.struct(
-            line.alias("line"),
-            (i + 1).alias("number"),
-            F.when((trim_white_start(line) != "") & ~is_comment(trim_white_start(line), F.col("language")), F.struct(symbol_of(trim_white_start(line), F.col("language")).alias("s"), import_of(trim_white_start(line), F.col("language")).alias("i"))).alias("found"),
-        ),
-    )
-    rows = split.select("path", F.explode(F.filter(tried, lambda x: x["found"]["s"].isNotNull() | x["found"]["i"].isNotNull())).alias("x"))
-    rows = rows.select("path", "x.line", "x.number", F.col("x.found.s").alias("s"), F.col("x.found.i").alias("i"))
-    line, number = F.col("line"), F.col("number")
-    both = F.filter(
-        F.array(F.when(F.col("i").isNotNull(), _symbol(F.col("i"), F.lit("import"), line, number)), F.when(F.col("s").isNotNull(), _symbol(F.col("s.name"), F.col("s.kind"), line, number))),
-        lambda x: x.isNotNull(),
-    )
-    found = rows.select("path", F.explode(both).alias("x")).select("path", "x.*")
-    empty = split.join(found.select("path").distinct(), "path", "left_anti")
-    first = F.coalesce(F.get("lines", F.lit(0)), F.lit(""))
-    named = empty.select("path", _symbol(stem("path"), F.lit("object"), F.lit(""), F.lit(1)).alias("x"), first.alias("first"))
-    named = named.select("path", "x.name", "x.kind", "x.start_line", "x.start_column", "x.end_line", (F.greatest(F.octet_length("first"), F.lit(1)) + 1).cast("long").alias("end_column"))
-    none = F.lit(None).cast("string")
-    return found.unionByName(named).select("path", "name", "kind", none.alias("parent"), none.alias("source"), "start_line", "start_column", "end_line", "end_column")
+    # rules are tried inside an array function: as plain columns their generated code would be too long to compile.
+    # The language is asked once a file, and each file is read once: one without a hit keeps a row of its own.
+    none = F.array().cast("array<struct<line:string,number:int,s:struct<name:string,kind:string>,i:string>>")
+    hits = _by_language(dict.fromkeys([*RULES, *IMPORTS]), F.col("language"), _tried, none)
+    rows = split.select("path", F.coalesce(F.get("lines", F.lit(0)), F.lit("")).alias("first"), F.explode_outer(hits).alias("x"))
+    rows = rows.select("path", "first", "x.line", "x.number", "x.s", "x.i")
+    line, number, one = F.col("line"), F.col("number"), F.lit(1).cast("long")
+    both = F.array(F.when(F.col("i").isNotNull(), _symbol(F.col("i"), F.lit("import"), line, number)), F.when(F.col("s").isNotNull(), _symbol(F.col("s.name"), F.col("s.kind"), line, number)))
+    width = (F.greatest(F.octet_length("first"), F.lit(1)) + 1).cast("long")
+    named = F.struct(stem("path").alias("name"), F.lit("object").alias("kind"), one.alias("start_line"), one.alias("start_column"), one.alias("end_line"), width.alias("end_column"))
+    found = rows.select("path", F.explode(F.when(line.isNull(), F.array(named)).otherwise(F.filter(both, lambda x: x.isNotNull()))).alias("x")).select("path", "x.*")
+    null = F.lit(None).cast("string")
+    return found.select("path", "name", "kind", null.alias("parent"), null.alias("source"), "start_line", "start_column", "end_line", "end_column")

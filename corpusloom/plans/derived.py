@@ -220,14 +220,15 @@ models/{k}.model.ts|Note{k}|owner|Person{k}|_id|many-to-one
 """
 
 
-def keys(spark, sf_dir: str):
-    """k, rest: six digits of each part's number, and those behind them (for the first million of parts none).
+def dealt_parts(spark, sf_dir: str):
+    """p_partkey, dealt out before any text is made of it: part may be one small file, which is one task."""
+    return table(spark, sf_dir, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
 
-    Narrow numbers are dealt out before any text is made of them: part may be one small file, which is one task.
-    """
+def keys(spark, sf_dir: str):
+    """k, rest: six digits of each part's number, and those behind them (for the first million of parts none)."""
     number = F.col("p_partkey").cast("string")
-    dealt = table(spark, sf_dir, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.select(F.lpad(number, 6, "0").alias("k"), F.substring(number, 7, 20).alias("rest"))
+    return dealt_parts(spark, sf_dir).select(F.lpad(number, 6, "0").alias("k"), F.substring(number, 7, 20).alias("rest"))
 
 
 def filled(rows, **templates: str):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import schemas
 from ..operators.symbols import parse_files
+from .derived import dealt_parts
 from .queries import query, table
 
 # Fixed values, by extension: a line that declares nothing, a unit of declarations (@ stands for its own number), and what
@@ -44,7 +45,7 @@ def varied_symbols(spark, sf_dir):
     number = lambda i: F.concat(k.cast("string"), F.lit("_"), i.cast("string"))
     text = lambda unit: F.array_join(F.transform(F.sequence(F.lit(0), (k % 5).cast("int")), lambda i: F.concat(F.repeat(F.lit("\n"), ((k + i) % 3).cast("int")), F.replace(F.lit(unit), F.lit("@"), number(i)))), "")
     made = [F.struct(F.concat(F.lit("src/"), k.cast("string"), F.lit(f".{end}")).alias("path"), F.concat(F.repeat(F.lit(noise), (k % 4).cast("int")), text(unit)).alias("content")) for end, (noise, unit, _) in UNITS.items()]
-    files = table(spark, sf_dir, "part").select(F.explode(F.array(*made)).alias("f")).select("f.*")
+    files = dealt_parts(spark, sf_dir).select(F.explode(F.array(*made)).alias("f")).select("f.*")
     return parse_files(files).select("path", "name", "kind", "parent", F.col("start_line").cast("long").alias("start_line"))
 
 

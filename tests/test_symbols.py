@@ -141,3 +141,11 @@ def test_a_source_that_overflows_the_parser_goes_by_lines():
     with pytest.raises(MemoryError):
         python_source.ast.parse(source)
     assert [s[0] for s in python_source.symbols_of(source)] == ["go"]
+
+
+def test_line_symbols_reads_each_file_once_and_takes_long_lines(spark):
+    long = "x" * 200_000
+    files = [("a.rs", f"{long} fn go() {{}}\n"), ("b.sql", f"-- no\n{long} create table t (\n"), ("b.sql", "select 1\n"), ("c.php", "function class function ok()\n")]
+    found = parse_files(spark.createDataFrame(files, "path string, content string")).where("path not like '%.ts'")
+    assert sorted((r["path"], r["name"], r["kind"], r["start_line"]) for r in found.collect()) == [("a.rs", "go", "function", 1), ("b.sql", "b", "object", 1), ("b.sql", "t", "object", 2), ("c.php", "class", "function", 1)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
