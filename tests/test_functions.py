@@ -91,3 +91,11 @@ def test_report_strings(spark):
     assert row["r"] == "One.\n\nTwo\n## Risk notes\n- a"
     assert row["p"] == "Validation and quality checks" and row["h"] == "&lt;a b=&#39;&quot;&#39;&gt;&amp;"
     assert row["w"] == ["a", "b"] and row["c"] == "Keep this.\nand this" and row["e"] == "calls"
+
+
+def test_languages_and_extensions_of_odd_paths(spark):
+    given = {"a.b/c": None, ".ts": None, "x.tar.gz": None, "a/b.rs": "rust", "x.": None, "": None, "a\nb.ts": None, None: None, "a.b.ts": "typescript"}
+    rows = spark.createDataFrame([(p,) for p in given], "path string")
+    assert {r["path"]: r["language"] for r in rows.select("path", paths.language("path").alias("language")).collect()} == given
+    # one lookup: the extension is cut out once, not once a language
+    assert rows.select(paths.language("path").alias("l"))._jdf.queryExecution().analyzed().toString().lower().count("substring_index") == 1
