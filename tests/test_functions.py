@@ -99,3 +99,11 @@ def test_languages_and_extensions_of_odd_paths(spark):
     assert {r["path"]: r["language"] for r in rows.select("path", paths.language("path").alias("language")).collect()} == given
     # one lookup: the extension is cut out once, not once a language
     assert rows.select(paths.language("path").alias("l"))._jdf.queryExecution().analyzed().toString().lower().count("substring_index") == 1
+
+
+def test_tables_bound_arrow_batches_by_bytes(spark, sf_dir):
+    from corpusloom.plans.queries import ARROW_BATCH, table
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    table(spark, sf_dir, "documents")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == ARROW_BATCH
