@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import schemas
 from ..operators.symbols import parse_files
 from .derived import dealt_parts
-from .queries import query, table
+from .queries import query
 
 # Fixed values, by extension: a line that declares nothing, a unit of declarations (@ stands for its own number), and what
 # the unit declares: name, kind, parent and line in the unit.
@@ -67,7 +67,7 @@ SELECT project, provider, CAST(CASE project WHEN 'a' THEN 1 WHEN 'b' THEN n WHEN
 )
 def detected_schemas(spark, sf_dir):
     """What is found in five projects: each lacks what goes first in the one before it (Prisma, SQL, models, a connection)."""
-    keys, found = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k")), []
+    keys, found = dealt_parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("k")), []
     for project in "abcde":
         files = None
         for path, content, held, each in _PARTS:

@@ -109,3 +109,9 @@ def test_merge_by_project_and_first_mention_in_one_file(spark):
     merged = S.merge_schemas(found, F.split("path", "/")[0])
     assert sorted((r["project"], r["table_name"], r["value"]) for r in merged["primary_keys"].collect()) == [("p", "t", "b"), ("q", "t", "b")]
     assert sorted(r["project"] for r in merged["summary"].collect()) == ["p", "q"]
+
+
+def test_detected_schemas_are_parsed_once(spark):
+    for files in ({"db/1.sql": SQL}, {"database/note.model.ts": MODEL}):
+        _, found = S.detect_schema(frame(spark, files))
+        assert found.count() == 1 and "InArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
