@@ -93,7 +93,7 @@ SELECT item_id, path, chunk_id, CAST(count(*) AS BIGINT) AS occurrences FROM q J
 )
 def phrase_matches(spark, sf_dir):
     """Where the first two words of each benchmark item stand side by side, in all chunks: a table of phrases at once."""
-    index = written(term_index.positional_postings(document_chunks(spark, sf_dir), ("content",)), "postings")
+    index = term_index.positional_postings(document_chunks(spark, sf_dir), ("content",))  # read once: only the phrases' terms go on
     words = F.filter(term_index.placed_terms(F.col("text")), lambda t: t["at"] < 2)
     phrases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("clause"), words.alias("t")).where("size(t) = 2")
     wanted = phrases.select("clause", F.explode("t").alias("t")).select("clause", F.lit(2).alias("size"), "t.term", F.col("t.at").alias("offset"), F.lit("content").alias("field"))

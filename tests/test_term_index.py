@@ -101,3 +101,10 @@ def test_a_search_reads_the_folders_of_its_terms_only(spark, contents, tmp_path)
 def test_no_chunks(spark, tmp_path):
     term_index.write_index(spark.createDataFrame([], CHUNK), f"file://{tmp_path}/none")
     assert term_index.search(spark, f"file://{tmp_path}/none", "w1", 5).count() == 0
+
+
+def test_phrases_of_a_table_write_no_index(spark, sf_dir, monkeypatch):
+    from corpusloom.plans import indexed
+
+    monkeypatch.setattr(indexed, "written", lambda *_: 1 / 0)
+    assert "clause" not in indexed.phrase_matches(spark, sf_dir).columns
