@@ -118,7 +118,7 @@ class Engine:
         runs = snapshot.begin_run(self.table("index_runs"), now)
         self.write("index_runs", runs)
         run_id = self.table("index_runs").agg(F.max("id")).first()[0]
-        raw = sources.written(self._source(path), "scan")
+        raw = sources.written_scan(self._source(path))
         source = sources.decode(raw)
         scanned = snapshot.describe_files(raw, self.root)
         old = self.table("files")
@@ -204,7 +204,7 @@ class Engine:
         own (get_errors("search")); the rest is indexed.
         """
         now = now or str(int(time.time() * 1000))
-        source = sources.written(sources.decode(self._source(path, is_searchable)), "scan")
+        source = sources.written_scan(sources.decode(self._source(path, is_searchable)))
         read = source.where("error is null")
         self.store.commit(whole={"errors": self._errors("search", source.where("error is not null"))}, merged=self._searched(read, now))
         self.rebuild_term_index()

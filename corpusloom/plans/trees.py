@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.page_files import export_pages
 from ..sources.tables import work_path
+from .derived import dealt_parts
 from .engine import Engine
 from .indexed import PHRASES, PHRASES_SQL
 from .queries import FILES, query, table
@@ -24,7 +25,7 @@ def _sources(spark, sf_dir, again: bool):
     k = F.col("p_partkey")
     name = F.concat(F.lit("p"), k.cast("string"), F.lit(".go"))
     old, new = F.concat(F.lit("package p\n\nfunc A"), k, F.lit("() {}\n")), F.concat(F.lit("package p\n\nfunc B"), k, F.lit("() {}\nfunc C"), k, F.lit("() {}\n"))
-    rows = table(spark, sf_dir, "part")
+    rows = dealt_parts(spark, sf_dir)
     if again:
         rows = rows.where((k % 3 == 0) | (k % 5 == 0))
         return rows.select(name.alias("file_name"), F.when(k % 3 == 0, new).otherwise(old).alias("markdown"))

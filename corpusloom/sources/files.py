@@ -49,6 +49,21 @@ def scan_tree(spark: SparkSession, root: str, keep=is_indexable, below: str | No
     return rows.where(wanted(F.col("path")))
 
 
+#: What opening a file counts as, when a tree's files are dealt to tasks: by Spark's 4 MB a task takes 32 files, and a large tree is tens of thousands of tasks.
+OPEN_COST = "64k"
+
+
+def written_scan(files: DataFrame) -> DataFrame:
+    """A scan of a tree, read once and written, its small files packed into few tasks."""
+    conf, name = files.sparkSession.conf, "spark.sql.files.openCostInBytes"
+    held = conf.get(name)
+    conf.set(name, OPEN_COST)
+    try:
+        return written(files, "scan")
+    finally:
+        conf.set(name, held)
+
+
 def search_tree(spark: SparkSession, root: str) -> DataFrame:
     return scan_tree(spark, root, is_searchable)
 

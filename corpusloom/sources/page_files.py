@@ -12,11 +12,15 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+#: Pages that the driver moves to their names at a time.
+MOVERS = 16
+
 
 def _open(uri: str):
     from pyarrow import fs
@@ -52,9 +56,10 @@ class _Writer(DataSourceWriter):
 
     def commit(self, messages) -> None:
         files, base = _open(self.folder)
-        for m in messages:
-            for name in m.names if m else []:
-                files.move(posixpath.join(m.folder, name), posixpath.join(base, name))
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for m in messages:  # one task's pages after another's, so that the last one's stay; a task's own names differ
+                for _ in pool.map(lambda name, m=m: files.move(posixpath.join(m.folder, name), posixpath.join(base, name)), m.names if m else []):
+                    pass
         files.delete_dir(self._staging(base)) if self._exists(files, base) else None
 
     def abort(self, messages) -> None:

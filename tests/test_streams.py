@@ -133,3 +133,15 @@ def test_a_job_that_fails_leaves_no_page(spark, tmp_path):
     with pytest.raises(Exception):
         export_pages(bad.withColumn("markdown", F.raise_error(F.lit("no")).cast("string")), folder)
     assert os.listdir(folder) == []
+
+
+def test_a_scan_packs_small_files_and_leaves_settings(spark, tmp_path):
+    from corpusloom.sources.files import scan_tree, written_scan
+    from corpusloom.sources.page_files import export_pages
+
+    tree, name = tmp_path / "tree", "spark.sql.files.openCostInBytes"
+    export_pages(spark.range(200).selectExpr("concat('f', id, '.go') file_name", "concat('package p', id) markdown"), str(tree))
+    held = spark.conf.get(name)
+    found = written_scan(scan_tree(spark, f"file://{tree}"))
+    assert found.count() == 200 and spark.conf.get(name) == held
+    assert len(found.inputFiles()) <= 4
