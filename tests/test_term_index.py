@@ -108,3 +108,34 @@ def test_phrases_of_a_table_write_no_index(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(indexed, "written", lambda *_: 1 / 0)
     assert "clause" not in indexed.phrase_matches(spark, sf_dir).columns
+
+
+def test_a_term_has_one_row_in_a_block(spark, index):
+    rows, path = index
+    lists = spark.read.parquet(f"{path}/postings")
+    assert lists.groupBy("term", "field", "block").count().where("count > 1").count() == 0
+    want = search.postings(rows).groupBy("term", "field").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+    got = lists.where("field <> 'path'").groupBy("term", "field").agg(F.sum("n").alias("n"), F.sum("tf").alias("tf"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert lists.where("field = 'path'").agg(F.sum("n")).first()[0] == rows.count()
+
+
+def test_words_are_those_of_the_query_s_terms(spark, monkeypatch):
+    rng = random.Random(3)
+    points = [*range(32, 0x3000), *range(0xA640, 0xAC00), *range(0x10000, 0x1F000), *range(0x31350, 0x32400)]
+    texts = ["".join(chr(rng.choice(points)) + rng.choice(["", " ", "a", "7"]) for _ in range(400)) for _ in range(60)]
+    texts += ["İstanbul ΟΔΟΣ straße Ⅷ ǅ", "", None, "- _ -", "y" * 41 + " b " + "é" * 21 + " b"]
+    monkeypatch.setattr(term_index, "BLOCK_CHARS", 2000)
+    rows = chunk_rows(spark, texts)
+    want = rows.select("chunk_id", F.explode(term_index.placed_terms(F.col("content"))).alias("t")).groupBy("chunk_id", "t.term").agg(F.sort_array(F.collect_list("t.at")).alias("at"))
+    lengths = {r[0]: r[1] for r in rows.select("chunk_id", F.size(search.terms_of(F.col("content")))).collect()}
+    got = term_index.positional_postings(rows, ("content",)).collect()
+    assert sorted((r["chunk_id"], r["term"], r["positions"]) for r in got) == sorted(map(tuple, want.collect()))
+    assert all(r["tf"] == len(r["positions"]) and r["length"] == lengths[r["chunk_id"]] for r in got)
+
+
+def test_chunks_without_path_or_content(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "c1", "wiki", "t", "plum pear plum", 1, 1), ("d/1.md", "c1", "wiki", "t", None, 1, 1), ("d/1.md", "c2", "wiki", "t", "pear", 2, 2)], CHUNK)
+    term_index.write_index(rows, f"file://{tmp_path}/i")
+    ids = lambda q: sorted((r["path"] or "", r["chunk_id"]) for r in term_index.search(spark, f"file://{tmp_path}/i", q, 9).collect())
+    assert ids("plum") == [("", "c1")] and ids('"pear plum"') == [("", "c1")] and ids("d/1.md")[-2:] == [("d/1.md", "c1"), ("d/1.md", "c2")] and ids("pear") == [("", "c1"), ("d/1.md", "c2")]
