@@ -49,3 +49,26 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+#: Texts and names that SQL and Spark's or Python's own functions take differently.
+ODD_TEXTS = ["", None, "\n", "\r\n", "a\r\nb\r", "\r# a\n## b # c", "a\vb\x1cc d e", "# \n# x", "```\n[a](b)\n```"]
+ODD_TEXTS += ["\n".join(mark if i == 60 else "line" for i in range(200)) for mark in ("", "\t", "\v", " ", "　def x", "\f def x", "\r", "\x1cfn y", " ")]
+ODD_NAMES = [("en", "web"), (None, "web"), ("en", None), (None, None)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """A folder with documents of odd texts, languages and sources, and a connection that sees it."""
+    folder = tmp_path_factory.mktemp("odd")
+    rows = [(i, t, *ODD_NAMES[0 if i < len(ODD_TEXTS) else i % 4]) for i, t in enumerate(ODD_TEXTS + ["a b"] * 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["chunk_documents", "chunk_summary"])
+def test_odd_texts_give_the_rows_of_sql(spark, odd, name):
+    folder, con = odd
+    test_same_rows(spark, folder, con, name)
