@@ -68,7 +68,7 @@ def odd(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["chunk_documents", "chunk_summary"])
+@pytest.mark.parametrize("name", ["chunk_documents", "chunk_summary", "page_stats"])
 def test_odd_texts_give_the_rows_of_sql(spark, odd, name):
     folder, con = odd
     test_same_rows(spark, folder, con, name)
