@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.files import delete_files
 from ..sources.page_files import export_pages
 from ..sources.tables import work_path
 from .derived import dealt_parts
@@ -47,6 +48,7 @@ def tree_index(spark, sf_dir):
     engine.index_path(now="1")
     export_pages(_sources(spark, sf_dir, True), root)
     run = engine.index_path(now="2")
+    delete_files(spark, root)
     symbols = engine.table("graph_symbols").join(engine.table("graph_contains"), F.col("id") == F.col("symbol_id"))
     listed = symbols.groupBy("path").agg(F.array_join(F.sort_array(F.collect_list(F.concat("name", F.lit(":"), F.col("start_line").cast("string")))), ",").alias("symbols"))
     told = [F.lit(run[c]).cast("long").alias(c) for c in ("files_seen", "files_changed", "files_skipped")]
@@ -62,4 +64,5 @@ def tree_search(spark, sf_dir):
     export_pages(docs, root)
     engine = Engine(spark, root)
     engine.rebuild_search_index(now="1")
+    delete_files(spark, root)
     return engine.search_text(PHRASES, 25).select("path", "chunk_id", F.round("score", 6).alias("score"))

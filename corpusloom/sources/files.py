@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import itertools
+import os
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,39 +35,127 @@ def at_or_below(path: Column, top: str) -> Column:
     return (path == top) | F.startswith(path, F.lit(top + "/"))
 
 
-def scan_tree(spark: SparkSession, root: str, keep=is_indexable, below: str | None = None) -> DataFrame:
-    """One scan of a tree: path (relative), size_bytes, modified_at (epoch millis as text), content (bytes); kept paths only.
+#: Entries that a task lists before it hands the folders below on to other tasks, and rows of an Arrow batch.
+TASK_ENTRIES, BATCH_ROWS = 20_000, 8192
+#: Content of an Arrow batch; a longer file is one of its own.
+BATCH_BYTES = 4 << 20
+#: Files of a task: at least as many before there is a further task, and at most.
+LEAST_FILES, MOST_FILES = 64, 50_000
+
 
-    The filters stand on the files' metadata, by which Spark prunes files as it lists them: content is read of kept
-    files only.  Metadata has paths URL-encoded; one with an escape is filtered after its read.
+def _entries(base: str, folder: str, most: int):
+    """(path, whether it is a folder) of what lies in a folder and, up to most entries, below it; a folder that is given out is not listed yet.
+
+    Hidden names are passed over, and what is neither a file nor a folder, and names that are not UTF-8.
     """
-    base = root.removeprefix("file://").rstrip("/")
+    todo, seen = [folder], 0
+    while todo:
+        top = todo.pop()
+        if seen >= most:
+            yield top, True
+            continue
+        with os.scandir(os.path.join(base, top)) as found:
+            for e in found:
+                seen += 1
+                path = f"{top}/{e.name}" if top else e.name
+                if e.name.startswith(".") or any("\udc80" <= c <= "\udcff" for c in e.name):
+                    continue
+                if e.is_file():
+                    yield path, False
+                elif e.is_dir() and not (e.is_symlink() and _holds(e.path, os.path.join(base, top))):
+                    todo.append(path)
+
+
+def _holds(link: str, folder: str) -> bool:
+    """Whether a link leads back to a folder or above it, so that following it would not end."""
+    return os.path.join(os.path.realpath(folder), "").startswith(os.path.join(os.path.realpath(link), ""))
+
+
+def _lister(base: str, most: int):
+    def run(batches):
+        for batch in batches:
+            entries = (e for folder in batch.column(0).to_pylist() for e in _entries(base, folder, most))
+            while rows := list(itertools.islice(entries, BATCH_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["path", "folder"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, n: int, least: int = LEAST_FILES) -> DataFrame:
+    """n rows of paths, dealt out to tasks by hash."""
+    most = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // MOST_FILES))
+    return rows.repartition(max(1, min(-(-n // least), most)), "path")
+
+
+def listed_files(spark: SparkSession, base: str, top: str = "") -> tuple[DataFrame, int]:
+    """path (relative to base) of each file at or below top, and how many: listed by tasks, so the driver holds none of them."""
+    if any(not p or p.startswith(".") for p in top.split("/")) and top:
+        return spark.createDataFrame([], "path string"), 0
+    if top and not os.path.isdir(os.path.join(base, top)):
+        found = [(top,)] if os.path.isfile(os.path.join(base, top)) else []
+        return spark.createDataFrame(found, "path string"), len(found)
+    folders, left, passes, n = spark.createDataFrame([(top,)], "path string"), 1, [], 0
+    while left:
+        seen = written(_dealt(folders, left, 1).mapInArrow(_lister(base, TASK_ENTRIES), "path string, folder boolean"), "listing")
+        counts = {r["folder"]: r["count"] for r in seen.groupBy("folder").count().collect()}
+        passes.append(seen.where("not folder").select("path"))
+        n, left, folders = n + counts.get(False, 0), counts.get(True, 0), seen.where("folder").select("path")
+    return functools.reduce(DataFrame.unionByName, passes), n
+
+
+def _reader(base: str, most: int):
+    kinds = {"path": pa.string(), "size_bytes": pa.int64(), "modified_at": pa.string(), "content": pa.binary()}
+
+    def run(batches):
+        rows, held = [], 0
+        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+            with open(os.path.join(base, path), "rb") as f:
+                state = os.fstat(f.fileno())
+                if state.st_size > most:
+                    raise ValueError(f"{path} has {state.st_size} bytes, the max length is {most}")
+                content = f.read()
+            if rows and (held + len(content) > BATCH_BYTES or len(rows) >= BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+                rows, held = [], 0
+            rows.append((path, len(content), str(state.st_mtime_ns // 1_000_000), content))
+            held += len(content)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    return run
 
-    def relative(path) -> Column:
-        return normalize(F.regexp_replace(path, r"^file:/+", "/"), base)
 
-    def wanted(path) -> Column:
-        return keep(path) & at_or_below(path, below) if below else keep(path)
+def scan_tree(spark: SparkSession, root: str, keep=is_indexable, below: str | None = None) -> DataFrame:
+    """A scan of a tree: path (relative), size_bytes, modified_at (epoch millis as text), content (bytes); kept paths only.
+
+    Paths are listed at once, by tasks, and filtered before they are dealt out: content is read of kept files only, where
+    it is asked for.  Hidden files and folders are not seen; a file longer than Spark's limit for binary files is an error.
+    """
+    base = root.removeprefix("file://").rstrip("/") or "/"
+    paths, n = listed_files(spark, base, below or "")
+    wanted = keep(F.col("path")) & at_or_below(F.col("path"), below) if below else keep(F.col("path"))
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    return _dealt(paths.where(wanted), n).mapInArrow(_reader(base, most), "path string, size_bytes long, modified_at string, content binary")
 
-    listed = F.col("_metadata.file_path")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.contains(listed, F.lit("%")) | wanted(relative(listed)))
-    rows = files.select(relative("path").alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").cast("string").alias("modified_at"), "content")
-    return rows.where(wanted(F.col("path")))
 
+def delete_files(spark: SparkSession, root: str) -> int:
+    """Deletes the files of a tree, but not its hidden ones, by tasks; returns how many there were."""
+    base = root.removeprefix("file://").rstrip("/")
+    paths, n = listed_files(spark, base)
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with contextlib.suppress(FileNotFoundError):  # a task that runs again
+                    os.remove(os.path.join(base, path))
+            yield batch
 
-#: What opening a file counts as, when a tree's files are dealt to tasks: by Spark's 4 MB a task takes 32 files, and a large tree is tens of thousands of tasks.
-OPEN_COST = "64k"
+    return _dealt(paths, n).mapInArrow(run, "path string").count()
 
 
 def written_scan(files: DataFrame) -> DataFrame:
-    """A scan of a tree, read once and written, its small files packed into few tasks."""
-    conf, name = files.sparkSession.conf, "spark.sql.files.openCostInBytes"
-    held = conf.get(name)
-    conf.set(name, OPEN_COST)
-    try:
-        return written(files, "scan")
-    finally:
-        conf.set(name, held)
+    """A scan of a tree, read once and written."""
+    return written(files, "scan")
 
 
 def search_tree(spark: SparkSession, root: str) -> DataFrame:

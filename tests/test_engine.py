@@ -51,6 +51,24 @@ def test_content_is_read_of_kept_files_only(spark, tmp_path):
     assert sorted(r["path"] for r in spaced) == ["src/50%.py", "src/a.py", "src/b c.py", "src2/d.py"]
 
 
+def test_files_are_listed_by_tasks_and_all_are_found(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "tree")
+    for i in range(60):
+        put(root, f"d{i % 5}/e{i % 3}/f{i}.py", "x")
+    put(root, "pkg/__init__.py", "")
+    put(root, ".hidden/a.py", "x")
+    os.symlink(root, f"{root}/d0/again")  # a link back up ends there
+    os.symlink(f"{root}/pkg", f"{root}/linked")
+    want = sorted([f"d{i % 5}/e{i % 3}/f{i}.py" for i in range(60)] + ["pkg/__init__.py", "linked/__init__.py"])
+    for most in (sources.TASK_ENTRIES, 2):  # 2: folders are handed on, one pass after another
+        monkeypatch.setattr(sources, "TASK_ENTRIES", most)
+        scan = sources.scan_tree(spark, f"file://{root}")
+        assert sorted(r["path"] for r in scan.collect()) == want
+        assert not any(f.endswith(".py") for f in scan.inputFiles())  # the plan, and so the driver, holds no file of the tree
+    assert sources.delete_files(spark, f"file://{root}/d1") == 12 and sources.listed_files(spark, root)[1] == 50
+    assert os.path.exists(f"{root}/.hidden/a.py")
+
+
 def test_index_run(engine):
     first = engine.index_path()
     assert (first["files_seen"], first["files_changed"], first["files_skipped"], first["run_status"]) == (4, 3, 1, "complete")
