@@ -20,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 #: Pages that the driver moves to their names at a time.
 MOVERS = 16
+#: Most pages of a staging folder: as many names does a commit hold at a time.
+FOLDER_PAGES = 10_000
 
 
 def _open(uri: str):
@@ -28,10 +30,16 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _listed(files, folder: str):
+    from pyarrow import fs
+
+    return files.get_file_info(fs.FileSelector(folder))
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     folder: str
-    names: list[str]
+    parts: int  # its folders 0, 1, ..., which hold the pages in the order of the rows
 
 
 class _Writer(DataSourceWriter):
@@ -43,29 +51,44 @@ class _Writer(DataSourceWriter):
 
     def write(self, iterator) -> _Written:
         files, base = _open(self.folder)
-        own, names = posixpath.join(self._staging(base), uuid.uuid4().hex), []
+        own, parts = posixpath.join(self._staging(base), uuid.uuid4().hex), 0
         files.create_dir(own, recursive=True)
-        for row in iterator:
+        for i, row in enumerate(iterator):
             name = row["file_name"]
             if not name or "/" in name or name in (".", ".."):
                 raise ValueError(f"no file name: {name!r}")
-            with files.open_output_stream(posixpath.join(own, name)) as f:
+            if i % FOLDER_PAGES == 0:
+                part, parts = posixpath.join(own, str(parts)), parts + 1
+                files.create_dir(part)
+            with files.open_output_stream(posixpath.join(part, name)) as f:
                 f.write((row["markdown"] or "").encode())
-            names.append(name)
-        return _Written(own, list(dict.fromkeys(names)))
+        return _Written(own, parts)
 
     def commit(self, messages) -> None:
         files, base = _open(self.folder)
+
+        def move(pages) -> None:
+            for page in pages:
+                files.move(page.path, posixpath.join(base, page.base_name))
+
         with ThreadPoolExecutor(MOVERS) as pool:
-            for m in messages:  # one task's pages after another's, so that the last one's stay; a task's own names differ
-                for _ in pool.map(lambda name, m=m: files.move(posixpath.join(m.folder, name), posixpath.join(base, name)), m.names if m else []):
-                    pass
-        files.delete_dir(self._staging(base)) if self._exists(files, base) else None
+            for m in messages:  # one folder's pages after another's, so that the last ones stay; a folder's own names differ
+                for i in range(m.parts if m else 0):
+                    pages = _listed(files, posixpath.join(m.folder, str(i)))
+                    list(pool.map(move, [pages[k::MOVERS] for k in range(MOVERS)]))
+        self._clear(files, base)
 
     def abort(self, messages) -> None:
         files, base = _open(self.folder)
-        if self._exists(files, base):
-            files.delete_dir(self._staging(base))
+        self._clear(files, base)
+
+    def _clear(self, files, base: str) -> None:
+        if not self._exists(files, base):
+            return
+        for attempt in _listed(files, self._staging(base)):
+            for part in _listed(files, attempt.path):
+                files.delete_dir(part.path)
+        files.delete_dir(self._staging(base))
 
     def _exists(self, files, base: str) -> bool:
         from pyarrow import fs

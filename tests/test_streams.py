@@ -124,6 +124,20 @@ def test_an_attempt_that_is_not_accepted_leaves_nothing(tmp_path):
     assert os.listdir(f"{tmp_path}/pages") == ["a.md"] and open(f"{tmp_path}/pages/a.md").read() == "two" and first.folder != second.folder
 
 
+def test_a_commit_holds_no_names_and_the_last_row_stays(tmp_path, monkeypatch):
+    import pickle
+
+    from corpusloom.sources import page_files
+
+    monkeypatch.setattr(page_files, "FOLDER_PAGES", 7)
+    writer = PageFiles({"folder": f"file://{tmp_path}/pages"}).writer(type("S", (), {"fieldNames": lambda self: ["file_name", "markdown"]})(), False)
+    rows = lambda n: iter([{"file_name": f"page {i % 50}.md", "markdown": str(i)} for i in range(n)])
+    few, many, gone = writer.write(rows(1)), writer.write(rows(120)), writer.write(rows(20))
+    assert len(pickle.dumps(many)) == len(pickle.dumps(few)) and gone.folder != many.folder
+    writer.commit([few, None, many])
+    assert {n: open(f"{tmp_path}/pages/{n}").read() for n in os.listdir(f"{tmp_path}/pages")} == {f"page {i % 50}.md": str(i) for i in range(120)}
+
+
 def test_a_job_that_fails_leaves_no_page(spark, tmp_path):
     folder = f"{tmp_path}/pages"
     bad = spark.createDataFrame([("a.md", "x"), ("../b.md", "x")], PAGES).coalesce(1)
