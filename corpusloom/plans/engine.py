@@ -190,21 +190,23 @@ class Engine:
     # --- search
 
     def _searched(self, source: DataFrame, now: str) -> dict[str, tuple[DataFrame, DataFrame]]:
-        """The merges that put decoded files (path, content) into the search tables in place of what these hold of them."""
+        """The merges that put decoded files (path, content; written) into the search tables in place of what these hold of them."""
         documents = source.select("path", document_kind("path").alias("kind"), base_name("path").alias("title"), "content", F.lit(now).alias("updated_at"))
-        documents, model = sources.written(documents, "documents"), self.get_settings().embedding_model_path
+        model = self.get_settings().embedding_model_path
         found = sources.written(chunks.chunk_documents(documents.select("path", "title", "content")).withColumn("updated_at", F.lit(now)), "chunks")
         batches = (documents, found, search.embed_chunks(found, model), search.embed_documents(documents, model))
         return {name: (batch, documents.select("path")) for name, batch in zip(SEARCH_TABLES, batches)}
 
-    def rebuild_search_index(self, path: str = ".", now: str | None = None) -> dict:
+    def rebuild_search_index(self, path: str = ".", now: str | None = None, scanned=None) -> dict:
         """Indexes what can be searched below a path; returns documents_indexed, embeddings_indexed and errors.
 
         Documents elsewhere stay; the term index is made anew of all chunks.  A file that is not UTF-8 is an error of its
-        own (get_errors("search")); the rest is indexed.
+        own (get_errors("search")); the rest is indexed.  scanned is called when the tree has been read.
         """
         now = now or str(int(time.time() * 1000))
         source = sources.written_scan(sources.decode(self._source(path, is_searchable)))
+        if scanned:
+            scanned()
         read = source.where("error is null")
         self.store.commit(whole={"errors": self._errors("search", source.where("error is not null"))}, merged=self._searched(read, now))
         self.rebuild_term_index()

@@ -63,6 +63,5 @@ def tree_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"), F.col("text").alias("markdown"))
     export_pages(docs, root)
     engine = Engine(spark, root)
-    engine.rebuild_search_index(now="1")
-    delete_files(spark, root)
+    engine.rebuild_search_index(now="1", scanned=lambda: delete_files(spark, root))  # the tree is not kept beside its copies
     return engine.search_text(PHRASES, 25).select("path", "chunk_id", F.round("score", 6).alias("score"))
